@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from hunkweave.operators import orphans, snapshots
+from pyspark.sql import functions as F
+
+from hunkweave.operators import hierarchy, orphans, snapshots
 from hunkweave.runtime import table
 
 
@@ -14,6 +16,27 @@ def p1_counts(spark, sf_dir):
     return orphans.orphan_counts(table(spark, sf_dir, "projections"), table(spark, sf_dir, "hunks"))
 
 
+def _hierarchy(spark, sf_dir, kind):
+    return hierarchy.record_hierarchy(table(spark, sf_dir, "stack_nodes"), table(spark, sf_dir, "projections"), kind)
+
+
+def p2_found(spark, sf_dir):
+    return _hierarchy(spark, sf_dir, "roots").select("source_table", "node_id", "root_id", "node_depth")
+
+
+def p2_paths(spark, sf_dir):
+    return _hierarchy(spark, sf_dir, "paths").select("source_table", "node_id", "root_id", "node_depth", "path")
+
+
+def p2_descendants(spark, sf_dir):
+    return _hierarchy(spark, sf_dir, "descendants").select("source_table", "node_id", "chain_id", "from_pos", "to_pos")
+
+
+def p2_descendant_counts(spark, sf_dir):
+    found = _hierarchy(spark, sf_dir, "descendants").groupBy("source_table", "node_id")
+    return found.agg(F.sum(F.col("to_pos") - F.col("from_pos") + 1).alias("descendant_count"))
+
+
 def p4_found(spark, sf_dir):
     rows = snapshots.normalised_store(table(spark, sf_dir, "correspondence"))
     return snapshots.snapshot_changes(rows, ["branch", "slice_signature"], ["content_hash", "base_ref"], "snapshot_no", "updated_at")
@@ -63,5 +86,44 @@ FROM new n FULL JOIN old o ON n.cur = o.cur AND n.branch IS NOT DISTINCT FROM o.
 WHERE o.cur IS NULL OR n.cur IS NULL OR n.content_hash IS DISTINCT FROM o.content_hash OR n.base_ref IS DISTINCT FROM o.base_ref
 """
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p4_found": p4_found}
-SQL = {"p1_found": P1_FOUND, "p1_counts": P1_COUNTS, "p4_found": P4_FOUND}
+_P2_REACH = """
+nodes AS (
+  SELECT DISTINCT 'stack_nodes' AS source_table, node_id, push_id AS g, branch AS name, [base] AS refs FROM stack_nodes
+  UNION ALL SELECT DISTINCT 'projections', entry_id, manifest_id, projection_id, depends_on FROM projections),
+links AS (
+  SELECT DISTINCT c.source_table, c.node_id, p.node_id AS parent_id
+  FROM (SELECT source_table, node_id, g, unnest(refs) AS need FROM nodes) c
+  JOIN nodes p ON p.source_table = c.source_table AND p.g = c.g AND p.name = c.need),
+reach AS (
+  SELECT source_table, node_id, parent_id AS up FROM links
+  UNION SELECT r.source_table, r.node_id, l.parent_id FROM reach r JOIN links l ON l.source_table = r.source_table AND l.node_id = r.up),
+cyclic AS (SELECT DISTINCT source_table, node_id FROM reach WHERE node_id = up),
+unsound AS (SELECT source_table, node_id FROM cyclic UNION SELECT r.source_table, r.node_id FROM reach r JOIN cyclic c ON c.source_table = r.source_table AND c.node_id = r.up)
+"""
+
+P2_FOUND = f"""
+WITH RECURSIVE {_P2_REACH},
+sound AS (SELECT source_table, node_id FROM nodes EXCEPT SELECT * FROM unsound),
+ways AS (
+  SELECT source_table, node_id, node_id AS up, 0 AS d FROM sound
+  UNION SELECT w.source_table, w.node_id, l.parent_id, w.d + 1 FROM ways w JOIN links l ON l.source_table = w.source_table AND l.node_id = w.up)
+SELECT source_table, node_id, up AS root_id, CAST(max(d) AS BIGINT) AS node_depth FROM ways w
+WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.source_table = w.source_table AND l.node_id = w.up) GROUP BY 1, 2, 3
+UNION ALL SELECT source_table, node_id, -1, CASE WHEN (source_table, node_id) IN (SELECT (source_table, node_id) FROM cyclic) THEN -1 ELSE -2 END FROM unsound
+"""
+
+P2_DESCENDANT_COUNTS = f"""
+WITH RECURSIVE {_P2_REACH}
+SELECT r.source_table, r.up AS node_id, count(*) AS descendant_count FROM reach r
+WHERE (r.source_table, r.node_id) NOT IN (SELECT (source_table, node_id) FROM unsound)
+GROUP BY 1, 2
+"""
+
+QUERIES = {
+    "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p2_descendant_counts": p2_descendant_counts,
+    "p1_found": p1_found, "p1_counts": p1_counts, "p4_found": p4_found,
+}
+SQL = {
+    "p2_found": P2_FOUND, "p2_descendant_counts": P2_DESCENDANT_COUNTS,
+    "p1_found": P1_FOUND, "p1_counts": P1_COUNTS, "p4_found": P4_FOUND,
+}
