@@ -7,23 +7,18 @@ that differ are compared further, and rows are compared only in leaves that diff
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hunkweave.functions.text import tidy
 from hunkweave.runtime import fits
 
 
-def _tidy(name: str, lower: bool = False) -> Column:
-    c = F.regexp_replace(F.col(name).cast("string"), r"^(?U:\s)+|(?U:\s)+$", "")
-    c = F.lower(c) if lower else c
-    return F.when(c != "", c)
-
-
 def normalised_store(rows: DataFrame) -> DataFrame:
     """The correspondence table with values in even form: blanks around values and capitals in hashes do not count, empty is null."""
     return rows.select(
-        "snapshot_no", "branch", _tidy("slice_signature", True).alias("slice_signature"),
-        _tidy("content_hash", True).alias("content_hash"), _tidy("base_ref").alias("base_ref"), "updated_at",
+        "snapshot_no", "branch", tidy("slice_signature", True).alias("slice_signature"),
+        tidy("content_hash", True).alias("content_hash"), tidy("base_ref").alias("base_ref"), "updated_at",
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the reliable checkpoint folder, so a lost executor loses no state."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
+
+    The lineage ends there, so a lost executor costs nothing. The table is removed when the JVM ends, or by ``release``.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove the table behind a result of ``materialize`` that nothing reads any more."""
+    path = getattr(df, "_table_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
@@ -54,3 +73,15 @@ def heavy_hashes(df: DataFrame, columns: list[str], share: float, floor: int) ->
         return []
     total = df.count()
     return [r["h"] for r in top if r["n"] > max(floor, share * total)]
+
+
+def join_unique(big: DataFrame, small: DataFrame, key: str, how: str = "inner", share: float = 0.001, floor: int = 100_000) -> DataFrame:
+    """Join on a key that is unique in ``small`` but may be very frequent in ``big``.
+
+    Frequent keys number at most ``1/share``, so their rows of ``small`` are broadcast; the rest is shuffled.
+    """
+    heavy = heavy_hashes(big.select(key), [key], share, floor)
+    if not heavy:
+        return big.join(small, key, how)
+    hot = F.coalesce(key_hash([key]).isin(heavy), F.lit(False))
+    return big.where(~hot).join(small.where(~hot), key, how).unionByName(big.where(hot).join(F.broadcast(small.where(hot)), key, how))
