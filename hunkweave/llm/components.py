@@ -96,6 +96,7 @@ def merge_groups(overrides: DataFrame, cell_edges: int = 50_000) -> DataFrame:
     Selectors of different branches never join; a null branch is a branch. group_selector is the least by code points.
     """
     rows = overrides.where(F.col("kind") == "force_merge").select("branch", tidy("selector_a").alias("x"), tidy("selector_b").alias("y")).distinct()
+    rows = materialize(rows)
     names = rows.select("branch", F.explode(F.array("x", "y")).alias("selector")).where(F.col("selector").isNotNull()).distinct()
 
     def number(seed: int, selector: str) -> Column:

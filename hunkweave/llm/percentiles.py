@@ -19,13 +19,20 @@ from hunkweave.runtime import materialize
 PER_MILLE = (500, 900, 950, 990)
 
 
+SIZE_CLASSES = ("unknown", "0", "1-9", "10-49", "50-199", "200-999", "1000+", "all")
+ALL_SIZES = SIZE_CLASSES.index("all")
+SPANS = ("day", "week", "month", "all")
+
+
 def size_class(count: Column | str) -> Column:
-    """Size class of a hunk count; null and negative counts are ``unknown``."""
+    """Number of the size class of a hunk count; null and negative counts are ``unknown``."""
     c = F.col(count) if isinstance(count, str) else count
-    return (
-        F.when(c.isNull() | (c < 0), "unknown").when(c < 1, "0").when(c < 10, "1-9").when(c < 50, "10-49")
-        .when(c < 200, "50-199").when(c < 1000, "200-999").otherwise("1000+")
-    )
+    return F.when(c.isNull() | (c < 0), 0).when(c < 1, 1).when(c < 10, 2).when(c < 50, 3).when(c < 200, 4).when(c < 1000, 5).otherwise(6)
+
+
+def label(code: str, labels: tuple[str, ...]) -> Column:
+    """The label of a code column, under the column's own name."""
+    return F.element_at(F.array(*[F.lit(x) for x in labels]), F.col(code) + 1).alias(code)
 
 
 def on_grid(value: Column, relative_error: float) -> Column:
@@ -50,22 +57,23 @@ def day_counts(runs: DataFrame, id_col: str, groups: dict[str, Column], value: s
     )
 
 
-def spans(counts: DataFrame, groups: list[str], kinds: tuple[str, ...] = ("day", "week", "month", "all")) -> DataFrame:
-    """Add day states up to the states of longer spans: (span, period, groups, value, n)."""
-    period = {
-        "day": F.date_format("day", "yyyy-MM-dd"), "week": F.date_format(F.date_trunc("week", "day"), "yyyy-MM-dd"),
-        "month": F.date_format("day", "yyyy-MM"), "all": F.lit("all"),
-    }
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("span"), period[k].alias("period")) for k in kinds])).alias("_s")
+def spans(counts: DataFrame, groups: list[str]) -> DataFrame:
+    """Add day states up to the states of longer spans: (span, period, groups, value, n).
+
+    ``span`` is a place in ``SPANS`` and ``period`` the first day of the span, null for the whole. Rows stay narrow here since
+    each day state is sent once per span.
+    """
+    first = (F.col("day"), F.date_trunc("week", "day").cast("date"), F.date_trunc("month", "day").cast("date"), F.lit(None).cast("date"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("span"), d.alias("period")) for i, d in enumerate(first)])).alias("_s")
     return (
         counts.select(*groups, "value", "n", each).select(F.col("_s.span").alias("span"), F.col("_s.period").alias("period"), *groups, "value", "n")
-        .where(F.col("period").isNotNull()).groupBy("span", "period", *groups, "value").agg(F.sum("n").alias("n"))
+        .where(F.col("period").isNotNull() | (F.col("span") == len(SPANS) - 1)).groupBy("span", "period", *groups, "value").agg(F.sum("n").alias("n"))
     )
 
 
-def with_totals(counts: DataFrame, group: str, label: str = "all") -> DataFrame:
+def with_totals(counts: DataFrame, group: str, total: object) -> DataFrame:
     """Each count once under its own ``group`` and once under the group of all."""
-    return counts.withColumn(group, F.explode(F.array(F.col(group), F.lit(label))))
+    return counts.withColumn(group, F.explode(F.array(F.col(group), F.lit(total))))
 
 
 def percentiles(counts: DataFrame, groups: list[str], per_mille: tuple[int, ...] = PER_MILLE, ranges: int | None = None) -> DataFrame:
@@ -102,4 +110,6 @@ def run_percentiles(timing_runs: DataFrame, relative_error: float | None = None)
     """Percentiles of duration_ms by command and by command and size class, for each day, week, month and the whole."""
     groups = {"command": F.col("command"), "size_class": size_class("hunk_count")}
     state = day_counts(timing_runs, "id", groups, "duration_ms", "started_at", relative_error)
-    return percentiles(spans(with_totals(state, "size_class"), list(groups)), ["span", "period", *groups])
+    found = percentiles(spans(with_totals(state, "size_class", ALL_SIZES), list(groups)), ["span", "period", *groups])
+    period = F.when(F.col("span") == SPANS.index("all"), "all").when(F.col("span") == SPANS.index("month"), F.date_format("period", "yyyy-MM")).otherwise(F.date_format("period", "yyyy-MM-dd"))
+    return found.withColumn("period", period).withColumns({"span": label("span", SPANS), "size_class": label("size_class", SIZE_CLASSES)})
