@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hunkweave.llm import components, contamination, percentiles
+from hunkweave.llm import components, contamination, percentiles, tokenizer
 from hunkweave.runtime import table
 
 
@@ -16,13 +16,23 @@ def p3_day_counts(spark, sf_dir):
     runs = table(spark, sf_dir, "timing_runs")
     groups = {"command": F.col("command"), "size_class": percentiles.size_class("hunk_count")}
     state = percentiles.day_counts(runs, "id", groups, "duration_ms", "started_at")
-    return state.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "command", "size_class", F.col("value").alias("duration_ms"), F.col("n").alias("run_count"))
+    return state.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "command", percentiles.label("size_class", percentiles.SIZE_CLASSES), F.col("value").alias("duration_ms"), F.col("n").alias("run_count"))
 
 
 def p5_found(spark, sf_dir):
     return components.merge_groups(table(spark, sf_dir, "overrides"))
 
 
+def p6_ids(spark, sf_dir):
+    return tokenizer.token_ids(table(spark, sf_dir, "documents"))
+
+
+def p6_roundtrip(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    back = tokenizer.texts_of(tokenizer.token_ids(docs)).withColumnRenamed("text", "decoded")
+    return docs.join(back, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same_text"))
+
+
 def p7_found(spark, sf_dir):
     return contamination.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -65,6 +75,8 @@ reach AS (SELECT branch, s, s AS t FROM names UNION SELECT r.branch, r.s, l.y FR
 SELECT branch, s AS selector, min(t) AS group_selector FROM reach GROUP BY 1, 2
 """
 
+P6_ROUNDTRIP = "SELECT doc_id, true AS same_text FROM documents"
+
 P7_FOUND = r"""
 WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 e AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
@@ -73,5 +85,5 @@ ew AS (SELECT DISTINCT id, array_to_string(w[i : i + 15], ' ') AS k FROM (SELECT
 SELECT DISTINCT dw.id AS doc_id, ew.id AS item_id FROM dw JOIN ew USING (k)
 """
 
-QUERIES = {"p3_percentiles": p3_percentiles, "p3_day_counts": p3_day_counts, "p5_found": p5_found, "p7_found": p7_found, "p7_spans": p7_spans}
-SQL = {"p3_percentiles": P3_PERCENTILES, "p3_day_counts": P3_DAY_COUNTS, "p5_found": P5_FOUND, "p7_found": P7_FOUND}
+QUERIES = {"p3_percentiles": p3_percentiles, "p3_day_counts": p3_day_counts, "p5_found": p5_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_spans": p7_spans}
+SQL = {"p3_percentiles": P3_PERCENTILES, "p3_day_counts": P3_DAY_COUNTS, "p5_found": P5_FOUND, "p6_roundtrip": P6_ROUNDTRIP, "p7_found": P7_FOUND}
