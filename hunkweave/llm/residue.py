@@ -147,7 +147,7 @@ class Index:
                     found.append(("filler", words[i - length][1], words[i][2], 1.0))
                     break
         for word, a, b in words:
-            if b - a >= 12 and word.isascii() and len(set(word)) == 1:
+            if b - a >= 12 and word.isascii() and word.isalpha() and len(set(word)) == 1:
                 found.append(("filler", a, b, 1.0))
                 break
         return found
