@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hunkweave.llm import components, contamination, percentiles, tokenizer
+from hunkweave.llm import components, contamination, percentiles, residue, tokenizer
 from hunkweave.runtime import table
 
 
@@ -41,6 +41,18 @@ def p7_spans(spark, sf_dir):
     return contamination.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_found(spark, sf_dir):
+    return residue.residue_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_passages(spark, sf_dir):
+    return residue.residue_passages(table(spark, sf_dir, "documents")).select("doc_id", "label", "start_offset", "end_offset")
+
+
+def p8_kept(spark, sf_dir):
+    return residue.without_residue(table(spark, sf_dir, "documents")).select("doc_id", "source", "doc_kind")
+
+
 _P3_STATE = """
 runs AS (SELECT DISTINCT ON (id) id, started_at, command, duration_ms,
   CASE WHEN hunk_count IS NULL OR hunk_count < 0 THEN 'unknown' WHEN hunk_count < 1 THEN '0' WHEN hunk_count < 10 THEN '1-9' WHEN hunk_count < 50 THEN '10-49'
@@ -85,5 +97,5 @@ ew AS (SELECT DISTINCT id, array_to_string(w[i : i + 15], ' ') AS k FROM (SELECT
 SELECT DISTINCT dw.id AS doc_id, ew.id AS item_id FROM dw JOIN ew USING (k)
 """
 
-QUERIES = {"p3_percentiles": p3_percentiles, "p3_day_counts": p3_day_counts, "p5_found": p5_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_spans": p7_spans}
+QUERIES = {"p3_percentiles": p3_percentiles, "p3_day_counts": p3_day_counts, "p5_found": p5_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_passages": p8_passages, "p8_kept": p8_kept}
 SQL = {"p3_percentiles": P3_PERCENTILES, "p3_day_counts": P3_DAY_COUNTS, "p5_found": P5_FOUND, "p6_roundtrip": P6_ROUNDTRIP, "p7_found": P7_FOUND}

@@ -124,7 +124,7 @@ class Index:
         return found + self._covered(words)
 
     def _covered(self, words: list[tuple[str, int, int]], window: int = 8, share: float = 0.85, run: int = 12) -> list[tuple[str, int, int, float]]:
-        """Windows covered by filler words, and runs of one to three words over and over."""
+        """Windows covered by filler words, and runs of up to eight words (or pairs of signs) over and over."""
         found = []
         kinds = [("mash" if w in self.mash else "latin" if w.isalpha() and w.isascii() and self.latin.fullmatch(w) else "") for w, _, _ in words]
         size = min(window, len(words))
@@ -138,12 +138,12 @@ class Index:
                     break
                 if i < len(words):
                     inside += (kinds[i] == kind) - (kinds[i - size] == kind)
-        for period in (1, 2, 3):
+        for period in range(1, 9):
             length = 0
             for i in range(period, len(words)):
                 word = words[i][0]
-                length = length + 1 if word == words[i - period][0] and word.isalpha() else 0
-                if length >= run:
+                length = length + 1 if word == words[i - period][0] and word.replace("'", "").isalpha() else 0
+                if length >= max(run, 3 * period):
                     found.append(("filler", words[i - length][1], words[i][2], 1.0))
                     break
         for word, a, b in words:
