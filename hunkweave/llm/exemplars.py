@@ -47,7 +47,7 @@ ERRORS = [
 
 #: Short messages that count only where they are all of a line.
 ERROR_LINES = [
-    "error #", "http #", "# not found", "# forbidden", "page not found", "not found", "access denied", "service unavailable", "bad gateway", "internal server error", "too many requests", "gateway timeout", "#",
+    "error #", "http #", "# not found", "# forbidden", "page not found", "not found", "access denied", "service unavailable", "bad gateway", "internal server error", "too many requests", "gateway timeout",
 ]
 
 FILLERS = ["lorem ipsum", "lorem ipsum dolor sit amet", "this is filler so that the page has a body", "it says nothing and will be replaced", "this text is only a placeholder and will be replaced"]

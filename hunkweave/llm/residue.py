@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ from hunkweave.llm import exemplars as E
 
 _NAME = r"[A-Za-z]+(?:[_.][A-Za-z]+)*"
 _CJK = r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff々〇]"
-TOKEN = re.compile(rf"{_CJK}+|[^\W\d_\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+(?:['’][^\W\d_]+)*|\d+(?:[.,:]\d+)*|<!--|-->|[\[\]<>(){{}}【】〈〉*#]")
+TOKEN = re.compile(rf"([^\W\d_\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+(?:['’][^\W\d_]+)*)|(\d+(?:[.,:]\d+)*)|({_CJK}+)|<!--|-->|[\[\]<>(){{}}【】〈〉*#]")
 MARK = re.compile(
     rf"\{{\{{\s*{_NAME}\s*\}}\}}|[$#]\{{\s*{_NAME}\s*\}}|(?<![\w$#%{{])\{{{_NAME}\}}(?![}}\w])|(?<!\w)__{_NAME}__(?!\w)|(?<![\w$])\${_NAME}\$(?![\w$])"
     rf"|(?<![\w%])%{_NAME}%(?![\w%])|%\({_NAME}\)s|<%=?\s*{_NAME}\s*%>|\[\[\s*{_NAME}\s*\]\]|@@{_NAME}@@"
@@ -47,14 +48,20 @@ def tokens(text: str) -> list[tuple[str, int, int]]:
     """(token, start, end): words in lower case, numbers as ``0``, brackets, and character pairs of Chinese and Japanese."""
     out = []
     for m in TOKEN.finditer(text):
-        word, a, b = m.group(), m.start(), m.end()
-        if re.match(_CJK, word):
-            if len(word) == 1:
-                out.append((word, a, b))
-            out.extend((word[i : i + 2], a + i, a + i + 2) for i in range(len(word) - 1))
+        a, b = m.span()
+        kind = m.lastindex
+        if kind == 1:
+            word = m.group().lower()
+            out.append((SCRIPTS.get(word, word) if "’" not in word else word.replace("’", "'"), a, b))
+        elif kind == 2:
+            out.append(("0", a, b))
+        elif kind is None:
+            out.append((m.group(), a, b))
+        elif b - a == 1:
+            out.append((m.group(), a, b))
         else:
-            word = "0" if word[0].isdigit() else word.lower().replace("’", "'")
-            out.append((SCRIPTS.get(word, word), a, b))
+            word = m.group()
+            out.extend((word[i : i + 2], a + i, a + i + 2) for i in range(len(word) - 1))
     return out
 
 
@@ -88,6 +95,7 @@ class Index:
                     self.postings.setdefault(words[i], []).append((number, i))
         self.weight = lambda w: weights.get(w, default)
         self.mash = set(E.MASH)
+        self.seen_words: dict[str, bool] = {}
         self.latin = re.compile(f"(?:{'|'.join(sorted(E.SYLLABLES, key=len, reverse=True))})+")
 
     def find(self, text: str) -> list[tuple[str, int, int, float]]:
@@ -114,7 +122,9 @@ class Index:
                     a = clear.rfind("\n", 0, words[p][1]) + 1
                     b = clear.find("\n", words[p][2])
                     line = clear[a : len(clear) if b < 0 else b]
-                    if [t for t, _, _ in tokens(line)] == needed and re.fullmatch(r"[\s#>*-]*[\w ]+[.!:|\s]*", line) and needed != ["0"]:
+                    if len(line) > 60:
+                        continue
+                    if [t for t, _, _ in tokens(line)] == needed and re.fullmatch(r"[\s#>*-]*[\w ]+[.!:|\s]*", line):
                         found.append((label, a, a + len(line), 1.0))
                     continue
                 have = Counter(w for w, _, _ in words[first:last])
@@ -123,29 +133,37 @@ class Index:
                     found.append((label, words[first][1], words[last - 1][2], score))
         return found + self._covered(words)
 
+    def _is_latin(self, word: str) -> bool:
+        known = self.seen_words.get(word)
+        if known is None:
+            if len(self.seen_words) > 200_000:
+                self.seen_words.clear()
+            known = self.seen_words[word] = word.isascii() and self.latin.fullmatch(word) is not None
+        return known
+
     def _covered(self, words: list[tuple[str, int, int]], window: int = 8, share: float = 0.85, run: int = 12) -> list[tuple[str, int, int, float]]:
         """Windows covered by filler words, and runs of up to eight words (or pairs of signs) over and over."""
         found = []
-        kinds = [("mash" if w in self.mash else "latin" if w.isalpha() and w.isascii() and self.latin.fullmatch(w) else "") for w, _, _ in words]
+        plain = [w for w, _, _ in words]
+        distinct = set(plain)
         size = min(window, len(words))
-        for kind in ("mash", "latin"):
-            if size < 5 or kinds.count(kind) < share * size:
+        for kind, members in (("mash", self.mash & distinct), ("latin", {w for w in distinct if self._is_latin(w)})):
+            if size < 5 or len(members) < 3:
                 continue
-            inside = sum(k == kind for k in kinds[:size])
+            inside = [w in members for w in plain]
+            count = sum(inside[:size])
             for i in range(size, len(words) + 1):
-                if inside >= share * size:
-                    found.append(("filler", words[i - size][1], words[i - 1][2], inside / size))
+                if count >= share * size:
+                    found.append(("filler", words[i - size][1], words[i - 1][2], count / size))
                     break
                 if i < len(words):
-                    inside += (kinds[i] == kind) - (kinds[i - size] == kind)
+                    count += inside[i] - inside[i - size]
         for period in range(1, 9):
-            length = 0
-            for i in range(period, len(words)):
-                word = words[i][0]
-                length = length + 1 if word == words[i - period][0] and word.replace("'", "").isalpha() else 0
-                if length >= max(run, 3 * period):
-                    found.append(("filler", words[i - length][1], words[i][2], 1.0))
-                    break
+            least = max(run, 3 * period)
+            at = bytes(map(eq, plain, plain[period:])).find(b"\x01" * least)
+            if at >= 0 and all(w.replace("'", "").isalpha() for w in plain[at : at + period]):
+                found.append(("filler", words[at][1], words[at + least][2], 1.0))
+                break
         for word, a, b in words:
             if b - a >= 12 and word.isascii() and word.isalpha() and len(set(word)) == 1:
                 found.append(("filler", a, b, 1.0))
