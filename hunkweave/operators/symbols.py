@@ -92,7 +92,8 @@ def definitions(content: str) -> list[tuple[str, int, int, bool]]:
             else:
                 at = m.end()
     spans.sort(key=lambda s: (s[0], -s[1]))
-    out, open_: list = [], []
+    out: list = []
+    open_: list = []
     for a, b, name, exported, _ in spans:
         while open_ and open_[-1][1] < a:
             open_.pop()
