@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hunkweave.plans import records
+from hunkweave.plans import core, records
 
-QUERIES = {**records.QUERIES}
-SQL = {**records.SQL}
+QUERIES = {**records.QUERIES, **core.QUERIES}
+SQL = {**records.SQL, **core.SQL}
