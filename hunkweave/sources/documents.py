@@ -26,7 +26,7 @@ def first_existing(*paths: str) -> str | None:
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
 
 
 def read_manifest(spark: SparkSession, path: str, scope: str) -> dict[str, DataFrame]:

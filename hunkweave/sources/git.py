@@ -107,8 +107,8 @@ def tree_files(spark: SparkSession, repo: str, ref: str, scope: str = "scope") -
 def commit_log(spark: SparkSession, repo: str, span: str) -> DataFrame:
     """(pos, sha, parents, author_name, author_email, author_date, message), oldest first."""
     text = git(repo, "log", "--reverse", f"--format=%H{UNIT}%P{UNIT}%an{UNIT}%ae{UNIT}%aI{UNIT}%B{RECORD}", span)
-    parts = spark.createDataFrame([(text,)], "text string").select(F.posexplode(F.split("text", RECORD)).alias("pos", "rec")).where(F.trim("rec") != "").select("pos", F.split(F.regexp_replace("rec", r"^\n", ""), UNIT).alias("f"))
-    return parts.select("pos", F.col("f")[0].alias("sha"), F.filter(F.split(F.col("f")[1], " "), lambda p: p != "").alias("parents"), F.col("f")[2].alias("author_name"), F.col("f")[3].alias("author_email"), F.col("f")[4].alias("author_date"), F.col("f")[5].alias("message"))
+    parts = spark.createDataFrame([(text,)], "text string").select(F.posexplode(F.split("text", RECORD)).alias("pos", "rec")).where(F.col("rec").rlike(r"\S")).select("pos", F.split(F.regexp_replace("rec", r"^\n", ""), UNIT).alias("f"))
+    return parts.select("pos", F.get("f", F.lit(0)).alias("sha"), F.filter(F.split(F.get("f", F.lit(1)), " "), lambda p: p != "").alias("parents"), F.get("f", F.lit(2)).alias("author_name"), F.get("f", F.lit(3)).alias("author_email"), F.get("f", F.lit(4)).alias("author_date"), F.get("f", F.lit(5)).alias("message"))
 
 
 def remote_heads(spark: SparkSession, repo: str, remote: str = "origin") -> DataFrame | None:
