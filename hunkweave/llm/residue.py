@@ -28,6 +28,12 @@ MARK = re.compile(
     rf"\{{\{{\s*{_NAME}\s*\}}\}}|[$#]\{{\s*{_NAME}\s*\}}|(?<![\w$#%{{])\{{{_NAME}\}}(?![}}\w])|(?<!\w)__{_NAME}__(?!\w)|(?<![\w$])\${_NAME}\$(?![\w$])"
     rf"|(?<![\w%])%{_NAME}%(?![\w%])|%\({_NAME}\)s|<%=?\s*{_NAME}\s*%>|\[\[\s*{_NAME}\s*\]\]|@@{_NAME}@@"
 )
+PLAIN = re.compile(r"[a-z]+(?:'[a-z]+)*")
+LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
+HAS_CJK = re.compile(_CJK)
+MARK_SIGNS = ("{", "__", "$", "%", "[[", "@@")
+NUMBER = re.compile(r"[0-9]")
+SIGNS = ("<!--", "-->", *"[]<>(){}【】〈〉*#")
 _FENCE = re.compile(r"```[^\n`]*\n.*?\n[ >+*#/-]*```", re.S)
 _INLINE = re.compile(r"`[^`\n]+`")
 _QUOTED = re.compile(r"(?<=[^\W\d_] )(?:\"[^\"\n]{2,90}\"|“[^”\n]{2,90}”|«[^»\n]{2,90}»)|„[^“\n]{2,90}“|「[^」\n]{2,60}」|『[^』\n]{2,60}』")
@@ -65,6 +71,23 @@ def tokens(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def token_list(text: str) -> list[str]:
+    """Words of a text in order, without offsets; texts without Chinese or Japanese take a fast way that leaves numbers and brackets to ``signs``."""
+    if text.isascii():
+        return [SCRIPTS.get(w, w) for w in PLAIN.findall(text.lower())]
+    if not HAS_CJK.search(text):
+        return [SCRIPTS.get(w, w) for w in LETTERS.findall(text.lower().replace("’", "'"))]
+    return [t for t, _, _ in tokens(text)]
+
+
+def signs(text: str) -> set[str]:
+    """The tokens of a text that are no words."""
+    found = {c for c in SIGNS if c in text}
+    if NUMBER.search(text):
+        found.add("0")
+    return found
+
+
 def exemplar_tokens(text: str) -> list[str]:
     """Words of an exemplar without its gaps; ``#`` is a number."""
     return [("0" if t == "#" else t) for t, _, _ in tokens(text.replace("*", " "))]
@@ -91,15 +114,29 @@ class Index:
                 number = len(self.entries)
                 self.entries.append((label, whole_line, words, weighed, total, _form(text) if label == "mark" else None, 2 + 3 * text.count("*")))
                 order = sorted(range(len(words)), key=lambda i: (-weights.get(words[i], default), i))
-                for i in order[: 1 if label == "mark" or whole_line else 2]:
+                # A window without the words indexed here weighs too little to match, so nothing is missed.
+                indexed, enough = 0.0, 0.0 if label == "mark" or whole_line else (1 - containment) * total
+                for i in order:
                     self.postings.setdefault(words[i], []).append((number, i))
+                    indexed += weights.get(words[i], default)
+                    if indexed > enough:
+                        break
         self.weight = lambda w: weights.get(w, default)
+        self.sign_keys = [k for k in self.postings if k in SIGNS]
+        self.words = set(self.postings) - set(self.sign_keys) - {"0"}
         self.mash = set(E.MASH)
         self.seen_words: dict[str, bool] = {}
         self.latin = re.compile(f"(?:{'|'.join(sorted(E.SYLLABLES, key=len, reverse=True))})+")
 
     def find(self, text: str) -> list[tuple[str, int, int, float]]:
-        """(label, start, end, score) of the residue in one text."""
+        """(label, start, end, score) of the residue in one text.
+
+        A text with no mark, no word of the index and no sign of filler is done after one look at its words.
+        """
+        quick = token_list(text)
+        distinct = set(quick)
+        if not ((any(k in text for k in MARK_SIGNS) and MARK.search(text)) or not self.words.isdisjoint(distinct) or any(k in text for k in self.sign_keys) or self._filler_near(quick, distinct)):
+            return []
         clear = shown_only(text)
         found = [("mark", m.start(), m.end(), 1.0) for m in MARK.finditer(clear)]
         words = tokens(clear)
@@ -141,6 +178,11 @@ class Index:
             known = self.seen_words[word] = word.isascii() and self.latin.fullmatch(word) is not None
         return known
 
+    def _filler_near(self, plain: list[str], distinct: set[str], run: int = 12) -> bool:
+        if len(self.mash & distinct) >= 3 or sum(map(self._is_latin, distinct)) >= 3 or any(len(w) >= 12 and len(set(w)) == 1 for w in distinct):
+            return True
+        return any(bytes(map(eq, plain, plain[p:])).find(b"\x01" * max(run, 3 * p)) >= 0 for p in range(1, 9))
+
     def _covered(self, words: list[tuple[str, int, int]], window: int = 8, share: float = 0.85, run: int = 12) -> list[tuple[str, int, int, float]]:
         """Windows covered by filler words, and runs of up to eight words (or pairs of signs) over and over."""
         found = []
@@ -188,7 +230,7 @@ def word_weights(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, flo
         for batch in batches:
             for text in batch["text"].to_pylist():
                 n += 1
-                seen.update(known.intersection(w for w, _, _ in tokens(text)))
+                seen.update(known.intersection(token_list(text)) | known.intersection(signs(text)))
         yield pa.RecordBatch.from_arrays([pa.array([*seen, None], pa.string()), pa.array([*seen.values(), n], pa.int64())], ["word", "n"])
 
     rows = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull()).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
