@@ -15,9 +15,9 @@ def signature(keys: Column) -> Column:
     return short_sha(F.array_join(F.array_sort(F.array_distinct(keys)), "|"))
 
 
-def content_hash(*parts: Column) -> Column:
-    """12 hex digits of the parts, set apart by a line of their own; a null part counts as empty."""
-    return short_sha(F.concat_ws("\n--drip--\n", *[F.coalesce(p, F.lit("")) for p in parts]))
+def content_hash(*parts: Column, separator: str = "\n--\n") -> Column:
+    """12 hex digits of the parts, set apart by ``separator`` (that of the store whose hashes are compared); a null part counts as empty."""
+    return short_sha(F.concat_ws(separator, *[F.coalesce(p, F.lit("")) for p in parts]))
 
 
 def blob_hash(content: Column) -> Column:
@@ -30,7 +30,7 @@ def manifest_signature(projection_id: Column) -> Column:
     return F.concat(F.lit("manifest:"), projection_id)
 
 
-def branch_name(branch: Column, label: Column, bound: Column | None = None) -> Column:
-    """The branch of a unit: the one it is bound to, else the generated one."""
-    made = F.concat(F.lit("drip/"), branch, F.lit("/"), label)
+def branch_name(branch: Column, label: Column, bound: Column | None = None, prefix: str = "review") -> Column:
+    """The branch of a unit: the one it is bound to, else the generated one under the store's ``prefix``."""
+    made = F.concat(F.lit(f"{prefix}/"), branch, F.lit("/"), label)
     return made if bound is None else F.coalesce(bound, made)

@@ -28,26 +28,30 @@ class _Merger:
         self.group = {n: n for n in order}
         self.members = {n: [n] for n in order}
         self.rules: dict[int, list[str]] = {}
+        self.after: dict[int, set[int]] = {n: set() for n in order}
+        self.before: dict[int, set[int]] = {n: set() for n in order}
+        for a, b in edges:
+            if a != b:
+                self.after[a].add(b)
+                self.before[b].add(a)
 
     def quotient(self) -> list[tuple[int, int]]:
+        """Edges between groups, in the order of the first edge between their members."""
         return list(dict.fromkeys((self.group[a], self.group[b]) for a, b in self.edges if self.group[a] != self.group[b]))
 
     def heads(self) -> list[int]:
         return [n for n in self.order if self.group[n] == n]
 
     def reaches(self, start: int, goal: int) -> bool:
-        """True where a path of at least one other group leads from one group to another."""
-        after: dict[int, set[int]] = {}
-        for a, b in self.quotient():
-            after.setdefault(a, set()).add(b)
-        seen, todo = set(), [x for x in after.get(start, ()) if x != goal]
+        """True where a path over at least one other group leads from one group to another."""
+        seen, todo = set(), [x for x in self.after[start] if x != goal]
         while todo:
             x = todo.pop()
             if x == goal:
                 return True
             if x not in seen:
                 seen.add(x)
-                todo.extend(after.get(x, ()))
+                todo.extend(self.after[x])
         return False
 
     def merge(self, a: int, b: int, rule: str) -> bool:
@@ -56,6 +60,16 @@ class _Merger:
         if a == b or a in self.pinned or b in self.pinned or self.reaches(a, b) or self.reaches(b, a):
             return False
         keep, gone = (a, b) if self.rank[a] <= self.rank[b] else (b, a)
+        for x in self.after.pop(gone):
+            self.before[x].discard(gone)
+            if x != keep:
+                self.after[keep].add(x)
+                self.before[x].add(keep)
+        for x in self.before.pop(gone):
+            self.after[x].discard(gone)
+            if x != keep:
+                self.before[keep].add(x)
+                self.after[x].add(keep)
         for n in self.members.pop(gone):
             self.group[n] = keep
             self.members[keep].append(n)
@@ -131,11 +145,24 @@ def _by_directory(g: _Merger, files: dict, size: dict, soft: dict, target: int)
     """Merge the smallest neighbours of the deepest shared directory until the target is met; True where the size cap stopped a merge."""
     cap = max(1, math.ceil(sum(size.values()) / target) * 2)
     capped, refused = False, set()
-    dirs = {n: [f.split("/")[:-1] for f in fs] for n, fs in files.items()}
-    deepest = max((len(d) for ds in dirs.values() for d in ds), default=0)
+    deepest = max((f.count("/") for fs in files.values() for f in fs), default=0)
+    known: dict[tuple[int, int], tuple[int, list[str]]] = {}
 
     def weight(h: int) -> int:
-        return sum(size[m] for m in g.members[h])
+        return shape(h)[0]
+
+    def shape(h: int) -> tuple[int, list[str]]:
+        """Hunks of a group and the directory parts that all its files share; a group's name and size tell when it changed."""
+        key = (h, len(g.members[h]))
+        if key not in known:
+            paths = [f.split("/")[:-1] for m in g.members[h] for f in files[m]]
+            shared = []
+            for parts in zip(*paths):
+                if len(set(parts)) > 1:
+                    break
+                shared.append(parts[0])
+            known[key] = (sum(size[m] for m in g.members[h]), shared)
+        return known[key]
 
     def step() -> bool:
         nonlocal capped
@@ -144,10 +171,9 @@ def _by_directory(g: _Merger, files: dict, size: dict, soft: dict, target: int)
             for h in g.heads():
                 if h in g.pinned or not soft[h]:
                     continue
-                own = [d for m in g.members[h] for d in dirs[m]]
-                prefixes = {"/".join(d[:depth]) if len(d) >= depth else None for d in own}
-                if len(prefixes) == 1 and None not in prefixes:
-                    shared.setdefault(prefixes.pop(), []).append(h)
+                common = shape(h)[1]
+                if len(common) >= depth:
+                    shared.setdefault("/".join(common[:depth]), []).append(h)
             for prefix in sorted(shared):
                 row = sorted(shared[prefix], key=lambda h: (weight(h), g.rank[h]))
                 for i, a in enumerate(row):

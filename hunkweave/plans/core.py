@@ -111,7 +111,7 @@ def shared_directories(spark, sf_dir):
 
 
 @query("""
-SELECT branch, slice_signature, slice_branch IS NOT NULL AS bound, coalesce(slice_branch, 'drip/' || branch || '/' || slice_signature) AS unit_branch FROM correspondence""")
+SELECT branch, slice_signature, slice_branch IS NOT NULL AS bound, coalesce(slice_branch, 'review/' || branch || '/' || slice_signature) AS unit_branch FROM correspondence""")
 def unit_branches(spark, sf_dir):
     return table(spark, sf_dir, "correspondence").select("branch", "slice_signature", F.col("slice_branch").isNotNull().alias("bound"), hashes.branch_name(F.col("branch"), F.col("slice_signature"), F.col("slice_branch")).alias("unit_branch"))
 
