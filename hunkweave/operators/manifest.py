@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from hunkweave.functions.paths import common_directory, slug
 from hunkweave.operators.graph import closure, kahn_order, strong_components
+from hunkweave.runtime import materialize
 
 
 def finding(rows: DataFrame, severity: str | Column, code: str, projection: Column | None = None, detail: Column | None = None) -> DataFrame:
@@ -52,6 +53,12 @@ class Declared:
         self.unknown = wanted.join(known, ["scope", "dst"], "left_anti")
         self._reach: DataFrame | None = None
 
+    def settle(self) -> Declared:
+        """The same manifest with its resolved relations written once."""
+        for name in ("names", "uses", "hits", "owner", "declared", "labels", "deferred"):
+            setattr(self, name, materialize(getattr(self, name)))
+        return self
+
     @property
     def reach(self) -> DataFrame:
         """Closure of the declared dependencies, built once."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hunkweave.functions.paths import is_code_file, language
 from hunkweave.operators import coarsen as coarsening
 from hunkweave.operators import diffs, edges, graph, partition, symbols
+from hunkweave.runtime import materialize
 from hunkweave.sources import git
 
 
@@ -27,6 +28,12 @@ class Plan:
     order: DataFrame
     overrides: DataFrame | None = None
 
+    def settle(self) -> Plan:
+        """The same plan with its relations written once, for callers that ask it many things."""
+        for name in ("hunks", "membership", "units", "edges", "order"):
+            setattr(self, name, materialize(getattr(self, name)))
+        return self
+
     def slices(self) -> DataFrame:
         """Slices as a manifest is checked against: (scope, slice_id, topo_num, selectors, files, hunk_count, changed_lines, code_files)."""
         lines = self.hunks.join(self.membership.select("diff_id", "hunk_index", "slice_id"), ["diff_id", "hunk_index"]).groupBy("diff_id", "slice_id").agg(F.sum(F.size(diffs.changed_lines("raw"))).alias("changed_lines"))
@@ -93,7 +100,7 @@ def plan_branch(spark: SparkSession, repo: str, base: str, branch: str | None =
     text = git.diff_text(spark, repo, source.merge_base, source.ref)
     changed = [r["path"] for r in git.name_status(spark, repo, source.merge_base, source.ref).collect()]
     files = git.files_at(spark, repo, changed, source.ref, source.merge_base)
-    return plan_diffs(text, files, overrides)
+    return plan_diffs(text, files, overrides).settle()
 
 
 def text_report(plan: Plan) -> str:
