@@ -137,7 +137,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         if not problems.isEmpty():
             _print(problems, args.json)
             return 1
-        got = validate.score_plan(plan, expected, args.threshold, args.include_fallback, args.target_slices, args.layer == "candidates")
+        got = validate.score_plan(plan, expected, args.threshold, "expected", args.include_fallback, args.target_slices, args.layer == "candidates")
         _print(got["agreement"], args.json)
         _print(got["disagreements"], args.json)
         return int(not got["agreement"].first()["pass"])
@@ -148,7 +148,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         return 1
     relations = documents.read_manifest(spark, path, "manifest")
     profiles = documents.read_profiles(spark, documents.first_existing(os.path.join(repo, "review", "profiles.json"), os.path.join(repo, FOLDER, "profiles.json")))
-    declared = validate.declare(plan, relations, profiles).settle()
+    declared = validate.declare(plan, relations, profiles, "manifest").settle()
     found = declared.findings(args.require_intent, args.require_verification)
     found = found.unionByName(declared.branch_mismatch(relations["manifests"].withColumn("branch", F.lit(branch))))
     found = materialize(found)

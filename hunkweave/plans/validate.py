@@ -13,11 +13,10 @@ from hunkweave.plans.review import Plan
 from hunkweave.sources import git
 
 
-def declare(plan: Plan, relations: dict[str, DataFrame], profiles: DataFrame) -> Declared:
-    """A manifest's relations resolved against the one plan that they belong to."""
-    scope = relations["entries"].select("scope").limit(1)
-    slices = plan.slices().drop("scope").crossJoin(F.broadcast(scope))  # one row on the right: the manifest's name
-    edges = plan.edges.select("src", "dst").crossJoin(F.broadcast(scope))
+def declare(plan: Plan, relations: dict[str, DataFrame], profiles: DataFrame, scope: str) -> Declared:
+    """A manifest's relations, read under the name ``scope``, resolved against the one plan that they belong to."""
+    slices = plan.slices().withColumn("scope", F.lit(scope))
+    edges = plan.edges.select(F.lit(scope).alias("scope"), "src", "dst")
     return Declared(relations["entries"], slices, edges, relations["deferred"], profiles, relations["budgets"])
 
 
@@ -50,16 +49,15 @@ def adoption_checks(built: DataFrame, prs: DataFrame, manifest_bases: DataFrame)
     return prs.join(trees, "projection", "left").join(bases, "projection", "left").withColumn("signature", manifest_signature(F.col("projection")))
 
 
-def score_plan(plan: Plan, expected: DataFrame, threshold: float, include_fallback: bool = False, target: int | None = None, coarse: bool = False) -> dict[str, DataFrame]:
-    """Scores of a plan's slices or review units against expected units (scope, unit, unit_pos, selector)."""
+def score_plan(plan: Plan, expected: DataFrame, threshold: float, scope: str, include_fallback: bool = False, target: int | None = None, coarse: bool = False) -> dict[str, DataFrame]:
+    """Scores of a plan's slices or review units against expected units (scope, unit, unit_pos, selector) of the named scope."""
     member = plan.membership.select("diff_id", "hunk_index", "slice_id")
     numbers = plan.numbers()
     if coarse:
         units = plan.coarse(target).select("diff_id", F.explode("slice_ids").alias("slice_id"), F.concat(F.lit("projection"), F.col("unit_num").cast("string")).alias("actual"), F.col("unit_num").alias("act_rank"))
     else:
         units = numbers.select("diff_id", "slice_id", F.concat(F.lit("slice"), F.col("topo_num").cast("string")).alias("actual"), F.col("topo_num").alias("act_rank"))
-    scope = expected.select("scope").limit(1)
-    rows = plan.hunks.join(member, ["diff_id", "hunk_index"]).join(units, ["diff_id", "slice_id"]).crossJoin(F.broadcast(scope))
+    rows = plan.hunks.join(member, ["diff_id", "hunk_index"]).join(units, ["diff_id", "slice_id"]).withColumn("scope", F.lit(scope))
     hunk_units = rows.select("scope", "hunk_index", group_key().alias("selector"), F.col("qualified_symbol").isNull().alias("is_fallback"), "actual", "act_rank")
     hunks = score.score_hunks(hunk_units, expected, include_fallback)
     return {
