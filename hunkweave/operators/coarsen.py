@@ -182,10 +182,10 @@ def _by_directory(g: _Merger, files: dict, size: dict, soft: dict, target: int)
                             continue
                         if weight(a) + weight(b) > cap:
                             capped = True
-                        elif g.merge(a, b, "directory-affinity"):
+                            break  # the rest of the row is no lighter
+                        if g.merge(a, b, "directory-affinity"):
                             return True
-                        else:
-                            refused.add((a, b))
+                        refused.add((a, b))
         return False
 
     while len(g.heads()) > target and step():
