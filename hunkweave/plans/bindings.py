@@ -42,6 +42,21 @@ def part_edges(spark: SparkSession, sf_dir: str, back: int = 0) -> DataFrame:
     return out.where("dst >= 1").distinct()
 
 
+def record_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scope, node) of every manifest's projections and every push's branches."""
+    p = entries(spark, sf_dir).select(F.concat(F.lit("projections:"), "manifest_id").alias("scope"), F.col("projection_id").alias("node"))
+    s = table(spark, sf_dir, "stack_nodes").dropDuplicates(["node_id"]).select(F.concat(F.lit("stack_nodes:"), "push_id").alias("scope"), F.col("branch").alias("node"))
+    return p.unionByName(s).where("scope is not null and node is not null").distinct()
+
+
+def record_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scope, src, dst) of all manifests and pushes: a projection needs what it depends on, a branch its base; names unknown in their scope fall away."""
+    d = entries(spark, sf_dir).select(F.concat(F.lit("projections:"), "manifest_id").alias("scope"), F.col("projection_id").alias("src"), F.explode("depends_on").alias("dst"))
+    s = table(spark, sf_dir, "stack_nodes").dropDuplicates(["node_id"]).where("base <> branch").select(F.concat(F.lit("stack_nodes:"), "push_id").alias("scope"), F.col("branch").alias("src"), F.col("base").alias("dst"))
+    known = record_nodes(spark, sf_dir).withColumnRenamed("node", "dst")
+    return d.unionByName(s).where("src is not null").distinct().join(known, ["scope", "dst"], "left_semi").select("scope", "src", "dst")
+
+
 def declared(spark: SparkSession, sf_dir: str) -> Declared:
     """All manifests against the slices of their plans; the manifest is the scope, the slice label the slice."""
     e = entries(spark, sf_dir)

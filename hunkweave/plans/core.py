@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hunkweave.functions import hashes, paths
 from hunkweave.operators import apply, diffs, edges, graph, manifest, partition, reconcile, score, stacks
 from hunkweave.plans import bindings as B
-from hunkweave.runtime import table
+from hunkweave.runtime import materialize, table
 from hunkweave.sources.store import earliest, latest
 
 QUERIES: dict = {}
@@ -284,9 +284,78 @@ def base_kinds(spark, sf_dir):
 
 @query()
 def kahn_order(spark, sf_dir):
-    e = B.part_edges(spark, sf_dir)
-    nodes = e.select("scope", F.col("src").alias("node")).unionByName(e.select("scope", F.col("dst").alias("node"))).distinct().withColumn("seq", F.col("node"))
-    return graph.kahn_order(nodes, e.withColumn("seq", F.col("src"))).select("node", "topo_num")
+    nodes = B.record_nodes(spark, sf_dir).withColumn("seq", F.col("node"))
+    return graph.kahn_order(nodes, B.record_edges(spark, sf_dir).withColumn("seq", F.col("src"))).select("scope", "node", "topo_num")
+
+
+# The same operators over the dependencies of all manifests and the bases of all pushes.
+
+_REC = f"""
+pr AS (SELECT 'projections:' || manifest_id AS scope, projection_id AS node, depends_on FROM {_E}), sn AS (SELECT 'stack_nodes:' || push_id AS scope, branch AS node, base FROM {_S}),
+n AS (SELECT scope, node FROM pr WHERE scope IS NOT NULL AND node IS NOT NULL UNION SELECT scope, node FROM sn WHERE scope IS NOT NULL AND node IS NOT NULL),
+e AS (SELECT d.scope, d.src, d.dst FROM (SELECT scope, node AS src, unnest(depends_on) AS dst FROM pr UNION SELECT scope, node, base FROM sn WHERE base <> node) d JOIN n ON n.scope = d.scope AND n.node = d.dst WHERE d.src IS NOT NULL)
+"""
+_REACH = "r AS (SELECT scope, src, dst FROM e UNION SELECT r.scope, r.src, e.dst FROM r JOIN e ON e.scope = r.scope AND e.src = r.dst)"
+_LEVELS = """
+bad AS (SELECT DISTINCT r.scope, r.src AS node FROM r WHERE src = dst UNION SELECT r.scope, r.src FROM r JOIN r c ON c.scope = r.scope AND c.src = r.dst AND c.dst = r.dst),
+up AS (SELECT scope, node, 0 AS d FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.scope = n.scope AND e.src = n.node)
+  UNION SELECT e.scope, e.src, up.d + 1 FROM up JOIN e ON e.scope = up.scope AND e.dst = up.node WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.scope = e.scope AND bad.node = e.src)),
+lev AS (SELECT n.scope, n.node, max(d) AS level FROM n LEFT JOIN up ON up.scope = n.scope AND up.node = n.node GROUP BY 1, 2)
+"""
+
+
+@query(f"WITH RECURSIVE {_REC}, {_REACH} SELECT scope, src, dst FROM r")
+def record_closure(spark, sf_dir):
+    return graph.closure(B.record_edges(spark, sf_dir)).select("scope", "src", "dst")
+
+
+@query(f"WITH RECURSIVE {_REC}, {_REACH}, {_LEVELS} SELECT scope, node, level FROM lev")
+def record_levels(spark, sf_dir):
+    return graph.levels(B.record_nodes(spark, sf_dir), B.record_edges(spark, sf_dir)).select("scope", "node", "level")
+
+
+@query(f"""
+WITH RECURSIVE {_REC}, {_REACH}
+SELECT scope, src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e m JOIN r ON r.scope = m.scope AND r.src = m.dst WHERE m.scope = e.scope AND m.src = e.src AND m.dst <> e.dst AND r.dst = e.dst)""")
+def record_maximal_prerequisites(spark, sf_dir):
+    e = B.record_edges(spark, sf_dir)
+    return graph.maximal(e, graph.closure(e)).select("scope", "src", "dst")
+
+
+@query(f"""
+WITH RECURSIVE {_REC}, {_REACH}
+SELECT a.scope, a.src AS node, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON b.scope = a.scope AND b.src = a.dst AND b.dst = a.src WHERE a.src <> a.dst GROUP BY a.scope, a.src""")
+def record_strong_components(spark, sf_dir):
+    return graph.strong_components(B.record_edges(spark, sf_dir)).select("scope", "node", "component")
+
+
+@query(f"WITH {_REC} SELECT scope, string_split(src, '-')[1] AS src, string_split(dst, '-')[1] AS dst FROM e WHERE string_split(src, '-')[1] <> string_split(dst, '-')[1] GROUP BY ALL")
+def record_quotient(spark, sf_dir):
+    """Edges between the groups of names with one first word."""
+    m = B.record_nodes(spark, sf_dir).withColumn("grp", F.element_at(F.split("node", "-"), 1))
+    return graph.quotient(B.record_edges(spark, sf_dir), m).select("scope", "src", "dst")
+
+
+@query(f"WITH {_REC} SELECT n, count(*) AS nodes FROM (SELECT scope, dst, count(*) AS n FROM e GROUP BY 1, 2) GROUP BY 1")
+def record_fanout(spark, sf_dir):
+    a = graph.adjacency(B.record_edges(spark, sf_dir)).select(F.size("dependents").alias("n")).where("n > 0")
+    return a.groupBy("n").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query(f"""
+WITH RECURSIVE {_REC}, {_REACH}, {_LEVELS},
+p AS (SELECT lev.scope, lev.node, any_value(lev.level) AS level, coalesce(list(r.dst ORDER BY coalesce(b.level, -1), r.dst) FILTER (WHERE r.dst IS NOT NULL), []) AS prereqs
+  FROM lev LEFT JOIN r ON r.scope = lev.scope AND r.src = lev.node LEFT JOIN lev b ON b.scope = r.scope AND b.node = r.dst GROUP BY 1, 2)
+SELECT p.scope, p.node, array_to_string(p.prereqs, ',') AS prereqs, CASE WHEN p.level IS NULL THEN NULL WHEN len(p.prereqs) = 0 THEN 'root' WHEN list_append(q.prereqs, p.prereqs[-1]) = p.prereqs THEN 'reuse' ELSE 'integration' END AS base_kind
+FROM p LEFT JOIN p q ON q.scope = p.scope AND q.node = p.prereqs[-1]""")
+def record_base_kinds(spark, sf_dir):
+    """Prerequisites in order of level and name; a node on or above a cycle has no base."""
+    e = B.record_edges(spark, sf_dir)
+    level = materialize(graph.levels(B.record_nodes(spark, sf_dir), e))
+    full = graph.ordered_prerequisites(graph.closure(e), level.select("scope", "node", F.struct(F.coalesce("level", F.lit(-1)).alias("level"), "node").alias("rank")))
+    every = level.join(full, ["scope", "node"], "left").withColumn("prereqs", F.coalesce("prereqs", F.array().cast("array<string>")))
+    b = graph.bases(every).join(every, ["scope", "node"])
+    return b.select("scope", "node", F.array_join("prereqs", ",").alias("prereqs"), F.when(F.col("level").isNotNull(), F.col("base_kind")).alias("base_kind"))
 
 
 @query(f"""
