@@ -144,16 +144,14 @@ class Index:
         for p, (word, _, _) in enumerate(words):
             for number, at in self.postings.get(word, ()):
                 label, whole_line, needed, weighed, total, form, slack = self.entries[number]
+                if (number, p - at) in tried:
+                    continue
+                tried.add((number, p - at))
                 first = max(0, p - at - slack)
                 last = min(len(words), p - at + len(needed) + slack)
-                if (number, first) in tried:
-                    continue
-                tried.add((number, first))
                 if form:
                     a, b = words[first][1], words[last - 1][2]
-                    m = form.search(clear, a, min(len(clear), b + 1))
-                    if m:
-                        found.append((label, m.start(), m.end(), 1.0))
+                    found.extend((label, m.start(), m.end(), 1.0) for m in form.finditer(clear, a, min(len(clear), b + 1)))
                     continue
                 if whole_line:
                     a = clear.rfind("\n", 0, words[p][1]) + 1
@@ -168,7 +166,7 @@ class Index:
                 score = sum(self.weight(w) * min(n, have[w]) for w, n in weighed.items()) / total
                 if score >= self.containment:
                     found.append((label, words[first][1], words[last - 1][2], score))
-        return found + self._covered(words)
+        return list(dict.fromkeys(found)) + self._covered(words)
 
     def _is_latin(self, word: str) -> bool:
         known = self.seen_words.get(word)
