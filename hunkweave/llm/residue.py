@@ -182,32 +182,43 @@ class Index:
         return any(bytes(map(eq, plain, plain[p:])).find(b"\x01" * max(run, 3 * p)) >= 0 for p in range(1, 9))
 
     def _covered(self, words: list[tuple[str, int, int]], window: int = 8, share: float = 0.85, run: int = 12) -> list[tuple[str, int, int, float]]:
-        """Windows covered by filler words, and runs of up to eight words (or pairs of signs) over and over."""
+        """Every longest stretch of windows covered by filler words, and every run of up to eight words (or pairs of signs) over and over."""
         found = []
         plain = [w for w, _, _ in words]
         distinct = set(plain)
         size = min(window, len(words))
-        for kind, members in (("mash", self.mash & distinct), ("latin", {w for w in distinct if self._is_latin(w)})):
+        for members in (self.mash & distinct, {w for w in distinct if self._is_latin(w)}):
             if size < 5 or len(members) < 3:
                 continue
             inside = [w in members for w in plain]
             count = sum(inside[:size])
-            for i in range(size, len(words) + 1):
-                if count >= share * size:
-                    found.append(("filler", words[i - size][1], words[i - 1][2], count / size))
-                    break
+            start, best = None, 0.0
+            for i in range(size, len(words) + 2):
+                if i <= len(words) and count >= share * size:
+                    if start is None:
+                        start, best = i - size, 0.0
+                    best = max(best, count / size)
+                elif start is not None:
+                    found.append(("filler", words[start][1], words[i - 2][2], best))
+                    start = None
                 if i < len(words):
                     count += inside[i] - inside[i - size]
+        known = bytearray(len(plain))
         for period in range(1, 9):
             least = max(run, 3 * period)
-            at = bytes(map(eq, plain, plain[period:])).find(b"\x01" * least)
-            if at >= 0 and all(w.replace("'", "").isalpha() for w in plain[at : at + period]):
-                found.append(("filler", words[at][1], words[at + least][2], 1.0))
-                break
+            equal = bytes(map(eq, plain, plain[period:]))
+            at = equal.find(b"\x01" * least)
+            while at >= 0:
+                end = equal.find(b"\x00", at)
+                end = len(equal) if end < 0 else end
+                # A run of a shorter period is one of its multiples too.
+                if all(w.replace("'", "").isalpha() for w in plain[at : at + period]) and not all(known[at : end + period]):
+                    known[at : end + period] = b"\x01" * (end + period - at)
+                    found.append(("filler", words[at][1], words[end + period - 1][2], 1.0))
+                at = equal.find(b"\x01" * least, end)
         for word, a, b in words:
             if b - a >= 12 and word.isascii() and word.isalpha() and len(set(word)) == 1:
                 found.append(("filler", a, b, 1.0))
-                break
         return found
 
 

@@ -26,3 +26,17 @@ def test_a_chance_word_near_the_start_hides_no_notice(index):
 def test_each_of_two_near_marks_is_a_passage(index):
     text = "by [insert owner] and [insert date] now"
     assert {text[a:b] for label, a, b, _ in index.find(text) if label == "mark"} == {"[insert owner]", "[insert date]"}
+
+
+@pytest.mark.parametrize("lead", ["1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 lines. ", "3 " * 40 + "rows. ", "# " * 40 + "end. "])
+def test_a_run_of_numbers_or_signs_hides_no_later_filler(index, lead):
+    text = lead + "xx " * 14
+    assert [text[a:b] for label, a, b, _ in index.find(text) if label == "filler"] == [("xx " * 14).strip()]
+
+
+def test_every_filler_passage_comes_out_whole(index):
+    parts = ["xx " * 20, "ab cd " * 20, "asdf qwer zxcv jkl uiop asdf qwer zxcv hjkl asdf ", "ipsumdol sitlor ipamcon dolsit conlor amet metdol lorem dolor ", "X" * 15 + " "]
+    gap = "The unit is read before the slice and nothing here moves at all. "
+    text = gap + gap.join(parts + parts) + gap
+    spans = [text[a:b] for label, a, b, _ in index.find(text) if label == "filler"]
+    assert all(sum(p.strip() in s for s in spans) == 2 for p in parts)
