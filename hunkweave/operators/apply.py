@@ -19,12 +19,17 @@ from hunkweave.functions.hashes import blob_hash
 _HEADER = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
 
+def _lines(text: str) -> list[str]:
+    """Lines with their ends; only a line feed ends a line, as in a diff."""
+    return re.findall(r"[^\n]*\n|[^\n]+", text)
+
+
 def sides(raw: str) -> tuple[int, list[str], list[str]]:
     """(old start, old lines, new lines) of a hunk, line ends kept."""
     head, _, body = raw.partition("\n")
     start = int(_HEADER.match(head)[1])
     old, new, last = [], [], None
-    for line in body.splitlines(keepends=True):
+    for line in _lines(body):
         mark, text = line[:1], line[1:]
         if mark == "\\":  # no newline at the end of the side before
             for side in last or ():
@@ -38,7 +43,7 @@ def sides(raw: str) -> tuple[int, list[str], list[str]]:
 
 def apply_hunks(content: str, raws: Iterable[str], reverse: bool = False) -> str:
     """Content with hunks applied in order; raises ValueError where one does not fit."""
-    lines = content.splitlines(keepends=True)
+    lines = _lines(content)
     shift = 0
     for raw in raws:
         start, old, new = sides(raw)
@@ -48,7 +53,7 @@ def apply_hunks(content: str, raws: Iterable[str], reverse: bool = False) -> str
         far = max(want, len(lines) - want) + 1
         at = next((p for d in range(far) for p in ({want - d, want + d}) if 0 <= p and lines[p : p + len(old)] == old and p + len(old) <= len(lines)), None)
         if at is None:
-            raise ValueError(f"hunk {raw.splitlines()[0]} does not apply")
+            raise ValueError(f"hunk {raw.partition(chr(10))[0]} does not apply")
         lines[at : at + len(old)] = new
         shift += len(new) - len(old) + (at - want)
     return "".join(lines)

@@ -652,13 +652,24 @@ def review_units(spark, sf_dir):
     return plan.coarse(12)
 
 
+def _rebuilt(d):
+    lines = F.split("content", "\n", -1)
+    full = F.concat(F.lit("@@ -0,0 +1,"), F.size(lines).cast("string"), F.lit(" @@\n+"), F.array_join(lines, "\n+"), F.lit("\n\\ No newline at end of file\n"))
+    steps = d.select("scope", "path", F.lit(0).alias("step"), F.lit(0).alias("hunk_index"), full.alias("raw"))
+    return apply.rebuild_check(d.where("false"), steps, d).select("scope", "same")
+
+
 @query(r"""
 WITH l AS (SELECT doc_id AS scope, list_filter(string_split(text, chr(10)), lambda x: true) AS a FROM documents WHERE doc_kind = 'commit_message' AND text IS NOT NULL AND NOT contains(text, chr(13)))
 SELECT scope, true AS same FROM l WHERE len(a) >= 1""")
 def rebuild_text(spark, sf_dir):
     """Texts taken apart into one hunk per text and applied again: the rebuilt tree is the text's own tree."""
     d = table(spark, sf_dir, "documents").where("doc_kind = 'commit_message' and text is not null and not contains(text, '\r')").select(F.col("doc_id").alias("scope"), F.lit("message").alias("path"), F.col("text").alias("content"), F.lit("100644").alias("mode"))
-    lines = F.split("content", "\n", -1)
-    full = F.concat(F.lit("@@ -0,0 +1,"), F.size(lines).cast("string"), F.lit(" @@\n+"), F.array_join(lines, "\n+"), F.lit("\n\\ No newline at end of file\n"))
-    steps = d.select("scope", "path", F.lit(0).alias("step"), F.lit(0).alias("hunk_index"), full.alias("raw"))
-    return apply.rebuild_check(d.where("false"), steps, d).select("scope", "same")
+    return _rebuilt(d)
+
+
+@query("SELECT DISTINCT doc_id AS scope, true AS same FROM documents WHERE text IS NOT NULL")
+def rebuild_documents(spark, sf_dir):
+    """The same for every text of every kind, whatever its line ends."""
+    d = table(spark, sf_dir, "documents").where("text is not null").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("scope"), F.lit("message").alias("path"), F.col("text").alias("content"), F.lit("100644").alias("mode"))
+    return _rebuilt(materialize(d))

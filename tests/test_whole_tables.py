@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+from hunkweave.operators import apply
 from hunkweave.plans import registry
 
 
@@ -27,3 +28,11 @@ def test_every_manifest_and_push_is_ordered(spark, data, duck):
     assert {tuple(r) for r in registry.QUERIES["record_closure"](spark, data).collect()} == pairs
     cyclic = {s for s, n, d in pairs if n == d}
     assert {s for (s, _), at in place.items() if at is None} == cyclic
+
+
+def test_only_a_line_feed_ends_a_line():
+    text = "one\rtwo\x0cthree\n four\x85five\r\n\n\rsix"
+    lines = text.split("\n")
+    add = f"@@ -0,0 +1,{len(lines)} @@\n+" + "\n+".join(lines) + "\n\\ No newline at end of file\n"
+    assert apply.apply_hunks("", [add]) == text
+    assert apply.apply_hunks(text, [add], reverse=True) == ""
