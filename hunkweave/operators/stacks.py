@@ -69,15 +69,17 @@ def open_members(prs: Column) -> Column:
     return F.transform(F.filter(prs, lambda p: ~p["merged"] & (p["state"] != "closed")), lambda p: p["number"])
 
 
-def plan_links(wanted: DataFrame, stacks: DataFrame) -> DataFrame:
+def plan_links(wanted: DataFrame, stacks: DataFrame, earlier: bool = False) -> DataFrame:
     """(chain_id, link_status, stack_number, added) for each chain of pull requests.
 
     ``wanted``: (chain_id, prs array<int>), ``stacks``: (stack_number, prs array<struct<number, state, merged>>). No stack
     holds a member: ``created``. Several do: ``diverged``. Else the open members decide: they begin with the chain
-    (``unchanged``), the chain begins with them (``extended`` by the rest), or ``diverged``.
+    (``unchanged``), the chain begins with them (``extended`` by the rest), or ``diverged``. With ``earlier`` only stacks of
+    numbers below the chain's own hold it.
     """
     held = stacks.select("stack_number", F.explode("prs").alias("p")).select("stack_number", F.col("p.number").alias("pr"))
-    touch = wanted.select("chain_id", F.explode("prs").alias("pr")).join(held, "pr").groupBy("chain_id").agg(F.count_distinct("stack_number").alias("holders"), F.min("stack_number").alias("stack_number"))
+    met = wanted.select("chain_id", F.explode("prs").alias("pr")).join(held, "pr")
+    touch = (met.where("stack_number < chain_id") if earlier else met).groupBy("chain_id").agg(F.count_distinct("stack_number").alias("holders"), F.min("stack_number").alias("stack_number"))
     opened = stacks.select("stack_number", open_members(F.col("prs")).alias("open"))
     joined = wanted.join(touch, "chain_id", "left").join(opened, "stack_number", "left")
     w, o = F.col("prs"), F.col("open")

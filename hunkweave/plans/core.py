@@ -567,6 +567,25 @@ def drift(spark, sf_dir):
     return reconcile.drift(units, heads).select("branch", "slice_signature", "drift", "status")
 
 
+@query("""
+WITH k AS (SELECT snapshot_no, lead(snapshot_no) OVER (ORDER BY snapshot_no) AS next_no FROM (SELECT DISTINCT snapshot_no FROM correspondence WHERE snapshot_no IS NOT NULL)),
+s AS (SELECT c.snapshot_no, k.next_no, branch, slice_signature, commit_sha, adopted, slice_branch FROM correspondence c JOIN k ON k.snapshot_no = c.snapshot_no AND k.next_no IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY c.snapshot_no, branch, slice_signature ORDER BY updated_at DESC NULLS LAST, id DESC NULLS LAST) = 1),
+h AS (SELECT snapshot_no, slice_branch, max(commit_sha) AS sha FROM correspondence WHERE slice_branch IS NOT NULL AND commit_sha IS NOT NULL GROUP BY 1, 2)
+SELECT s.snapshot_no, s.next_no, s.branch, s.slice_signature, CASE WHEN s.commit_sha IS NULL THEN NULL WHEN h.sha IS NULL THEN 'missing' WHEN h.sha <> s.commit_sha THEN 'moved' END AS drift,
+  CASE WHEN s.commit_sha IS NULL THEN 'unchanged' WHEN h.sha IS NULL THEN CASE WHEN adopted THEN 'blocked' ELSE 'updated' END WHEN h.sha <> s.commit_sha THEN 'blocked' ELSE 'unchanged' END AS status
+FROM s LEFT JOIN h ON h.slice_branch = s.slice_branch AND h.snapshot_no = s.next_no""")
+def drift_steps(spark, sf_dir):
+    """Every delivered snapshot against the next one."""
+    c = table(spark, sf_dir, "correspondence")
+    numbers = c.select("snapshot_no").where("snapshot_no is not null").distinct()
+    following = numbers.select("snapshot_no", F.lead("snapshot_no").over(Window.orderBy("snapshot_no")).alias("next_no")).where("next_no is not null")
+    rows = latest(c.select("snapshot_no", "branch", "slice_signature", "updated_at", "id", "commit_sha", "adopted", "slice_branch"), ["snapshot_no", "branch", "slice_signature"], "updated_at", "id").join(F.broadcast(following), "snapshot_no")
+    units = rows.select("snapshot_no", "next_no", "branch", "slice_signature", F.struct(F.col("next_no").alias("no"), F.col("slice_branch").alias("name")).alias("branch_name"), F.lit("unchanged").alias("status"), F.col("commit_sha").alias("stored_sha"), "adopted")
+    heads = c.where("slice_branch is not null and commit_sha is not null").groupBy(F.struct(F.col("snapshot_no").alias("no"), F.col("slice_branch").alias("name")).alias("branch_name")).agg(F.max("commit_sha").alias("remote_sha"))
+    return reconcile.drift(units, heads).select("snapshot_no", "next_no", "branch", "slice_signature", "drift", "status")
+
+
 @query("""
 SELECT event_id, coalesce(last_value(CASE WHEN event_type <> 'error' THEN CAST(event_id AS VARCHAR) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'main') AS base FROM events""")
 def running_base(spark, sf_dir):
@@ -635,6 +654,20 @@ def stack_links(spark, sf_dir):
     return stacks.plan_links(wanted, held).select("chain_id", "link_status")
 
 
+@query(f"""
+WITH c AS (SELECT push_id, list(pr_number ORDER BY node_id) AS prs FROM {_S} WHERE adopted = false AND push_id IS NOT NULL GROUP BY 1), o AS (SELECT push_id AS stack_number, list(pr_number ORDER BY node_id) AS prs FROM {_S} WHERE push_id IS NOT NULL GROUP BY 1),
+h AS (SELECT c.push_id, count(DISTINCT o.stack_number) AS n, min(o.stack_number) AS s FROM (SELECT push_id, unnest(prs) AS pr FROM c) c JOIN (SELECT stack_number, unnest(prs) AS pr FROM o) o ON o.pr = c.pr AND o.stack_number < c.push_id GROUP BY 1)
+SELECT c.push_id AS chain_id, CASE WHEN h.n IS NULL THEN 'created' WHEN h.n > 1 THEN 'diverged' WHEN len(c.prs) <= len(o.prs) AND o.prs[:len(c.prs)] = c.prs THEN 'unchanged' WHEN len(o.prs) <= len(c.prs) AND c.prs[:len(o.prs)] = o.prs THEN 'extended' ELSE 'diverged' END AS link_status
+FROM c LEFT JOIN h ON h.push_id = c.push_id LEFT JOIN o ON o.stack_number = h.s""")
+def stack_links_earlier(spark, sf_dir):
+    """Every push's chain against the stacks of all earlier pushes."""
+    n = table(spark, sf_dir, "stack_nodes").dropDuplicates(["node_id"]).where("push_id is not null")
+    pairs = F.array_sort(F.collect_list(F.struct("node_id", "pr_number")))
+    wanted = n.where("not adopted").groupBy(F.col("push_id").alias("chain_id")).agg(F.transform(pairs, lambda p: p["pr_number"]).alias("prs"))
+    held = n.groupBy(F.col("push_id").alias("stack_number")).agg(F.transform(pairs, lambda p: F.struct(p["pr_number"].alias("number"), F.lit("open").alias("state"), F.lit(False).alias("merged"))).alias("prs"))
+    return stacks.plan_links(wanted, held, earlier=True).select("chain_id", "link_status")
+
+
 @query("SELECT command, count(*) AS run_count FROM (SELECT DISTINCT ON (id) * FROM timing_runs) GROUP BY 1")
 def command_counts(spark, sf_dir):
     return table(spark, sf_dir, "timing_runs").dropDuplicates(["id"]).groupBy("command").agg(F.count(F.lit(1)).alias("run_count"))

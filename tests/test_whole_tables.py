@@ -2,7 +2,7 @@
 
 from collections import defaultdict
 
-from hunkweave.operators import apply
+from hunkweave.operators import apply, stacks
 from hunkweave.plans import registry
 
 
@@ -36,3 +36,16 @@ def test_only_a_line_feed_ends_a_line():
     add = f"@@ -0,0 +1,{len(lines)} @@\n+" + "\n+".join(lines) + "\n\\ No newline at end of file\n"
     assert apply.apply_hunks("", [add]) == text
     assert apply.apply_hunks(text, [add], reverse=True) == ""
+
+
+def test_drift_takes_every_pair_of_snapshots(spark, data, duck):
+    want = duck.execute("SELECT DISTINCT snapshot_no, branch, slice_signature FROM correspondence WHERE snapshot_no < (SELECT max(snapshot_no) FROM correspondence)").fetchall()
+    got = [(r["snapshot_no"], r["branch"], r["slice_signature"]) for r in registry.QUERIES["drift_steps"](spark, data).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_stacks_of_odd_pushes_hold_chains(spark):
+    wanted = spark.createDataFrame([(3, [1, 2, 3]), (1, [1, 2]), (4, [1])], "chain_id long, prs array<int>")
+    held = spark.createDataFrame([(1, [(1, "open", False), (2, "open", False)]), (3, [(1, "open", False)])], "stack_number long, prs array<struct<number: int, state: string, merged: boolean>>")
+    got = {r["chain_id"]: r["link_status"] for r in stacks.plan_links(wanted, held, earlier=True).collect()}
+    assert got == {1: "created", 3: "extended", 4: "diverged"}
