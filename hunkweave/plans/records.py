@@ -32,6 +32,11 @@ def p2_descendants(spark, sf_dir):
     return _hierarchy(spark, sf_dir, "descendants").select("source_table", "node_id", "chain_id", "from_pos", "to_pos")
 
 
+def p2_chains(spark, sf_dir):
+    """The nodes that the intervals of p2_descendants name."""
+    return _hierarchy(spark, sf_dir, "chains").select("source_table", "node_id", "chain_id", "chain_pos")
+
+
 def p2_descendant_counts(spark, sf_dir):
     found = _hierarchy(spark, sf_dir, "descendants").groupBy("source_table", "node_id")
     return found.agg(F.sum(F.col("to_pos") - F.col("from_pos") + 1).alias("descendant_count"))
@@ -120,7 +125,7 @@ GROUP BY 1, 2
 """
 
 QUERIES = {
-    "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p2_descendant_counts": p2_descendant_counts,
+    "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p2_chains": p2_chains, "p2_descendant_counts": p2_descendant_counts,
     "p1_found": p1_found, "p1_counts": p1_counts, "p4_found": p4_found,
 }
 SQL = {

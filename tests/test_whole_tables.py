@@ -49,3 +49,15 @@ def test_stacks_of_odd_pushes_hold_chains(spark):
     held = spark.createDataFrame([(1, [(1, "open", False), (2, "open", False)]), (3, [(1, "open", False)])], "stack_number long, prs array<struct<number: int, state: string, merged: boolean>>")
     got = {r["chain_id"]: r["link_status"] for r in stacks.plan_links(wanted, held, earlier=True).collect()}
     assert got == {1: "created", 3: "extended", 4: "diverged"}
+
+
+def test_chains_name_the_descendants(spark, data, duck):
+    nodes = {(r["source_table"], r["chain_id"], r["chain_pos"]): r["node_id"] for r in registry.QUERIES["p2_chains"](spark, data).collect()}
+    got = {
+        (r["node_id"], nodes[r["source_table"], r["chain_id"], at]) for r in registry.QUERIES["p2_descendants"](spark, data).collect() if r["source_table"] == "stack_nodes" for at in range(r["from_pos"], r["to_pos"] + 1)
+    }
+    want = duck.execute("""
+        WITH RECURSIVE s AS (SELECT DISTINCT node_id, push_id, branch, base FROM stack_nodes), l AS (SELECT DISTINCT c.node_id AS c, p.node_id AS p FROM s c JOIN s p ON p.push_id = c.push_id AND p.branch = c.base),
+        r AS (SELECT p AS a, c AS b FROM l UNION SELECT r.a, l.c FROM r JOIN l ON l.p = r.b), cyc AS (SELECT a FROM r WHERE a = b)
+        SELECT a, b FROM r WHERE a NOT IN (SELECT a FROM cyc) AND b NOT IN (SELECT a FROM cyc) AND b NOT IN (SELECT b FROM r WHERE a IN (SELECT a FROM cyc))""").fetchall()
+    assert got == set(want)
