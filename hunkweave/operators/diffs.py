@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed values of the diff format: the hunk header, and the header lines that tell why a section has no hunks, first match first.
 HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
+EXCLUSIONS = (
+    (r"(?m)^Binary files |^GIT binary patch", "binary"),
+    (r"(?m)^rename (from|to) ", "rename-only"),
+    (r"(?m)^(old|new) mode ", "mode-only"),
+    (r"(?m)^(new|deleted) file mode ", "empty-file"),
+)
+UNRECOGNIZED = "unrecognized"
+
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
     hit = F.regexp_extract(text, pattern, group)
@@ -51,10 +60,8 @@ def hunks(file_sections: DataFrame) -> DataFrame:
 
 def exclusion_reason(header: Column) -> Column:
     """Why a section has no hunks, from its header; the order of the rules decides."""
-    return (
-        F.when(header.rlike(r"(?m)^Binary files |^GIT binary patch"), "binary").when(header.rlike(r"(?m)^rename (from|to) "), "rename-only")
-        .when(header.rlike(r"(?m)^(old|new) mode "), "mode-only").when(header.rlike(r"(?m)^(new|deleted) file mode "), "empty-file").otherwise("unrecognized")
-    )
+    reasons = [F.when(header.rlike(pattern), word) for pattern, word in EXCLUSIONS]
+    return F.coalesce(*reasons, F.lit(UNRECOGNIZED))
 
 
 def excluded(file_sections: DataFrame) -> DataFrame:
@@ -64,7 +71,7 @@ def excluded(file_sections: DataFrame) -> DataFrame:
     kept = F.filter(lines, lambda l: ~l.startswith("diff --git") & ~l.startswith("index "))
     empty = F.col("path").isNull() | F.col("body").isNull()
     unusable = ~empty & ~F.exists(F.split("body", r"(?m)(?=^@@ )"), lambda h: h.rlike(HUNK_HEADER))
-    detail = F.when(unusable, "no hunks in this section").when(reason == "unrecognized", F.array_join(F.slice(lines, 1, 3), " / ")).otherwise(F.array_join(kept, " / "))
+    detail = F.when(unusable, "no hunks in this section").when(reason == UNRECOGNIZED, F.array_join(F.slice(lines, 1, 3), " / ")).otherwise(F.array_join(kept, " / "))
     return file_sections.where(empty | unusable).select("diff_id", "section_pos", "path", reason.alias("reason"), detail.alias("detail"))
 
 

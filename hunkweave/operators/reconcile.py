@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from hunkweave.functions.hashes import short_sha
 
+# Fixed value: a line that is a change id and nothing else; a line ends at a line feed, a carriage return or a Unicode separator.
+TRAILER = r"(?<![^\n\r\u2028\u2029])Change-Id: I[0-9a-f]{40}(?![^\n\r\u2028\u2029])"
+
 
 def unit_status(merged: Column, stored_hash: Column, exists: Column, new_hash: Column, dry_run: Column) -> Column:
     """squash-merged, else unchanged, else dry-run, else updated or created."""
@@ -147,7 +150,7 @@ def change_ids(commits: DataFrame, scope: str = "scope") -> DataFrame:
 
     ``commits``: (scope, pos, sha, message). The id made here comes from the commit's own sha, so a second run makes the same.
     """
-    has = F.col("message").rlike(r"(?m)^Change-Id: I[0-9a-f]{40}\s*$")
+    has = F.col("message").rlike(TRAILER)
     w = Window.partitionBy(scope).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     made = F.concat(F.regexp_replace("message", r"\n+$", ""), F.lit("\n\nChange-Id: I"), F.sha1(F.col("sha").cast("binary")), F.lit("\n"))
     return commits.withColumn("rewrite", F.max((~has).cast("int")).over(w) == 1).withColumn("new_message", F.when(has, F.col("message")).otherwise(made))

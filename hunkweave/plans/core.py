@@ -617,7 +617,7 @@ def is_prefix(spark, sf_dir):
 
 
 @query(r"""
-SELECT doc_id, max(CASE WHEN regexp_matches(text, '(?m)^Change-Id: I[0-9a-f]{40}\s*$') THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY created_at, doc_id ROWS UNBOUNDED PRECEDING) = 1 AS rewrite
+SELECT doc_id, max(CASE WHEN regexp_matches(text, '(^|[\n\r\x{2028}\x{2029}])Change-Id: I[0-9a-f]{40}($|[\n\r\x{2028}\x{2029}])') THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY created_at, doc_id ROWS UNBOUNDED PRECEDING) = 1 AS rewrite
 FROM documents WHERE doc_kind = 'commit_message' AND text IS NOT NULL""")
 def change_ids(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("doc_kind = 'commit_message' and text is not null").select("source", "doc_id", F.struct("created_at", "doc_id").alias("pos"), F.col("doc_id").cast("string").alias("sha"), F.col("text").alias("message"))
