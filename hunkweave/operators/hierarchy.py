@@ -1,11 +1,11 @@
 """Parent links turned into full hierarchies: roots, depths, paths and descendants, with cycles set apart.
 
-Nodes on or below a cycle are separated first. The rest is cut into heavy paths: each node keeps one parent, its deepest,
-subtree sizes over these links choose one child per node to continue the node's chain, and every other link is light.
-Paths are concatenations of chain segments, descendants are suffixes of chains.
+Nodes on or below a cycle are separated first. The rest is cut into heavy paths: each node keeps one parent, the least,
+subtree sizes over these links choose one child per node to continue the node's chain (of equal sizes the least child), and
+every other link is light. Paths are concatenations of chain segments, descendants are suffixes of chains.
 
 Groups of bounded size (a push, a manifest) are solved whole inside one task, many groups at a time. Larger groups go
-through the distributed form in ``hunkweave.operators.deep_hierarchy``.
+through the distributed form in ``hunkweave.operators.deep_hierarchy``, which gives the same rows by the same rules.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ SCHEMAS = {
     "paths": "grp string, node_id long, root_id long, node_depth long, path array<long>",
     "chains": "grp string, node_id long, chain_id long, chain_pos long, subtree_size long",
     "descendants": "grp string, node_id long, chain_id long, from_pos long, to_pos long",
+    "levels": "grp string, node_id long, level long",
+    "cycles": "grp string, node_id long, component long",
 }
 
 
@@ -52,15 +54,16 @@ class Forest:
                     order.append(c)
         self.order = order
         self.sound = [not w for w in waiting]
-        self.on_cycle = self._cycle_members([v for v in range(self.n) if waiting[v]])
+        self.rings = self._rings([v for v in range(self.n) if waiting[v]])
+        self.on_cycle = {v for ring in self.rings for v in ring}
 
-    def _cycle_members(self, left: list[int]) -> set[int]:
-        """Members of strongly connected components with a cycle, among the nodes the ordering could not reach."""
+    def _rings(self, left: list[int]) -> list[list[int]]:
+        """Strongly connected components with a cycle, among the nodes the ordering could not reach; sorted members."""
         index: dict[int, int] = {}
         low: dict[int, int] = {}
         stack: list[int] = []
         held: set[int] = set()
-        found: set[int] = set()
+        found: list[list[int]] = []
         for start in left:
             if start in index:
                 continue
@@ -86,21 +89,24 @@ class Forest:
                     if work:
                         low[work[-1][0]] = min(low[work[-1][0]], low[v])
                     if low[v] == index[v]:
-                        cut = stack.index(v) if stack[-1] != v else len(stack) - 1
-                        members = stack[cut:]
-                        del stack[cut:]
+                        members = []
+                        while not members or members[-1] != v:
+                            members.append(stack.pop())
                         held.difference_update(members)
                         if len(members) > 1 or v in self.parents[v]:
-                            found.update(members)
+                            found.append(sorted(members))
         return found
 
-    def _chains(self) -> None:
+    def levels(self) -> list[int]:
+        """Links on the longest way up from each node to a root; of no meaning for nodes on or below cycles."""
         level = [0] * self.n
-        keep = [-1] * self.n
         for v in self.order:
             for p in self.parents[v]:
-                if level[p] + 1 > level[v]:
-                    level[v], keep[v] = level[p] + 1, p
+                level[v] = max(level[v], level[p] + 1)
+        return level
+
+    def _chains(self) -> None:
+        keep = [p[0] if p else -1 for p in self.parents]
         size = [1] * self.n
         heavy = [-1] * self.n
         for v in reversed(self.order):
@@ -108,7 +114,7 @@ class Forest:
                 size[keep[v]] += size[v]
         for v in self.order:
             p = keep[v]
-            if p >= 0 and (heavy[p] < 0 or size[v] > size[heavy[p]]):
+            if p >= 0 and (heavy[p] < 0 or (size[v], -v) > (size[heavy[p]], -heavy[p])):
                 heavy[p] = v
         chain, pos = [-1] * self.n, [0] * self.n
         members: dict[int, list[int]] = {}
@@ -126,7 +132,7 @@ class Forest:
         """(node, {root: (depth - position, entry node, light parent)}) in topological order.
 
         Along a chain the map only grows where light links enter, so it is kept per chain and copied where a light
-        link leaves.
+        link leaves. Of equally long ways the one over the least parent holds; the link within a chain is to the least.
         """
         running: dict[int, dict[int, tuple[int, int, int]]] = {}
         kept: dict[int, dict[int, tuple[int, int, int]]] = {}
@@ -200,6 +206,14 @@ def _solve(groups: np.ndarray, child: np.ndarray, parent: np.ndarray, linked: np
         for v in range(forest.n):
             if not forest.sound[v]:
                 emit(grp[v], ids[v], -1, ON_CYCLE if v in forest.on_cycle else INTO_CYCLE, *([None] if kind == "paths" else []))
+    elif kind == "levels":
+        level = forest.levels()
+        for v in range(forest.n):
+            emit(grp[v], ids[v], level[v] if forest.sound[v] else None)
+    elif kind == "cycles":
+        for ring in forest.rings:
+            for v in ring:
+                emit(grp[v], ids[v], ids[ring[0]])
     elif kind == "chains":
         for v in forest.order:
             emit(grp[v], ids[v], ids[forest.chain[v]], forest.pos[v], forest.size[v])
@@ -255,7 +269,7 @@ def hierarchy(nodes: DataFrame, links: DataFrame, kind: str = "roots", max_group
 
     Repeated nodes and links count once; rows with a null group, node or parent are ignored; links to or from unlisted
     nodes make those nodes known. A node without links is its own root. Empty input gives an empty result.
-    Groups of more than ``max_group_rows`` nodes and links take the distributed form.
+    Groups of more than ``max_group_rows`` nodes and links take the distributed form; the result does not depend on it.
     """
     rows = (
         nodes.select("grp", "node_id", F.lit(None).cast("long").alias("parent_id"))

@@ -83,6 +83,34 @@ def test_roots_paths_and_descendants_against_brute_force(spark, limit):
             assert all((r.grp, b, a) in known for a, b in zip(r.path, r.path[1:]))
 
 
+@pytest.mark.parametrize("kind", ["roots", "paths", "chains", "descendants", "levels", "cycles"])
+def test_both_forms_give_the_same_rows(spark, kind):
+    nodes, links = [], []
+    for seed in range(12):
+        n, l = graph(seed, groups=2, cycles=0.04)
+        nodes += [(f"{g}-{seed}", v) for g, v in n]
+        links += [(f"{g}-{seed}", v, p) for g, v, p in l]
+    links += [("six", 4, 1), ("six", 3, 2), ("six", 4, 3), ("six", 5, 4), ("six", 6, 1)]
+    n, l = frames(spark, nodes, links)
+    whole, parts = (sorted((tuple(r) for r in hierarchy(n, l, kind, max_group_rows=m).collect()), key=repr) for m in (10**9, 0))
+    assert whole == parts and whole
+
+
+def test_paths_take_the_least_parent_of_a_longest_way(spark):
+    n, l = frames(spark, [("t:0", v) for v in range(7)], [("t:0", 6, 5), ("t:0", 6, 3), ("t:0", 5, 4), ("t:0", 3, 1), ("t:0", 4, 0), ("t:0", 1, 0), ("t:0", 6, 2), ("t:0", 2, 0)])
+    for limit in (10**9, 0):
+        got = {r.node_id: r.path for r in hierarchy(n, l, "paths", max_group_rows=limit).collect()}
+        assert got[6] == [0, 1, 3, 6]
+
+
+def test_a_long_ring_is_found_in_few_rounds(spark):
+    n = spark.range(2000).selectExpr("'t:0' AS grp", "id AS node_id")
+    l = n.selectExpr("grp", "node_id", "(node_id + 1) % 1990 AS parent_id").where("node_id < 1990").unionByName(n.where("node_id >= 1990").selectExpr("grp", "node_id", "node_id - 1 AS parent_id"))
+    got = hierarchy(n, l, "roots", max_group_rows=1).groupBy("node_depth").count().collect()
+    assert {tuple(r) for r in got} == {(-1, 1990), (-2, 10)}
+    assert hierarchy(n, l, "cycles", max_group_rows=1).where("component = 0").count() == 1990
+
+
 def test_many_small_graphs_locally():
     for seed in range(200):
         nodes, links = graph(seed, groups=1, cycles=0.1)
