@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hunkweave.runtime import fits, materialize, release
+from hunkweave.operators.hierarchy import hierarchy
+from hunkweave.runtime import Growing, fits, materialize, release
 
 
 def components(edges: DataFrame, scope: str = "scope", a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
@@ -36,37 +37,60 @@ def components(edges: DataFrame, scope: str = "scope", a: str = "a", b: str = "b
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
-def closure(edges: DataFrame, scope: str = "scope", max_rounds: int = 60) -> DataFrame:
-    """(scope, src, dst) of every pair joined by a path of one or more edges; path lengths double each round."""
-    reach = materialize(edges.select(scope, "src", "dst").distinct())
-    count = reach.count()
-    for _ in range(max_rounds):
-        right = reach.select(scope, F.col("src").alias("dst"), F.col("dst").alias("far"))
-        longer = reach.join(right, [scope, "dst"]).select(scope, "src", F.col("far").alias("dst"))
-        new = materialize(reach.unionByName(longer).distinct())
-        grown = new.count()
-        release(reach)
-        reach = new
-        if grown == count:
-            return reach
-        count = grown
-    raise RuntimeError(f"the closure did not settle within {max_rounds} rounds")
-
-
-def levels(nodes: DataFrame, edges: DataFrame, scope: str = "scope", max_rounds: int = 10_000) -> DataFrame:
-    """(scope, node, level): the longest path down to a node that needs nothing; null on or above a cycle."""
-    need = materialize(edges.select(scope, "src", "dst").distinct())
-    left = materialize(nodes.select(scope, "node").distinct())
-    done: DataFrame | None = None
-    for depth in range(max_rounds):
-        waiting = need.join(left.withColumnRenamed("node", "dst"), [scope, "dst"], "left_semi").select(scope, F.col("src").alias("node")).distinct()
-        ready = materialize(left.join(waiting, [scope, "node"], "left_anti").withColumn("level", F.lit(depth)))
-        if fits(ready, 0):
-            break
-        done = ready if done is None else done.unionByName(ready)
-        left = materialize(left.join(ready, [scope, "node"], "left_anti"))
-    stuck = left.withColumn("level", F.lit(None).cast("int"))
-    return stuck if done is None else done.unionByName(stuck)
+def closure(edges: DataFrame, scope: str = "scope") -> DataFrame:
+    """(scope, src, dst) of every pair joined by a path of one or more edges, pairs within cycles and self-links included.
+
+    Path lengths double each round, and a round starts only from the pairs first found in the round before: the shortest way
+    of any farther pair begins with one of them. Rounds append to one table and none rewrites the pairs known before.
+    """
+    keys = [scope, "src", "dst"]
+    reach = Growing(edges.sparkSession)
+    fresh = reach.add(edges.select(*keys).distinct())
+    while not fits(fresh, 0):
+        known = reach.read()
+        onward = known.select(scope, F.col("src").alias("dst"), F.col("dst").alias("far"))
+        longer = fresh.join(onward, [scope, "dst"]).select(scope, "src", F.col("far").alias("dst")).distinct()
+        fresh = reach.add(longer.join(known, keys, "left_anti"))
+    return reach.read()
+
+
+def _numbered(nodes: DataFrame, edges: DataFrame, scope: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Nodes and links of ``hierarchy`` for names of any type, and the names (grp, node_id, scope, node), null where nodes are numbers."""
+    both = nodes.select(scope, "node").unionByName(edges.select(scope, F.col("src").alias("node"))).unionByName(edges.select(scope, F.col("dst").alias("node"))).dropna()
+    if dict(nodes.dtypes)["node"] in ("tinyint", "smallint", "int", "bigint"):
+        names, number = None, lambda c: F.col(c).cast("long")
+        n = both.select(F.col(scope).cast("string").alias("grp"), number("node").alias("node_id"))
+    else:
+        distinct = materialize(both.distinct())
+        for seed in range(8):
+            number = lambda c, seed=seed: F.xxhash64(F.lit(seed), F.col(c))
+            names = distinct.select(F.col(scope).cast("string").alias("grp"), number("node").alias("node_id"), scope, "node")
+            if names.groupBy("grp", "node_id").count().where("count > 1").isEmpty():
+                break
+        else:
+            raise RuntimeError("no collision-free numbering of the nodes was found")
+        n = names.select("grp", "node_id")
+    links = edges.select(F.col(scope).cast("string").alias("grp"), number("src").alias("node_id"), number("dst").alias("parent_id"))
+    return n, links, names
+
+
+def _named(rows: DataFrame, column: str, names: DataFrame | None, scope: str, kinds: dict[str, str]) -> DataFrame:
+    """(scope, node, column) again; the column is a node itself where it is called ``component``."""
+    if names is None:
+        value = F.col(column).cast(kinds["node"]) if column == "component" else F.col(column)
+        return rows.select(F.col("grp").cast(kinds[scope]).alias(scope), F.col("node_id").cast(kinds["node"]).alias("node"), value.alias(column))
+    return rows.join(names, ["grp", "node_id"]).select(scope, "node", column)
+
+
+def levels(nodes: DataFrame, edges: DataFrame, scope: str = "scope", max_group_rows: int = 200_000) -> DataFrame:
+    """(scope, node, level): the longest path down to a node that needs nothing; null on or above a cycle.
+
+    Levels are depths of the hierarchy whose roots need nothing, so long chains cost no more rounds than short ones.
+    """
+    kinds = dict(nodes.dtypes)
+    n, links, names = _numbered(nodes, edges, scope)
+    found = hierarchy(n, links, "levels", max_group_rows)
+    return _named(found.withColumn("level", F.col("level").cast("int")), "level", names, scope, kinds)
 
 
 def _kahn(nodes: list, edges: list[tuple]) -> list | None:
@@ -111,12 +135,17 @@ def kahn_order(nodes: DataFrame, edges: DataFrame, scope: str = "scope") -> Data
     return n.unionByName(e).groupBy(scope).applyInPandas(order, f"{scope} {kinds[scope]}, node {kinds['node']}, topo_num long")
 
 
-def strong_components(edges: DataFrame, scope: str = "scope") -> DataFrame:
-    """(scope, node, component) of the nodes in cycles of two or more; the component is its least node."""
-    reach = closure(edges, scope)
-    back = reach.select(scope, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.join(back, [scope, "src", "dst"]).where("src <> dst")
-    return mutual.groupBy(scope, F.col("src").alias("node")).agg(F.min("dst").alias("m")).select(scope, "node", F.least("node", "m").alias("component"))
+def strong_components(edges: DataFrame, scope: str = "scope", max_group_rows: int = 200_000) -> DataFrame:
+    """(scope, node, component) of the nodes in cycles of two or more; the component is its least node. No closure is built."""
+    nodes = edges.select(scope, F.col("src").alias("node"))
+    kinds = dict(nodes.dtypes)
+    n, links, names = _numbered(nodes, edges.where("src <> dst"), scope)
+    found = hierarchy(n, links, "cycles", max_group_rows)
+    if names is None:
+        return _named(found, "component", None, scope, kinds)
+    held = materialize(found.join(names, ["grp", "node_id"]).select(scope, "node", F.col("component").alias("_c")))
+    least = held.groupBy(scope, "_c").agg(F.min("node").alias("component"))
+    return held.join(least, [scope, "_c"]).select(scope, "node", "component")
 
 
 def cycle_report(edges: DataFrame, cyclic: DataFrame, scope: str = "scope") -> DataFrame:
