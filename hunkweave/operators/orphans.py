@@ -1,87 +1,105 @@
 """References to records that do not exist at the time of the reference.
 
-The target side is reduced to disjoint validity intervals per key. References are reduced to one row per key and
-instant before anything is joined. Keys that hold a large share of either side are split off: their intervals are
-broadcast when a count proves them small, else both sides are salted. All other keys go through one shuffled anti join.
+A reference at time t has a live target exactly where, of the targets with its key that start at or before t, one ends
+after t, that is, where the greatest end among them is after t. References are reduced to one row per key and instant before
+they meet targets. Keys with more rows than one task should hold are split off: their targets are broadcast where a count
+proves them few, else they are sorted into ranges over all executors and the greatest end so far is carried from range to
+range. All other keys go through one shuffle, in which references and targets of a key are merged in order of time; those
+left without a live target are the anti join's result. No step forms pairs of the references and targets of a key.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hunkweave.runtime import fits, heavy_hashes, key_hash
+from hunkweave.runtime import HEAVY_ROWS, heavy_counts, key_hash, materialize
 
 FOREVER = datetime(9999, 12, 31)
+TARGET, REFERENCE = 0, 1
 
 
-def _merge(spans: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("span_start", "span_end")
-    reach = F.max("span_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(reach.isNull() | (F.col("span_start") > reach), 1).otherwise(0)
-    marked = spans.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "_island").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end")).drop("_island")
+def _events(refs: DataFrame, targets: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Targets and references as one relation (keys, at, kind, until, ref_count); an open target ends after all times."""
+    kind = dict(refs.dtypes)["ref_at"]
+    until = F.coalesce(F.col(end).cast(kind), F.lit(FOREVER).cast(kind))
+    spans = targets.dropna(subset=keys).select(*keys, F.col(start).cast(kind).alias("_at"), F.lit(TARGET).alias("_kind"), until.alias("_until"), F.lit(0).cast("long").alias("ref_count")).where("_at is not null and _until > _at")
+    asked = refs.select(*keys, F.col("ref_at").alias("_at"), F.lit(REFERENCE).alias("_kind"), F.lit(None).cast(kind).alias("_until"), "ref_count")
+    return spans.unionByName(asked)
 
 
-def live_spans(targets: DataFrame, keys: list[str], start: str, end: str, heavy: list[int] | None = None) -> DataFrame:
-    """Disjoint half-open intervals per key in which at least one target row is live.
+def _merged(events: DataFrame, keys: list[str]) -> DataFrame:
+    """References without a live target, each key merged in order of time within one task. A target counts from its start on."""
+    w = Window.partitionBy(*keys).orderBy(F.col("_at").asc_nulls_first(), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max("_until").over(w)
+    return events.withColumn("_reach", reach).where((F.col("_kind") == REFERENCE) & (F.col("_reach").isNull() | F.col("_at").isNull() | (F.col("_reach") <= F.col("_at")))).select(*keys, "_at", "ref_count")
 
-    A null ``end`` is open. Rows with a null key part or null ``start``, and rows that end before they start, are never
-    live. Heavy keys are merged by day first, so that no task sorts all rows of such a key.
-    """
-    spans = (
-        targets.select(*keys, F.col(start).alias("span_start"), F.coalesce(F.col(end), F.lit(FOREVER)).alias("span_end"))
-        .where(F.col("span_start").isNotNull() & (F.col("span_end") > F.col("span_start")))
-        .dropna(subset=keys)
-        .groupBy(*keys, "span_start").agg(F.max("span_end").alias("span_end"))
-    )
-    if not heavy:
-        return _merge(spans, keys)
-    is_heavy = key_hash(keys).isin(heavy)
-    light = _merge(spans.where(~is_heavy), keys)
-    by_day = spans.where(is_heavy).withColumn("_day", F.to_date("span_start"))
-    return light.unionByName(_merge(_merge(by_day, [*keys, "_day"]).drop("_day"), keys))
+
+def _merged_in_ranges(events: DataFrame, keys: list[str], ranges: int) -> DataFrame:
+    """The same for keys of any size: ranges of (key, time) are merged on their own, and start from the reach of the ranges before."""
+    order = [*keys, F.col("_at").asc_nulls_first(), "_kind"]
+    ranged = materialize(events.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ranged.groupBy(*keys, "_range").agg(F.max("_until").alias("_m")).select(*keys, "_range", F.max("_m").over(before).alias("_carried"))
+    w = Window.partitionBy(*keys, "_range").orderBy(F.col("_at").asc_nulls_first(), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = ranged.withColumn("_here", F.max("_until").over(w)).join(carry, [*keys, "_range"])
+    reach = F.greatest("_here", "_carried")
+    return met.where((F.col("_kind") == REFERENCE) & (reach.isNull() | F.col("_at").isNull() | (reach <= F.col("_at")))).select(*keys, "_at", "ref_count")
+
+
+def _missing(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The same by a broadcast of the targets, which the caller has counted, grouped into one row per key."""
+    spans = events.where(F.col("_kind") == TARGET).groupBy(*keys).agg(F.collect_list(F.struct("_at", "_until")).alias("_spans"))
+    asked = events.where(F.col("_kind") == REFERENCE).select(*keys, "_at", "ref_count")
+    live = F.exists("_spans", lambda s: (s["_at"] <= F.col("_at")) & (F.col("_at") < s["_until"]))
+    return asked.join(F.broadcast(spans), keys, "left").where(~F.coalesce(live, F.lit(False))).select(*keys, "_at", "ref_count")
 
 
 def orphan_references(
     refs: DataFrame, targets: DataFrame, keys: list[str], at: str, start: str, end: str,
-    heavy_share: float = 0.001, heavy_floor: int = 100_000, broadcast_rows: int = 100_000, salts: int = 32,
+    heavy_rows: int = HEAVY_ROWS, broadcast_rows: int = 10_000, spans_per_key: int = 64, ranges: int | None = None,
 ) -> DataFrame:
     """(keys, ``at``, ref_count) of the references whose key has no target live at ``at``.
 
     ``ref_count`` is the number of reference rows pre-aggregated into the row. A reference with a null key part refers
     to nothing and is left out; one with a null ``at`` finds no live target and is an orphan. Further columns of either
     side are ignored, so clashing names do no harm; empty inputs give an empty result (an empty target side makes every
-    reference an orphan). ``start`` counts as live, ``end`` does not. Repeated target rows change nothing.
+    reference an orphan). ``start`` counts as live, ``end`` does not; a null ``end`` is open. Targets with a null key part or a
+    null ``start``, and those that end before they start, are never live. Repeated target rows change nothing.
+
+    A key is heavy with more than ``heavy_rows`` targets and references. Heavy keys whose targets are at most ``broadcast_rows``
+    in all and ``spans_per_key`` for each are broadcast, all other heavy keys are merged in ranges.
     """
-    refs = refs.select(*keys, F.col(at).alias("ref_at")).dropna(subset=keys)
-    heavy = sorted({*heavy_hashes(refs, keys, heavy_share, heavy_floor), *heavy_hashes(targets.select(*keys), keys, heavy_share, heavy_floor)})
-    pre = refs.groupBy(*keys, "ref_at").agg(F.count(F.lit(1)).alias("ref_count"))
-    spans = live_spans(targets, keys, start, end, heavy)
-
-    def missing(r: DataFrame, s: DataFrame, on: list[str]) -> DataFrame:
-        r, s = r.alias("r"), s.alias("s")
-        hit = (F.col("s.span_start") <= F.col("r.ref_at")) & (F.col("r.ref_at") < F.col("s.span_end"))
-        for k in on:
-            hit = (F.col(f"r.{k}") == F.col(f"s.{k}")) & hit
-        return r.join(s, hit, "left_anti")
-
-    if not heavy:
-        out = missing(pre, spans, keys)
-    else:
-        is_heavy = key_hash(keys).isin(heavy)
-        light = missing(pre.where(~is_heavy), spans.where(~is_heavy), keys)
-        hot_refs, hot_spans = pre.where(is_heavy), spans.where(is_heavy)
-        if fits(hot_spans, broadcast_rows):
-            hot = missing(hot_refs, F.broadcast(hot_spans), keys)
-        else:
-            salted = hot_refs.withColumn("_salt", F.pmod(F.xxhash64("ref_at"), F.lit(salts)).cast("int"))
-            copies = hot_spans.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-            hot = missing(salted, copies, [*keys, "_salt"]).drop("_salt")
-        out = light.unionByName(hot)
-    return out.withColumnRenamed("ref_at", at)
+    pre = refs.select(*keys, F.col(at).alias("ref_at")).dropna(subset=keys).groupBy(*keys, "ref_at").agg(F.count(F.lit(1)).alias("ref_count"))
+    events = _events(pre, targets, keys, start, end)
+
+    def back(rows: DataFrame) -> DataFrame:
+        return rows.select(*keys, F.col("_at").alias(at), "ref_count")
+
+    counts = heavy_counts(events, keys, heavy_rows, F.count_if(F.col("_kind") == TARGET).alias("spans"))
+    if not counts:
+        return back(_merged(events, keys))
+    few = sorted((r["spans"], r["h"]) for r in counts if r["spans"] <= spans_per_key)
+    total, small = 0, []
+    for spans, h in few:
+        total += spans
+        if total > broadcast_rows:
+            break
+        small.append(h)
+    large = sorted({r["h"] for r in counts} - set(small))
+
+    def within(hashes: list[int]) -> Column:
+        return key_hash(keys).isin(hashes) if hashes else F.lit(False)
+
+    out = back(_merged(events.where(~within([*small, *large])), keys))
+    if small:
+        out = out.unionByName(back(_missing(events.where(within(small)), keys)))
+    if large:
+        parts = ranges or int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        out = out.unionByName(back(_merged_in_ranges(events.where(within(large)), keys, parts)))
+    return out
 
 
 def entry_references(projections: DataFrame) -> DataFrame:
@@ -120,9 +138,8 @@ def entry_targets(hunks: DataFrame, projections: DataFrame) -> DataFrame:
 KEYS = ["target_kind", "target_scope", "ref_value"]
 
 
-def orphan_entries(projections: DataFrame, hunks: DataFrame, **options) -> DataFrame:
-    """(entry_id, field_name, ref_value, declared_at) of every entry reference whose target did not exist then."""
-    refs = entry_references(projections)
+def _orphans(refs: DataFrame, projections: DataFrame, hunks: DataFrame, **options) -> DataFrame:
+    """The rows of ``refs``, which are read twice, whose target did not exist."""
     lost = orphan_references(refs, entry_targets(hunks, projections), KEYS, "declared_at", "live_from", "live_to", **options).drop("ref_count")
     r, o = refs.alias("r"), lost.alias("o")
     same = F.col("r.declared_at").eqNullSafe(F.col("o.declared_at"))
@@ -131,9 +148,15 @@ def orphan_entries(projections: DataFrame, hunks: DataFrame, **options) -> DataF
     return r.join(o, same, "left_semi").select("entry_id", "field_name", "ref_value", "declared_at")
 
 
+def orphan_entries(projections: DataFrame, hunks: DataFrame, **options) -> DataFrame:
+    """(entry_id, field_name, ref_value, declared_at) of every entry reference whose target did not exist then."""
+    return _orphans(materialize(entry_references(projections)), projections, hunks, **options)
+
+
 def orphan_counts(projections: DataFrame, hunks: DataFrame, **options) -> DataFrame:
     """(field_name, month, ref_count, orphan_count): references and orphans by field and month of declared_at."""
+    refs = materialize(entry_references(projections))
     month = F.date_format("declared_at", "yyyy-MM").alias("month")
-    every = entry_references(projections).groupBy("field_name", month).agg(F.count(F.lit(1)).alias("ref_count"), F.lit(0).cast("long").alias("orphan_count"))
-    lost = orphan_entries(projections, hunks, **options).groupBy("field_name", month).agg(F.lit(0).cast("long").alias("ref_count"), F.count(F.lit(1)).alias("orphan_count"))
+    every = refs.groupBy("field_name", month).agg(F.count(F.lit(1)).alias("ref_count"), F.lit(0).cast("long").alias("orphan_count"))
+    lost = _orphans(refs, projections, hunks, **options).groupBy("field_name", month).agg(F.lit(0).cast("long").alias("ref_count"), F.count(F.lit(1)).alias("orphan_count"))
     return every.unionByName(lost).groupBy("field_name", "month").agg(F.sum("ref_count").alias("ref_count"), F.sum("orphan_count").alias("orphan_count"))

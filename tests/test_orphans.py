@@ -42,12 +42,24 @@ def test_edges_of_intervals_nulls_and_repeats(spark):
     assert found(spark, *CASES) == brute(*CASES)
 
 
-def test_hot_keys_by_broadcast_and_by_salt(spark):
-    refs = [("a", "hot", i % 40) for i in range(200)] + [("a", f"k{i}", i % 7) for i in range(50)]
-    targets = [("a", "hot", i, i + 1) for i in range(0, 40, 3)] + [("a", f"k{i}", 0, 3) for i in range(0, 50, 2)]
+def test_hot_keys_by_broadcast_and_in_ranges(spark):
+    refs = [("a", "hot", i % 40) for i in range(200)] + [("a", f"k{i}", i % 7) for i in range(50)] + [("a", "many", i) for i in range(60)]
+    targets = [("a", "hot", i, i + 1) for i in range(0, 40, 3)] + [("a", f"k{i}", 0, 3) for i in range(0, 50, 2)] + [("a", "many", i, i + (40 if i == 2 else 1)) for i in range(0, 60, 2)]
     want = brute(refs, targets)
-    for rows in (1000, 0):
-        assert found(spark, refs, targets, heavy_share=0.1, heavy_floor=20, broadcast_rows=rows, salts=3) == want
+    for options in ({"spans_per_key": 20}, {"spans_per_key": 20, "ranges": 7}, {"broadcast_rows": 0, "ranges": 5}, {"broadcast_rows": 10**6, "spans_per_key": 10**6}):
+        assert found(spark, refs, targets, heavy_rows=30, **options) == want
+
+
+def test_a_key_with_half_of_all_rows_on_both_sides(spark):
+    from pyspark.sql import functions as F
+
+    n = 200_000
+    at = F.timestamp_seconds(F.col("id") * 10)
+    key = F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id")))
+    refs = spark.range(n).select(F.lit("a").alias("kind"), key.alias("k"), at.alias("at"))
+    targets = spark.range(n).select(F.lit("a").alias("kind"), key.alias("k"), at.alias("s"), F.timestamp_seconds(F.col("id") * 10 + F.when(F.col("id") % 4 == 0, 15).otherwise(0)).alias("e"))
+    lost = orphans.orphan_references(refs, targets, KEYS, "at", "s", "e", heavy_rows=50_000, ranges=6)
+    assert {r["hot"]: r["n"] for r in lost.groupBy((F.col("k") == "hot").alias("hot")).agg(F.sum("ref_count").alias("n")).collect()} == {True: n // 4, False: n // 2}
 
 
 def test_empty_sides(spark):
