@@ -1,17 +1,21 @@
 """What changed between consecutive full snapshots, found by comparing Merkle digests before rows.
 
-Keys hash into a fixed number of leaf ranges. The digest of a leaf is an order-free combination of its row hashes, and
-a parent's digest combines its children. Consecutive snapshots are compared from the root down; only children of nodes
-that differ are compared further, and rows are compared only in leaves that differ.
+Keys hash into leaf ranges of a few keys each; their number follows from the rows of the largest snapshot. The digest of a
+leaf is an order-free combination of its row hashes, and a parent's digest combines its children. Consecutive snapshots are
+compared from the root down; only children of nodes that differ are compared further, and rows are compared only in leaves
+that differ. Rows are sent once, by their leaf: the digests, the choice of the open leaves and the comparison of rows all
+keep that partitioning.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hunkweave.functions.text import tidy
-from hunkweave.runtime import fits
+from hunkweave.runtime import fits, materialize, release
 
 
 def normalised_store(rows: DataFrame) -> DataFrame:
@@ -22,78 +26,81 @@ def normalised_store(rows: DataFrame) -> DataFrame:
     )
 
 
-def _sides(df: DataFrame, pairs: DataFrame, snapshot: str) -> DataFrame:
-    """Each row once as the later and, where a next snapshot exists, once as the earlier side of a pair."""
-    joined = df.join(pairs, df[snapshot] == pairs["_snap"]).drop("_snap")
-    both = F.array(F.struct(F.col("_pair").alias("pair"), F.lit(True).alias("later")), F.struct(F.col("_next").alias("pair"), F.lit(False).alias("later")))
-    return joined.withColumn("_side", F.explode(both)).withColumn("_p", F.col("_side.pair")).withColumn("_later", F.col("_side.later")).where(F.col("_p").isNotNull()).drop("_side", "_pair", "_next")
-
-
 def snapshot_changes(
     rows: DataFrame, key: list[str], values: list[str], snapshot: str, version: str,
-    bits_per_level: int = 4, levels: int = 4, broadcast_snapshots: int = 10_000,
+    leaf_keys: int = 64, bits_per_level: int = 4, max_bits: int = 30, broadcast_rows: int = 100_000,
 ) -> DataFrame:
     """(snapshot, key columns, change_type) for every key added, removed or changed between consecutive snapshots.
 
     Of several rows of a key in a snapshot the one with the greatest ``version`` holds (null is least; equal versions
     fall to the greatest values, so the result is defined). Null is a value like any other in keys and values. Rows with
     a null snapshot belong to none. The first snapshot has no predecessor and gives no rows. Other columns are ignored.
-    The tree has ``2 ** (bits_per_level * levels)`` leaves, a constant; the list of snapshots is broadcast only when
-    a count shows at most ``broadcast_snapshots`` of them.
+
+    The tree has as many leaves as give about ``leaf_keys`` keys each, at most ``2 ** max_bits``, and ``bits_per_level`` bits of
+    the key's hash for each level below the root. The shape changes no result. The list of snapshots comes to the
+    driver and must be at most ``broadcast_rows`` long; the leaves that differ are broadcast only when a count shows so few.
     """
-    depth = bits_per_level * levels
+    spark = rows.sparkSession
     values = list(values)
-    slim = rows.select(F.col(snapshot).alias("_snap_no"), *key, *values, F.col(version).alias("_version")).where(F.col("_snap_no").isNotNull())
+    slim = rows.select(F.col(snapshot).alias("_snap"), *key, *values, F.col(version).alias("_version")).where(F.col("_snap").isNotNull())
+    counts = slim.groupBy("_snap").agg(F.count(F.lit(1)).alias("_rows")).orderBy("_snap").limit(broadcast_rows + 1).collect()
+    if len(counts) > broadcast_rows:
+        raise ValueError(f"more than {broadcast_rows} snapshots")
+    largest = max((r["_rows"] for r in counts), default=0)
+    depth = min(max_bits, max(1, math.ceil(math.log2(max(1, largest / leaf_keys)))))
+    names = [r["_snap"] for r in counts]
+    snap_kind = dict(slim.dtypes)["_snap"]
+    pairs = F.broadcast(spark.createDataFrame(list(zip(names, [None, *names[:-1]], [*names[1:], None])), f"_snap {snap_kind}, _prev {snap_kind}, _next {snap_kind}"))
+
     state = F.struct(*values)
+    leaf = F.shiftrightunsigned(F.xxhash64(F.lit(1), *[F.col(k) for k in key]), 64 - depth).cast("int")
     held = (
-        slim.groupBy("_snap_no", *key)
-        .agg(F.max(F.struct(F.col("_version"), state.alias("state"))).getField("state").alias("_state"))
-        .withColumn("_leaf", F.shiftrightunsigned(F.xxhash64(F.lit(1), *[F.col(k) for k in key]), 64 - depth).cast("int"))
+        slim.withColumn("_leaf", leaf).repartition("_leaf")
+        .groupBy("_leaf", "_snap", *key).agg(F.max(F.struct(F.col("_version"), state.alias("state"))).getField("state").alias("_state"))
     )
     # A null must not hash like an absent field, so each value is hashed along with its null flag.
-    flags = [x for v in [*key] for x in (F.col(v), F.col(v).isNull())] + [x for v in values for x in (F.col(f"_state.{v}"), F.col(f"_state.{v}").isNull())]
+    flags = [x for k in key for x in (F.col(k), F.col(k).isNull())] + [x for v in values for x in (F.col(f"_state.{v}"), F.col(f"_state.{v}").isNull())]
     hashed = held.withColumn("_h1", F.xxhash64(F.lit(11), *flags)).withColumn("_h2", F.xxhash64(F.lit(23), *flags))
-
     # Sums modulo 2**64 without overflow errors: the two halves are summed apart.
-    low, high = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), lambda c: F.shiftright(F.col(c), 32)
-    parts = {"_a": low("_h1"), "_b": high("_h1"), "_c": low("_h2"), "_d": high("_h2")}
-    leaves = hashed.groupBy("_snap_no", "_leaf").agg(*[F.sum(c).alias(n) for n, c in parts.items()], F.count(F.lit(1)).alias("_n"))
-
-    snaps = slim.select("_snap_no").distinct()
-    w = Window.orderBy("_snap_no")
-    pairs = snaps.select(
-        F.col("_snap_no").alias("_snap"),
-        F.when(F.lag("_snap_no").over(w).isNotNull(), F.col("_snap_no")).alias("_pair"),
-        F.lead("_snap_no").over(w).alias("_next"),
-    )
-    pairs = F.broadcast(pairs) if fits(snaps, broadcast_snapshots) else pairs
-
-    digest = F.struct("_a", "_b", "_c", "_d", "_n")
-
-    def differing(level: int, within: DataFrame | None) -> DataFrame:
-        node = F.shiftright(F.col("_leaf"), bits_per_level * (levels - level)).alias("_node")
-        level_rows = leaves if level == levels else leaves.groupBy("_snap_no", node).agg(*[F.sum(c).alias(c) for c in ("_a", "_b", "_c", "_d", "_n")])
-        level_rows = level_rows.withColumnRenamed("_leaf", "_node") if level == levels else level_rows
-        sides = _sides(level_rows, pairs, "_snap_no")
+    parts = {"_a": F.col("_h1").bitwiseAND(F.lit(0xFFFFFFFF)), "_b": F.shiftright("_h1", 32), "_c": F.col("_h2").bitwiseAND(F.lit(0xFFFFFFFF)), "_d": F.shiftright("_h2", 32)}
+    sums = ["_a", "_b", "_c", "_d", "_n"]
+    leaves = materialize(hashed.groupBy("_leaf", "_snap").agg(*[F.sum(c).alias(n) for n, c in parts.items()], F.count(F.lit(1)).alias("_n")))
+
+    digest = F.struct(*sums)
+
+    def differing(shift: int, within: DataFrame | None, step: int) -> DataFrame:
+        """(_node, _pair) of the nodes at one level whose digests differ, among the children of ``within``."""
+        node = F.shiftright("_leaf", shift).alias("_node")
+        level = leaves.groupBy(node, "_snap").agg(*[F.sum(c).alias(c) for c in sums]) if shift else leaves.select(node, "_snap", *sums)
+        level = level.join(pairs, "_snap")
+        sides = F.array(F.struct(F.col("_snap").alias("pair"), F.lit(True).alias("later")), F.struct(F.col("_next").alias("pair"), F.lit(False).alias("later")))
+        each = level.withColumn("_side", F.explode(sides)).where("_side.pair is not null and not (_side.later and _prev is null)").select("_node", F.col("_side.pair").alias("_pair"), F.col("_side.later").alias("_later"), *sums)
         if within is not None:
-            up = within.select(F.col("_node").alias("_up"), F.col("_p").alias("_up_p"))
-            sides = sides.join(up, (F.shiftright(F.col("_node"), bits_per_level) == F.col("_up")) & (F.col("_p") == F.col("_up_p")), "left_semi")
+            up = within.select(F.col("_node").alias("_up"), "_pair")
+            up = F.broadcast(up) if fits(up, broadcast_rows) else up
+            each = each.withColumn("_up", F.shiftright("_node", step)).join(up, ["_up", "_pair"], "left_semi")
         return (
-            sides.groupBy("_p", "_node")
-            .agg(F.max(F.when(F.col("_later"), digest)).alias("_new"), F.max(F.when(~F.col("_later"), digest)).alias("_old"))
-            .where(~F.col("_new").eqNullSafe(F.col("_old")))
-            .select("_p", "_node")
+            each.groupBy("_node", "_pair").agg(F.max(F.when(F.col("_later"), digest)).alias("_new"), F.max(F.when(~F.col("_later"), digest)).alias("_old"))
+            .where(~F.col("_new").eqNullSafe(F.col("_old"))).select("_node", "_pair")
         )
 
-    nodes = None
-    for level in range(levels + 1):
-        nodes = differing(level, nodes)
-
-    open_leaves = nodes.select(F.col("_p").alias("_open_p"), F.col("_node").alias("_open_leaf"))
-    suspects = _sides(held, pairs, "_snap_no").join(open_leaves, (F.col("_leaf") == F.col("_open_leaf")) & (F.col("_p") == F.col("_open_p")), "left_semi")
-    compared = suspects.groupBy("_p", *key).agg(
-        F.max(F.when(F.col("_later"), F.struct(F.lit(1).alias("there"), "_state"))).alias("_new"),
-        F.max(F.when(~F.col("_later"), F.struct(F.lit(1).alias("there"), "_state"))).alias("_old"),
-    )
-    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(~F.col("_new").eqNullSafe(F.col("_old")), "changed")
-    return compared.select(F.col("_p").alias(snapshot), *key, change.alias("change_type")).where(F.col("change_type").isNotNull())
+    nodes, bits = materialize(differing(depth, None, 0)), 0
+    while bits < depth:
+        step = min(bits_per_level, depth - bits)
+        bits += step
+        below = materialize(differing(depth - bits, nodes, step))
+        release(nodes)
+        nodes = below
+    release(leaves)
+
+    open_pairs = nodes.groupBy(F.col("_node").alias("_leaf")).agg(F.collect_set("_pair").alias("_open"))
+    open_pairs = F.broadcast(open_pairs) if fits(nodes, broadcast_rows) else open_pairs
+    suspects = held.join(open_pairs, "_leaf").join(pairs, "_snap").withColumns({"_here": F.array_contains("_open", F.col("_snap")), "_later": F.coalesce(F.array_contains("_open", F.col("_next")), F.lit(False))}).where("_here or _later")
+    w = Window.partitionBy("_leaf", *key).orderBy("_snap")
+    before, after = F.lag(F.struct("_snap", "_state")).over(w), F.lead("_snap").over(w)
+    placed = suspects.select("_snap", "_prev", "_next", *key, "_state", "_here", "_later", before.alias("_before"), after.alias("_after"))
+    known = F.coalesce(F.col("_before._snap") == F.col("_prev"), F.lit(False))
+    new = F.when(F.col("_here") & F.col("_prev").isNotNull(), F.when(~known, "added").when(~F.col("_before._state").eqNullSafe(F.col("_state")), "changed"))
+    gone = F.when(F.col("_later") & ~F.coalesce(F.col("_after") == F.col("_next"), F.lit(False)), "removed")
+    found = F.filter(F.array(F.struct(F.col("_snap").alias("s"), new.alias("c")), F.struct(F.col("_next").alias("s"), gone.alias("c"))), lambda x: x["c"].isNotNull())
+    return placed.select(*key, F.explode(found).alias("_f")).select(F.col("_f.s").alias(snapshot), *key, F.col("_f.c").alias("change_type"))

@@ -33,7 +33,7 @@ def test_random_snapshots_at_several_tree_shapes(spark):
     rows = [(rnd.choice([1, 2, 4, 9, None]), rnd.choice([None, *map(str, range(25))]), rnd.choice([None, "a", "b"]), rnd.choice([None, 1, 2, 3])) for _ in range(300)]
     want = brute(rows)
     assert want
-    for shape in ({}, {"bits_per_level": 1, "levels": 2}, {"bits_per_level": 8, "levels": 2, "broadcast_snapshots": 0}):
+    for shape in ({}, {"leaf_keys": 1}, {"leaf_keys": 2, "bits_per_level": 1}, {"leaf_keys": 1, "bits_per_level": 3, "broadcast_rows": 5}):
         assert run(spark, rows, **shape) == want
 
 
