@@ -34,8 +34,9 @@ def test_percentiles_of_days_and_longer_spans(spark):
 def test_one_group_over_many_ranges_ties_nulls_and_doubles(spark):
     values = [(None, float(i % 97), 3) for i in range(97)] + [("g", -1.5, 1), ("g", 2.5, 1), ("g", None, 9)]
     df = spark.createDataFrame(values, "k string, value double, n long")
-    got = {(r.k, r.per_mille): (r.value, r.total) for r in P.percentiles(df, ["k"], (1, 500, 1000), ranges=9).collect()}
+    got = {(r.k, r.per_mille): (r.value, r.total) for r in P.percentiles(df, ["k"], (1, 500, 1000), range_rows=10).collect()}
     flat = [float(i) for i in range(97) for _ in range(3)]
+    assert P.percentiles(df, ["k"], (1, 500, 1000), range_rows=10**6).count() == 6
     assert got == {**{(None, p): (exact(flat, p), 291) for p in (1, 500, 1000)}, ("g", 1): (-1.5, 2), ("g", 500): (-1.5, 2), ("g", 1000): (2.5, 2)}
     assert P.percentiles(df.where("false"), ["k"]).collect() == []
 
@@ -52,4 +53,4 @@ def test_clashing_extra_columns(spark):
     df = spark.createDataFrame([(1, "a", 5, 9, 1)], "id long, k string, d long, _range int, n int").withColumn("at", F.lit(None).cast("timestamp"))
     state = P.day_counts(df, "id", {"k": F.col("k")}, "d", "at")
     assert [(r.day, r.k, r.value, r.n) for r in state.collect()] == [(None, "a", 5, 1)]
-    assert [(r.span, r.n) for r in P.spans(state, ["k"]).collect()] == [(3, 1)]
+    assert [(r.span, r.n) for r in P.spans(state).collect()] == [(3, 1)]
