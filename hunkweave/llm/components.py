@@ -1,7 +1,7 @@
 """Pairwise matches consolidated into groups on a two-dimensional grid of blocks.
 
 Vertices hash into blocks and edges into the cells of the grid of block pairs, so that even a vertex with a third of all
-edges spreads over a whole row of cells. Every cell runs union-find over its own edges. The representatives that a
+edges spreads over a whole row of cells; a cell that such a vertex still makes too large is cut by a hash of its edges. Every cell runs union-find over its own edges. The representatives that a
 vertex got in the cells of its row and column are then exchanged: the least becomes its parent, and each other one is
 linked to it by an edge of the next round. Rounds go on until no edge is left.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hunkweave.functions.text import tidy
-from hunkweave.runtime import join_unique, materialize, release
+from hunkweave.runtime import fits, join_unique, materialize, release
 
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,12 +49,28 @@ def _block(v: str, blocks: int, turn: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(turn), F.col(v)), F.lit(blocks)).cast("int")
 
 
-def grid_components(edges: DataFrame, cell_edges: int = 50_000, max_rounds: int = 60) -> DataFrame:
+def _cells(left: DataFrame, count: int, cell_edges: int, turn: int) -> DataFrame:
+    """Edges with the cell that each is solved in. No cell holds much more than ``cell_edges`` edges, whatever the degrees.
+
+    Any cut of the edges gives right components, since what a vertex is joined to in different parts meets in the exchange.
+    The cells that need a cut are at most one for every ``cell_edges`` edges.
+    """
+    blocks = max(1, math.ceil(math.sqrt(count / cell_edges)))
+    cells = left.select("a", "b", (_block("a", blocks, turn) * blocks + _block("b", blocks, turn)).alias("cell"))
+    if blocks == 1:
+        return cells.withColumn("part", F.lit(0))
+    sizes = cells.groupBy("cell").count().where(F.col("count") > 2 * cell_edges).select("cell", F.ceil(F.col("count") / cell_edges).cast("int").alias("_parts"))
+    sizes = F.broadcast(sizes) if fits(sizes, 1_000_000) else sizes
+    cut = F.pmod(F.xxhash64(F.lit(turn), "b", "a"), F.coalesce("_parts", F.lit(1))).cast("int")
+    return cells.join(sizes, "cell", "left").select("a", "b", "cell", cut.alias("part"))
+
+
+def grid_components(edges: DataFrame, cell_edges: int = 250_000, max_rounds: int = 60) -> DataFrame:
     """(v, component) for every vertex of (a, b) edges of type long; the component is the least vertex of the group.
 
     Self-links and repeats change nothing but make their vertex known; edges with a null end are ignored. An empty input
     gives an empty result. ``cell_edges`` is the number of edges a cell aims at and sets the size of the grid, which
-    shrinks with the edges from round to round.
+    shrinks with the edges from round to round; edges for one cell alone are settled in it.
     """
     left = materialize(
         edges.dropna(subset=["a", "b"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -64,11 +80,13 @@ def grid_components(edges: DataFrame, cell_edges: int = 50_000, max_rounds: int
         count = left.count()
         if not count:
             break
-        blocks = max(1, math.ceil(math.sqrt(count / cell_edges)))
-        cells = left.select("a", "b", (_block("a", blocks, turn) * blocks + _block("b", blocks, turn)).alias("cell"))
-        local = materialize(cells.groupBy("cell").applyInArrow(_solve_cell, "v long, r long"))
-        parent = local.groupBy("v").agg(F.min("r").alias("p"))
-        step = materialize(parent)
+        local = _cells(left, count, cell_edges, turn).groupBy("cell", "part").applyInArrow(_solve_cell, "v long, r long")
+        if count <= cell_edges:  # one cell has seen every edge, so its roots are the groups
+            steps.append(materialize(local.withColumnRenamed("r", "p")))
+            release(left)
+            break
+        local = materialize(local)
+        step = materialize(local.groupBy("v").agg(F.min("r").alias("p")))
         steps.append(step)
         new = materialize(
             join_unique(local, step, "v").where(F.col("r") != F.col("p"))
@@ -89,7 +107,7 @@ def grid_components(edges: DataFrame, cell_edges: int = 50_000, max_rounds: int
     return known
 
 
-def merge_groups(overrides: DataFrame, cell_edges: int = 50_000) -> DataFrame:
+def merge_groups(overrides: DataFrame, cell_edges: int = 250_000) -> DataFrame:
     """(branch, selector, group_selector) of every selector named by a force_merge row.
 
     Blanks around selectors do not count; null and empty ones are left out, but the other selector of their row is kept.

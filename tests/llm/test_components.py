@@ -31,6 +31,18 @@ def test_long_path_and_hub(spark):
     assert run(spark, path + hub, cell_edges=10) == brute(path + hub)
 
 
+def test_no_cell_grows_with_the_degree_of_a_vertex(spark):
+    from hunkweave.llm.components import _cells
+
+    n = 30_000
+    edges = spark.range(1, n).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS a", "id + 1 AS b")
+    cells = _cells(edges, n, 200, 0)
+    assert cells.count() == n - 1
+    assert cells.groupBy("cell", "part").count().agg({"count": "max"}).first()[0] <= 500
+    got = grid_components(edges, cell_edges=2_000)
+    assert got.count() == n + 1 and got.agg({"component": "max"}).first()[0] <= n
+
+
 def test_loops_repeats_nulls_and_empty(spark):
     assert run(spark, [(5, 5), (1, 2), (2, 1), (1, 2), (None, 9), (9, None)]) == {5: 5, 1: 1, 2: 1}
     assert run(spark, []) == {}
@@ -54,5 +66,5 @@ def test_hot_group_is_joined_by_broadcast(spark):
 
     big = spark.range(100).selectExpr("id", "CASE WHEN id < 60 THEN 1 WHEN id < 99 THEN id END AS k")
     small = spark.range(100).selectExpr("id AS k", "id * 2 AS w")
-    a = {tuple(r) for r in join_unique(big, small, "k", share=0.2, floor=10).select("id", "w").collect()}
+    a = {tuple(r) for r in join_unique(big, small, "k", rows=20).select("id", "w").collect()}
     assert a == {tuple(r) for r in big.join(small, "k").select("id", "w").collect()} and len(a) == 99
