@@ -4,8 +4,10 @@ Each Arrow batch is split into words. The words not yet known to the worker beco
 DuckDB, where a recursive query joins neighbouring positions with the merge table and contracts the leftmost pair of
 least rank of each word until no pair merges. Decoding is an aggregation over (text, position) in order.
 
-Long words are contracted at every place of their least pair at once: a merge only creates pairs of higher rank, so the
-other places of that pair would come next anyway, and runs of ten thousand signs need a few dozen rounds.
+Long words are contracted at every place of their least pair at once, so that runs of ten thousand signs need a few dozen
+rounds. That is the same as one place after the other, from the left, unless a contraction on the way makes a pair of a still
+lower rank. Each round looks at all pairs that its contractions make, in the order in which they would be made, and where one
+ranks lower the word has only its leftmost place contracted. The ids are thus those of leftmost contraction for any vocabulary.
 """
 
 from __future__ import annotations
@@ -45,19 +47,29 @@ _EVERYWHERE = """
 WITH RECURSIVE bpe(wid, toks) USING KEY (wid) AS (
   SELECT wid, toks FROM words
   UNION
-  SELECT wid, list(CASE WHEN starts THEN merged ELSE l END ORDER BY i) FILTER (WHERE NOT swallowed)
+  SELECT wid, CASE WHEN lower THEN one ELSE every END
   FROM (
-    SELECT *, coalesce(lag(starts) OVER (PARTITION BY wid ORDER BY i), false) AS swallowed
+    SELECT k.wid, coalesce(bool_or(NOT swallowed AND ((next_starts AND a.rank < least) OR (starts AND b.rank < least))), false) AS lower,
+           list(tok ORDER BY i) FILTER (WHERE NOT swallowed) AS every,
+           list(CASE WHEN i = head THEN tok ELSE k.l END ORDER BY i) FILTER (WHERE i <> head + 1) AS one
     FROM (
-      SELECT *, hit AND (row_number() OVER (PARTITION BY wid, hit, stretch ORDER BY i)) % 2 = 1 AS starts
+      SELECT *, lead(tok) OVER kept AS next_tok, lead(l) OVER kept AS next_l, coalesce(lead(starts) OVER kept, false) AS next_starts,
+             min(CASE WHEN starts THEN i END) OVER (PARTITION BY wid) AS head
       FROM (
-        SELECT *, i - row_number() OVER (PARTITION BY wid, hit ORDER BY i) AS stretch
+        SELECT *, CASE WHEN starts THEN merged ELSE l END AS tok, coalesce(lag(starts) OVER (PARTITION BY wid ORDER BY i), false) AS swallowed
         FROM (
-          SELECT p.wid, p.i, p.l, m.merged, coalesce(m.rank = min(m.rank) OVER (PARTITION BY p.wid), false) AS hit, min(m.rank) OVER (PARTITION BY p.wid) AS least
-          FROM (SELECT wid, unnest(toks) AS l, unnest(toks[2 :]) AS r, unnest(range(1, len(toks) + 1)) AS i FROM bpe) p
-          LEFT JOIN merges m ON m.l = p.l AND m.r = p.r)
-        WHERE least IS NOT NULL)))
-  GROUP BY wid)
+          SELECT *, hit AND (row_number() OVER (PARTITION BY wid, hit, stretch ORDER BY i)) % 2 = 1 AS starts
+          FROM (
+            SELECT *, i - row_number() OVER (PARTITION BY wid, hit ORDER BY i) AS stretch
+            FROM (
+              SELECT p.wid, p.i, p.l, m.merged, coalesce(m.rank = min(m.rank) OVER (PARTITION BY p.wid), false) AS hit, min(m.rank) OVER (PARTITION BY p.wid) AS least
+              FROM (SELECT wid, unnest(toks) AS l, unnest(toks[2 :]) AS r, unnest(range(1, len(toks) + 1)) AS i FROM bpe) p
+              LEFT JOIN merges m ON m.l = p.l AND m.r = p.r)
+            WHERE least IS NOT NULL)))
+      WINDOW kept AS (PARTITION BY wid, swallowed ORDER BY i)) k
+    LEFT JOIN merges a ON a.l = tok AND a.r = next_tok AND next_starts
+    LEFT JOIN merges b ON b.l = tok AND b.r = next_l AND starts
+    GROUP BY k.wid))
 SELECT wid, toks FROM bpe
 """
 

@@ -38,13 +38,44 @@ def test_documents_equal_the_library(spark, data, reference):
     assert got == {i: reference(t) for i, t in texts.items()}
 
 
-def test_both_contractions_agree_and_caches_may_be_dropped():
+def test_contractions_at_once_equal_the_library_on_long_words():
+    import tiktoken
+
     tokens = T.read_vocabulary(PATH)
-    words = ["aaaaaaa", " mississippi", "ababab", "====", "abcabcabcabc" * 9]
-    one, two = T.Encoder(tokens), T.Encoder(tokens)
-    one._contract(words, T._LEFTMOST)
-    two._contract(words, T._EVERYWHERE)
-    assert {w: one.known[w].tolist() for w in words} == {w: two.known[w].tolist() for w in words}
+    library = tiktoken.Encoding("own", pat_str=T.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    rnd = random.Random(7)
+    pieces = [t.decode() for t in tokens if t.isascii() and t.isalpha()]
+    words = set()
+    while len(words) < 10_000:
+        kind = rnd.randrange(4)
+        if kind == 0:
+            w = "".join(rnd.choice("abcdeinorst") for _ in range(rnd.randrange(97, 160)))
+        elif kind == 1:
+            w = "".join(rnd.choice(pieces) for _ in range(40))
+        elif kind == 2:
+            w = (rnd.choice(pieces) + rnd.choice("aeiost")) * rnd.randrange(20, 50)
+        else:
+            w = "".join(rnd.choice("=-_*#~.") * rnd.randrange(1, 40) for _ in range(12))
+        if len(w) > T.LONG_WORD:
+            words.add(w)
+    words = sorted(words)
+    one = T.Encoder(tokens)
+    one.learn(words)
+    assert {w: one.known[w].tolist() for w in words} == {w: library._encode_single_piece(w.encode()) for w in words}
+
+
+def test_contractions_at_once_keep_to_the_left_where_a_merge_makes_a_lower_pair():
+    """A vocabulary in which a later merge ranks before an earlier one: both ways of contraction must still agree."""
+    base = [bytes([i]) for i in range(256)]
+    rnd = random.Random(2)
+    for _ in range(40):
+        made = list(dict.fromkeys(bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(2, 7))) for _ in range(14)))
+        tokens = base + made
+        words = ["".join(rnd.choice("ab") for _ in range(rnd.randrange(2, 40))) for _ in range(60)]
+        one, two = T.Encoder(tokens), T.Encoder(tokens)
+        one._contract(words, T._LEFTMOST)
+        two._contract(words, T._EVERYWHERE)
+        assert {w: one.known[w].tolist() for w in words} == {w: two.known[w].tolist() for w in words}
 
 
 def test_repeats_and_empty_table(spark):
