@@ -26,7 +26,10 @@ def words(text: str | None) -> list[str]:
 
 
 def _symbol(n: int) -> str:
+    """The n-th symbol of the automaton's alphabet, surrogates left out; a block of the default size cannot need more than there are."""
     n += 1
+    if n + 0x800 > 0x10FFFF:
+        raise ValueError("a block of items has too many distinct words; lower block_chars")
     return chr(n if n < 0xD800 else n + 0x800)
 
 
@@ -80,13 +83,13 @@ def _automaton(blocks, window: int):
     return _built[key]
 
 
-def leaked_passages(docs: DataFrame, items: DataFrame, window: int = 16, block_chars: int = 8_000_000) -> DataFrame:
+def leaked_passages(docs: DataFrame, items: DataFrame, window: int = 16, block_chars: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, start_offset, end_offset, item_word, word_count): each longest run shared with an item.
 
     A run has at least ``window`` words; offsets are code points of the original text. Null, empty and blank texts and
     items of fewer words match nothing. Equal passages of several items come out for each. Items are the stated query
     set: they are split into blocks of about ``block_chars`` characters, and each block is shipped and scanned on its own, so a
-    worker never holds more than one block's automaton.
+    worker never holds more than one block's automaton. Two million characters hold less distinct words than there are symbols.
     """
     import uuid
 
@@ -113,6 +116,6 @@ def leaked_passages(docs: DataFrame, items: DataFrame, window: int = 16, block_c
     return out
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, window: int = 16, block_chars: int = 8_000_000) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, window: int = 16, block_chars: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id): one row for each document and item that share a run of at least ``window`` words."""
     return leaked_passages(docs, items, window, block_chars).select("doc_id", "item_id").distinct()

@@ -1,9 +1,14 @@
-"""Labelled residue exemplars, in the languages of the corpus.
+"""Labelled residue exemplars, in the languages of the corpus: the default of the operator's ``exemplars`` parameter.
 
 ``*`` stands for a name or a few words, ``#`` for a number. Labels: ``mark`` (a place left to fill in), ``notice`` (scripts
-are required), ``error`` (an error page's message), ``filler``. The lists are parameters of the operator, not fixed rules.
+are required), ``error`` (an error page's message), ``filler``. The form tells how a match is made: ``mark`` (its words and signs
+in a paragraph, then its exact form), ``passage`` (its words in a window), ``line`` (its words and no others on a line), ``style``
+(filler that has no wording: an opening, and the look of its words).
 """
 
+#: Marks of signs alone; the gap is a name.
+SIGNED = ["{{ * }}", "${ * }", "#{ * }", "{*}", "__*__", "$*$", "%*%", "%(*)s", "<%= * %>", "<% * %>", "[[ * ]]", "@@*@@"]
+
 MARKS = [
     "[insert *]", "[insert * here]", "[add *]", "[add * here]", "[enter *]", "[* goes here]", "[describe *]", "[describe the *]", "[your *]", "[your * here]",
     "<insert *>", "<insert * here>", "<add *>", "<add * here>", "<enter *>", "<your *>", "<your * here>", "<* here>", "<* goes here>",
@@ -52,6 +57,14 @@ ERROR_LINES = [
 
 FILLERS = ["lorem ipsum", "lorem ipsum dolor sit amet", "this is filler so that the page has a body", "it says nothing and will be replaced", "this text is only a placeholder and will be replaced"]
 
-#: Words of keyboard mashing, and the syllables that pseudo-Latin filler is put together from.
-MASH = ["asdf", "asdfgh", "asdfghjkl", "sdfsdf", "dfgdfg", "qwer", "qwert", "qwerty", "qwertz", "zxcv", "zxcvbn", "jkl", "jklö", "hjkl", "hjkhjk", "fghfgh", "yxcv", "uiop"]
-SYLLABLES = ["lor", "em", "ip", "sum", "dol", "or", "sit", "am", "met", "con", "sec", "tur", "qui", "nim", "ves", "lis", "gul", "sto", "bus", "pri", "tam", "ora", "fen", "vel", "et"]
+#: Openings of filler whose words are made up: placeholder Latin, and keys struck along a row of the keyboard.
+STYLES = [
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat "
+    "duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum",
+    "qwertyuiop asdfghjkl zxcvbnm",
+]
+
+EXEMPLARS = [
+    *[("mark", "mark", t) for t in (*SIGNED, *MARKS)], *[("notice", "passage", t) for t in NOTICES], *[("error", "passage", t) for t in ERRORS],
+    *[("error", "line", t) for t in ERROR_LINES], *[("filler", "passage", t) for t in FILLERS], *[("filler", "style", t) for t in STYLES],
+]

@@ -28,9 +28,9 @@ def p6_ids(spark, sf_dir):
 
 
 def p6_roundtrip(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    back = tokenizer.texts_of(tokenizer.token_ids(docs)).withColumnRenamed("text", "decoded")
-    return docs.join(back, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same_text"))
+    """The hash of each text put together again from its ids."""
+    back = tokenizer.texts_of(tokenizer.token_ids(table(spark, sf_dir, "documents")))
+    return back.select("doc_id", F.sha1(F.col("text").cast("binary")).alias("text_sha"))
 
 
 def p7_found(spark, sf_dir):
@@ -87,7 +87,7 @@ reach AS (SELECT branch, s, s AS t FROM names UNION SELECT r.branch, r.s, l.y FR
 SELECT branch, s AS selector, min(t) AS group_selector FROM reach GROUP BY 1, 2
 """
 
-P6_ROUNDTRIP = "SELECT doc_id, true AS same_text FROM documents"
+P6_ROUNDTRIP = "SELECT doc_id, sha1(coalesce(text, '')) AS text_sha FROM documents"
 
 P7_FOUND = r"""
 WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
@@ -97,5 +97,17 @@ ew AS (SELECT DISTINCT id, array_to_string(w[i : i + 15], ' ') AS k FROM (SELECT
 SELECT DISTINCT dw.id AS doc_id, ew.id AS item_id FROM dw JOIN ew USING (k)
 """
 
+P7_SPANS = r"""
+WITH d AS (SELECT doc_id, m, i FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^\p{L}\p{N}]*[\p{L}\p{N}]+')) AS m, unnest(range(1, len(regexp_extract_all(text, '[\p{L}\p{N}]+')) + 1)) AS i FROM documents)),
+w AS (SELECT doc_id, i, lower(regexp_extract(m, '[\p{L}\p{N}]+')) AS word, sum(length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS b, length(regexp_extract(m, '[\p{L}\p{N}]+')) AS n FROM d),
+dw AS (SELECT doc_id, i, string_agg(word, ' ') OVER r AS k, count(*) OVER r AS c FROM w WINDOW r AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)),
+e AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+ew AS (SELECT item_id, j, array_to_string(w[j : j + 15], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, len(w) - 14)) AS j FROM e)),
+hit AS (SELECT doc_id, item_id, i, j, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS g FROM dw JOIN ew USING (k) WHERE c = 16),
+run AS (SELECT doc_id, item_id, min(i) AS a, max(i) + 15 AS z, min(j) - 1 AS item_word FROM hit GROUP BY doc_id, item_id, i - j, g)
+SELECT run.doc_id, item_id, CAST(f.b - f.n AS BIGINT) AS start_offset, CAST(l.b AS BIGINT) AS end_offset, item_word, z - a + 1 AS word_count
+FROM run JOIN w f ON f.doc_id = run.doc_id AND f.i = run.a JOIN w l ON l.doc_id = run.doc_id AND l.i = run.z
+"""
+
 QUERIES = {"p3_percentiles": p3_percentiles, "p3_day_counts": p3_day_counts, "p5_found": p5_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_passages": p8_passages, "p8_kept": p8_kept}
-SQL = {"p3_percentiles": P3_PERCENTILES, "p3_day_counts": P3_DAY_COUNTS, "p5_found": P5_FOUND, "p6_roundtrip": P6_ROUNDTRIP, "p7_found": P7_FOUND}
+SQL = {"p3_percentiles": P3_PERCENTILES, "p3_day_counts": P3_DAY_COUNTS, "p5_found": P5_FOUND, "p6_roundtrip": P6_ROUNDTRIP, "p7_found": P7_FOUND, "p7_spans": P7_SPANS}

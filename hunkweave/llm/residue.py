@@ -1,9 +1,14 @@
 """Template residue, filler, error pages and script notices in place of real text.
 
-Labelled exemplars are indexed by their rarest words. A text is cut into words, words of the index name the exemplars to
-try, and a passage window around such a word is a match when it contains nearly all of an exemplar, weighed by how
-rare each word is in the corpus (TF-IDF containment). Marks left to fill in are short, so an exact check of their form
-follows; filler has no wording, so windows are matched by how much of them filler words cover.
+Labelled exemplars are indexed by their rarest words and signs. A text is cut into tokens, tokens of the index name the
+exemplars to try, and a passage window around such a token is a match when it contains nearly all of an exemplar, weighed by
+how rare each token is in the corpus (TF-IDF containment). An exact check of the form follows for marks left to fill in.
+
+Filler has no wording. Its exemplars are openings: the letter triples of the passages that the openings retrieve from the
+corpus, as far as they are much more frequent there than elsewhere, are the exemplar, and a window of words is a match when its
+own letter triples, weighed by their rarity in the corpus, are nearly all contained in it. A passage that says the same few
+words over and over is its own exemplar: each window is contained in the one before.
+
 Text in code, in quotation marks within a sentence and in log lines is shown, not meant, and is left out beforehand.
 """
 
@@ -15,33 +20,45 @@ from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hunkweave.llm import exemplars as E
+from hunkweave.llm.exemplars import EXEMPLARS
+
+Exemplars = list[tuple[str, str, str]]
 
 _NAME = r"[A-Za-z]+(?:[_.][A-Za-z]+)*"
 _CJK = r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff々〇]"
-TOKEN = re.compile(rf"([^\W\d_\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+(?:['’][^\W\d_]+)*)|(\d+(?:[.,:]\d+)*)|({_CJK}+)|<!--|-->|[\[\]<>(){{}}【】〈〉*#]")
-MARK = re.compile(
-    rf"\{{\{{\s*{_NAME}\s*\}}\}}|[$#]\{{\s*{_NAME}\s*\}}|(?<![\w$#%{{])\{{{_NAME}\}}(?![}}\w])|(?<!\w)__{_NAME}__(?!\w)|(?<![\w$])\${_NAME}\$(?![\w$])"
-    rf"|(?<![\w%])%{_NAME}%(?![\w%])|%\({_NAME}\)s|<%=?\s*{_NAME}\s*%>|\[\[\s*{_NAME}\s*\]\]|@@{_NAME}@@"
-)
+_SIGN = r"<!--|-->|\{\{|\}\}|[$#]\{|<%=?|%>|\[\[|\]\]|@@|__|%\(|[\[\]<>(){}【】〈〉*#$%]"
+TOKEN = re.compile(rf"([^\W\d_\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+(?:['’][^\W\d_]+)*)|(\d+(?:[.,:]\d+)*)|({_CJK}+)|{_SIGN}")
 PLAIN = re.compile(r"[a-z]+(?:'[a-z]+)*")
 LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 HAS_CJK = re.compile(_CJK)
-MARK_SIGNS = ("{", "__", "$", "%", "[[", "@@")
 NUMBER = re.compile(r"[0-9]")
-SIGNS = ("<!--", "-->", *"[]<>(){}【】〈〉*#")
+_BLANK_LINE = re.compile(r"\n[^\S\n]*\n")
 _FENCE = re.compile(r"```[^\n`]*\n.*?\n[ >+*#/-]*```", re.S)
 _INLINE = re.compile(r"`[^`\n]+`")
-_QUOTED = re.compile(r"(?<=[^\W\d_] )(?:\"[^\"\n]{2,90}\"|“[^”\n]{2,90}”|«[^»\n]{2,90}»)|„[^“\n]{2,90}“|「[^」\n]{2,60}」|『[^』\n]{2,60}』")
+_QUOTED = re.compile(r"(?<=[^\W\d_] )(?:\"[^\"\n]{2,}\"|“[^”\n]{2,}”|«[^»\n]{2,}»)|„[^“\n]{2,}“|「[^」\n]{2,}」|『[^』\n]{2,}』")
 _LOGGED = re.compile(r"^[ \t>+*#/-]*\d\d:\d\d:\d\d[.,]\d+ .*$", re.M)
 _CODE = re.compile(r"^[+\- >*/]*(?:const |let |var |if \(|for \(|return |log\(|import |export |function ).*$", re.M)
 
 SCRIPTS = dict.fromkeys(["js", "javascript", "script", "scripts", "scripting", "skript", "skripte", "skripten"], "script")
 
+# Letter triples: a–z as 1 to 26, everything else as the 0 between words.
+TRIPLES = 27**3
+_LETTER = np.zeros(256, np.int32)
+for _i in range(26):
+    _LETTER[97 + _i] = _LETTER[65 + _i] = _i + 1
+
+
+def triples(text: str) -> np.ndarray:
+    """Numbers of the letter triples of all words, word ends included; other letters than a to z count as word ends."""
+    m = _LETTER[np.frombuffer(f" {text} ".encode("ascii", "replace"), np.uint8)]
+    a, b, c = m[:-2], m[1:-1], m[2:]
+    return (a * 729 + b * 27 + c)[(b > 0) & ((a > 0) | (c > 0))]
+
 
 def shown_only(text: str) -> str:
     """The text with quoted, logged and code passages blanked out; offsets stay."""
@@ -51,7 +68,7 @@ def shown_only(text: str) -> str:
 
 
 def tokens(text: str) -> list[tuple[str, int, int]]:
-    """(token, start, end): words in lower case, numbers as ``0``, brackets, and character pairs of Chinese and Japanese."""
+    """(token, start, end): words in lower case, numbers as ``0``, signs, and character pairs of Chinese and Japanese."""
     out = []
     for m in TOKEN.finditer(text):
         a, b = m.span()
@@ -72,7 +89,7 @@ def tokens(text: str) -> list[tuple[str, int, int]]:
 
 
 def token_list(text: str) -> list[str]:
-    """Words of a text in order, without offsets; texts without Chinese or Japanese take a fast way that leaves numbers and brackets to ``signs``."""
+    """Words of a text in order, without offsets; texts without Chinese or Japanese take a fast way that leaves numbers and signs to ``signs``."""
     if text.isascii():
         return [SCRIPTS.get(w, w) for w in PLAIN.findall(text.lower())]
     if not HAS_CJK.search(text):
@@ -80,129 +97,223 @@ def token_list(text: str) -> list[str]:
     return [t for t, _, _ in tokens(text)]
 
 
-def signs(text: str) -> set[str]:
-    """The tokens of a text that are no words."""
-    found = {c for c in SIGNS if c in text}
+def exemplar_tokens(text: str) -> list[str]:
+    """Tokens of an exemplar without its gaps; ``#`` alone is a number."""
+    return [("0" if t == "#" else t) for t, _, _ in tokens(text.replace("*", " "))]
+
+
+def is_sign(token: str) -> bool:
+    return not any(c.isalnum() for c in token)
+
+
+def signs(text: str, wanted: list[str]) -> set[str]:
+    """The tokens of a text that are no words, of those wanted."""
+    found = {c for c in wanted if c in text}
     if NUMBER.search(text):
         found.add("0")
     return found
 
 
-def exemplar_tokens(text: str) -> list[str]:
-    """Words of an exemplar without its gaps; ``#`` is a number."""
-    return [("0" if t == "#" else t) for t, _, _ in tokens(text.replace("*", " "))]
+def _form(text: str) -> re.Pattern:
+    """The exact form of a mark. White space is free. A gap is any words without brackets, in a mark of signs alone a name.
 
+    A mark that opens with a single sign, or with signs that may belong to a word, must not touch other letters or such signs.
+    """
+    if re.search(r"[^\W\d_]{2}", text):
+        gap = r"\s*[^\s\[\]<>(){}【】〈〉]+(?:[^\S\n]+[^\s\[\]<>(){}【】〈〉]+)*?\s*"
+        return re.compile(gap.join(r"\s*".join(re.escape(w) for w in p.split()) for p in text.split("*")), re.I)
+    before, after = text.split("*")
+    body = re.escape(before.rstrip()) + (r"\s*" if before.endswith(" ") else "") + _NAME + (r"\s*" if after.startswith(" ") else "") + re.escape(after.lstrip())
+    if len(before.strip()) == 1 or before.strip() == "__":
+        body = rf"(?<![\w$#%{{]){body}(?![\w{re.escape(after.strip()[-1])}])"
+    return re.compile(body)
 
-def _form(text: str) -> re.Pattern:
-    """The exact form of a mark: a gap is a name of up to four words, white space is free."""
-    parts = [r"\s*".join(re.escape(w) for w in p.split()) for p in text.split("*")]
-    return re.compile(r"\s*[\w./'-]+(?:[ _][\w./'-]+){0,3}?\s*".join(parts), re.I)
+
+class Profile:
+    """The look of filler: letter triples with their weights in the corpus, and which of them belong to filler.
+
+    A triple belongs to filler where its share in the passages retrieved by openings is ``rise`` times that in all other text.
+    Filler of made-up words that has no opening itself is thus found as far as the corpus holds some like it that has one.
+    """
+
+    def __init__(self, everywhere: np.ndarray, retrieved: np.ndarray, exemplar: np.ndarray, rise: float = 3.0) -> None:
+        self.weights = np.log((everywhere.sum() + 1) / (everywhere + 0.5))
+        filler, rest = retrieved + exemplar, np.maximum(everywhere - retrieved, 0)
+        self.member = (filler > 0) & (filler / max(1, filler.sum()) >= rise * (rest + 1) / max(1, rest.sum()))
+        self.known: dict[str, tuple[float, float]] = {}
+
+    def score(self, word: str) -> tuple[float, float]:
+        """(contained, whole) weight of a word; what has no triples, as single or other letters, weighs as three rare ones and is not contained."""
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            t = triples(word) if word.isascii() and word[0].isalpha() else _LETTER[:0]
+            if len(t):
+                got = float((self.weights[t] * self.member[t]).sum()), float(self.weights[t].sum())
+            else:
+                got = 0.0, 3 * float(self.weights.max())
+            self.known[word] = got
+        return got
+
+
+class Openings:
+    """Finds where filler begins: two words in a row as in a style exemplar, or two runs along a row of the keyboard."""
+
+    def __init__(self, exemplars: Exemplars) -> None:
+        texts = [t for _, form, t in exemplars if form == "style"]
+        self.rows = [w for t in texts for w in t.split() if len(w) >= 7 and len(t.split()) <= 4]
+        self.pairs = {p for t in texts if len(t.split()) > 4 for p in zip(t.split(), t.split()[1:])}
+        self.own = sum((np.bincount(triples(t), minlength=TRIPLES) for t in texts), np.zeros(TRIPLES, np.int64))
+        self.first = {a for a, _ in self.pairs}
+
+    def run(self, word: str) -> bool:
+        return len(word) >= 3 and any(word in row for row in self.rows)
+
+    def passages(self, words: list[str], reach: int = 40) -> list[str]:
+        """The words after each opening, at most ``reach`` of them, joined."""
+        out, last = [], -1
+        for i, (a, b) in enumerate(zip(words, words[1:])):
+            if i >= last and ((a in self.first and (a, b) in self.pairs) or (self.run(a) and self.run(b))):
+                out.append(" ".join(words[i : i + 2 + reach]))
+                last = i + 2 + reach
+        return out
 
 
 class Index:
-    """Inverted index of the exemplars under word weights from the corpus."""
+    """Inverted index of the exemplars under token weights from the corpus."""
 
-    def __init__(self, weights: dict[str, float], default: float, containment: float) -> None:
-        self.containment = containment
+    def __init__(self, exemplars: Exemplars, weights: dict[str, float], default: float, profile: Profile, containment: float) -> None:
+        self.containment, self.profile = containment, profile
         self.postings: dict[str, list[tuple[int, int]]] = {}
         self.entries = []
-        for label, texts, whole_line in (("mark", E.MARKS, False), ("notice", E.NOTICES, False), ("error", E.ERRORS, False), ("error", E.ERROR_LINES, True), ("filler", E.FILLERS, False)):
-            for text in texts:
-                words = exemplar_tokens(text)
-                weighed = Counter(words)
-                total = sum(weights.get(w, default) * n for w, n in weighed.items())
-                number = len(self.entries)
-                self.entries.append((label, whole_line, words, weighed, total, _form(text) if label == "mark" else None, 2 + 3 * text.count("*")))
-                order = sorted(range(len(words)), key=lambda i: (-weights.get(words[i], default), i))
-                # A window without the words indexed here weighs too little to match, so nothing is missed.
-                indexed, enough = 0.0, 0.0 if label == "mark" or whole_line else (1 - containment) * total
-                for i in order:
-                    self.postings.setdefault(words[i], []).append((number, i))
-                    indexed += weights.get(words[i], default)
-                    if indexed > enough:
-                        break
+        for label, form, text in exemplars:
+            words = exemplar_tokens(text)
+            if form == "style" or not words:
+                continue
+            weighed = Counter(words)
+            total = sum(weights.get(w, default) * n for w, n in weighed.items())
+            number = len(self.entries)
+            self.entries.append((label, form, words, weighed, total, _form(text) if form == "mark" else None, 2 + 3 * text.count("*")))
+            order = sorted(range(len(words)), key=lambda i: (-weights.get(words[i], default), i))
+            # A window without the tokens indexed here weighs too little to match, so nothing is missed.
+            indexed, enough = 0.0, (1 - containment) * total if form == "passage" else 0.0
+            for i in order:
+                self.postings.setdefault(words[i], []).append((number, i))
+                indexed += weights.get(words[i], default)
+                if indexed > enough:
+                    break
         self.weight = lambda w: weights.get(w, default)
-        self.sign_keys = [k for k in self.postings if k in SIGNS]
-        self.words = set(self.postings) - set(self.sign_keys) - {"0"}
-        self.mash = set(E.MASH)
-        self.seen_words: dict[str, bool] = {}
-        self.latin = re.compile(f"(?:{'|'.join(sorted(E.SYLLABLES, key=len, reverse=True))})+")
-
-    def find(self, text: str) -> list[tuple[str, int, int, float]]:
-        """(label, start, end, score) of the residue in one text.
-
-        A text with no mark, no word of the index and no sign of filler is done after one look at its words.
-        """
+        # Looks that leave out texts in which nothing can match: marks of signs by their form, all else by the tokens indexed.
+        bare = {n for n, e in enumerate(self.entries) if e[1] == "mark" and all(is_sign(w) or len(w) == 1 for w in e[2])}
+        self.signed = [self.entries[n][5] for n in sorted(bare)]
+        self.signed_keys = sorted({e[2][0] for n, e in enumerate(self.entries) if n in bare})
+        self.sign_keys = [k for k, p in self.postings.items() if is_sign(k) and any(n not in bare for n, _ in p)]
+        self.words = {k for k, p in self.postings.items() if not is_sign(k) and k != "0" and any(n not in bare for n, _ in p)}
+
+    def may_match(self, text: str) -> bool:
+        """False where one look at the text's words and signs shows that nothing in it can match."""
         quick = token_list(text)
         distinct = set(quick)
-        if not ((any(k in text for k in MARK_SIGNS) and MARK.search(text)) or not self.words.isdisjoint(distinct) or any(k in text for k in self.sign_keys) or self._filler_near(quick, distinct)):
+        if not self.words.isdisjoint(distinct) or any(k in text for k in self.sign_keys):
+            return True
+        if any(k in text for k in self.signed_keys) and any(form.search(text) for form in self.signed):
+            return True
+        return self._filler_near(quick, distinct)
+
+    def find(self, text: str) -> list[tuple[str, int, int, float]]:
+        """(label, start, end, score) of the residue in one text."""
+        if not self.may_match(text):
             return []
         clear = shown_only(text)
-        found = [("mark", m.start(), m.end(), 1.0) for m in MARK.finditer(clear)]
         words = tokens(clear)
+        found = []
         tried = set()
-        for p, (word, _, _) in enumerate(words):
+        bags: dict[int, tuple[Counter, int, int]] = {}
+        breaks = [m.end() for m in _BLANK_LINE.finditer(clear)] + [len(clear) + 1]
+        part = 0
+        for p, (word, a, b) in enumerate(words):
+            while a >= breaks[part]:
+                part += 1
             for number, at in self.postings.get(word, ()):
-                label, whole_line, needed, weighed, total, form, slack = self.entries[number]
-                if (number, p - at) in tried:
-                    continue
-                tried.add((number, p - at))
-                first = max(0, p - at - slack)
-                last = min(len(words), p - at + len(needed) + slack)
-                if form:
-                    a, b = words[first][1], words[last - 1][2]
-                    found.extend((label, m.start(), m.end(), 1.0) for m in form.finditer(clear, a, min(len(clear), b + 1)))
-                    continue
-                if whole_line:
-                    a = clear.rfind("\n", 0, words[p][1]) + 1
-                    b = clear.find("\n", words[p][2])
-                    line = clear[a : len(clear) if b < 0 else b]
-                    if len(line) > 60:
+                label, form, needed, weighed, total, exact, slack = self.entries[number]
+                if form == "passage":
+                    key = (number, p - at)
+                    if key in tried:
+                        continue
+                    tried.add(key)
+                    first, last = max(0, p - at - slack), min(len(words), p - at + len(needed) + slack)
+                    score = self._contained(weighed, total, Counter(w for w, _, _ in words[first:last]))
+                    if score >= self.containment:
+                        found.append((label, words[first][1], words[last - 1][2], score))
+                elif form == "mark":
+                    if (number, -1 - part) in tried:
                         continue
-                    if [t for t, _, _ in tokens(line)] == needed and re.fullmatch(r"[\s#>*-]*[\w ]+[.!:|\s]*", line):
-                        found.append((label, a, a + len(line), 1.0))
-                    continue
-                have = Counter(w for w, _, _ in words[first:last])
-                score = sum(self.weight(w) * min(n, have[w]) for w, n in weighed.items()) / total
-                if score >= self.containment:
-                    found.append((label, words[first][1], words[last - 1][2], score))
+                    tried.add((number, -1 - part))
+                    start, end = breaks[part - 1] if part else 0, min(breaks[part], len(clear))
+                    if part not in bags:
+                        bags[part] = self._bag(words, p, start, end)
+                    score = self._contained(weighed, total, bags[part])
+                    if score >= self.containment:
+                        found.extend((label, m.start(), m.end(), score) for m in exact.finditer(clear, start, end))
+                else:
+                    found.extend(self._line(label, weighed, total, clear, words, p))
         return list(dict.fromkeys(found)) + self._covered(words)
 
-    def _is_latin(self, word: str) -> bool:
-        known = self.seen_words.get(word)
-        if known is None:
-            if len(self.seen_words) > 200_000:
-                self.seen_words.clear()
-            known = self.seen_words[word] = word.isascii() and self.latin.fullmatch(word) is not None
-        return known
+    def _contained(self, weighed: Counter, total: float, have: Counter) -> float:
+        return sum(self.weight(w) * min(n, have[w]) for w, n in weighed.items()) / total
+
+    @staticmethod
+    def _bag(words: list[tuple[str, int, int]], p: int, start: int, end: int) -> Counter:
+        """The tokens between two offsets, around the token ``p`` that lies between them."""
+        lo = hi = p
+        while lo and words[lo - 1][1] >= start:
+            lo -= 1
+        while hi < len(words) and words[hi][2] <= end:
+            hi += 1
+        return Counter(w for w, _, _ in words[lo:hi])
+
+    def _line(self, label: str, weighed: Counter, total: float, clear: str, words: list[tuple[str, int, int]], p: int) -> list[tuple[str, int, int, float]]:
+        """A line contained in an exemplar that is contained in the line; signs that quote, list or end a line do not count."""
+        a = clear.rfind("\n", 0, words[p][1]) + 1
+        b = clear.find("\n", words[p][2])
+        b = len(clear) if b < 0 else b
+        near = sum(weighed.values()) + 8
+        if (p >= near and words[p - near][1] >= a) or (p + near < len(words) and words[p + near][2] <= b):
+            return []  # more words on the line than an exemplar that contains them can have
+        have = Counter({w: n for w, n in self._bag(words, p, a, b).items() if not is_sign(w)})
+        whole = sum(self.weight(w) * n for w, n in have.items())
+        score = min(self._contained(weighed, total, have), sum(self.weight(w) * min(n, weighed[w]) for w, n in have.items()) / whole)
+        return [(label, a, b, score)] if score >= self.containment and re.fullmatch(r"[\s#>*-]*[\w ]+[.!:|\s]*", clear[a:b]) else []
 
     def _filler_near(self, plain: list[str], distinct: set[str], run: int = 12) -> bool:
-        if len(self.mash & distinct) >= 3 or sum(map(self._is_latin, distinct)) >= 3 or any(len(w) >= 12 and len(set(w)) == 1 for w in distinct):
+        if any(got >= self.containment * whole for got, whole in map(self.profile.score, distinct)):
+            return True  # a window cannot be contained as a whole without a word that is
+        if any(len(w) >= 12 and len(set(w)) == 1 for w in distinct):
             return True
         return any(bytes(map(eq, plain, plain[p:])).find(b"\x01" * max(run, 3 * p)) >= 0 for p in range(1, 9))
 
-    def _covered(self, words: list[tuple[str, int, int]], window: int = 8, share: float = 0.85, run: int = 12) -> list[tuple[str, int, int, float]]:
-        """Every longest stretch of windows covered by filler words, and every run of up to eight words (or pairs of signs) over and over."""
+    def _styled(self, scores: list[tuple[float, float]], window: int) -> list[tuple[int, int, float]]:
+        """(first, last, score) of the longest stretches of windows whose letter triples are contained in filler; five words at the least."""
+        size = min(window, len(scores))
+        if size < 5:
+            return []
+        sums = np.cumsum(np.concatenate([np.zeros((1, 2)), np.asarray(scores)]), axis=0)
+        got, whole = (sums[size:] - sums[:-size]).T
+        share = got / np.maximum(whole, 1e-9)
+        hit = np.flatnonzero(share >= self.containment)
+        if not len(hit):
+            return []
+        stretches = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)
+        return [(int(s[0]), int(s[-1]) + size - 1, float(share[s].max())) for s in stretches]
+
+    def _covered(self, words: list[tuple[str, int, int]], window: int = 8, run: int = 12) -> list[tuple[str, int, int, float]]:
+        """Every longest stretch with the look of filler, and every run of up to eight words (or pairs of signs) over and over."""
         found = []
+        worded = [x for x in words if not is_sign(x[0])]
+        for first, last, score in self._styled([self.profile.score(w) for w, _, _ in worded], window):
+            found.append(("filler", worded[first][1], worded[last][2], score))
         plain = [w for w, _, _ in words]
-        distinct = set(plain)
-        size = min(window, len(words))
-        for members in (self.mash & distinct, {w for w in distinct if self._is_latin(w)}):
-            if size < 5 or len(members) < 3:
-                continue
-            inside = [w in members for w in plain]
-            count = sum(inside[:size])
-            start, best = None, 0.0
-            for i in range(size, len(words) + 2):
-                if i <= len(words) and count >= share * size:
-                    if start is None:
-                        start, best = i - size, 0.0
-                    best = max(best, count / size)
-                elif start is not None:
-                    found.append(("filler", words[start][1], words[i - 2][2], best))
-                    start = None
-                if i < len(words):
-                    count += inside[i] - inside[i - size]
         known = bytearray(len(plain))
         for period in range(1, 9):
             least = max(run, 3 * period)
@@ -225,45 +336,75 @@ class Index:
 _built: dict[str, Index] = {}
 
 
-def word_weights(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, float], float]:
-    """Inverse document frequency of every exemplar word over the whole corpus, and the weight of a word in no text.
+def corpus_statistics(docs: DataFrame, exemplars: Exemplars, text_col: str = "text") -> tuple[dict[str, float], float, Profile]:
+    """Inverse document frequency of every exemplar token over the whole corpus, the weight of a token in no text, and the look of filler.
 
-    Counts are added up on the executors; only the exemplars' own words, whose number the exemplars bound, reach the driver.
+    Counts are added up on the executors over all texts. What reaches the driver is bounded: the exemplars' own tokens, and
+    two counts for each of the 19,683 letter triples.
     """
-    vocabulary = sorted({w for texts in (E.MARKS, E.NOTICES, E.ERRORS, E.ERROR_LINES, E.FILLERS) for t in texts for w in exemplar_tokens(t)})
-    known = set(vocabulary)
+    vocabulary = {w for _, _, t in exemplars for w in exemplar_tokens(t)}
+    wanted = sorted(w for w in vocabulary if is_sign(w))
+    openings = Openings(exemplars)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         n = 0
+        everywhere, retrieved = np.zeros(TRIPLES, np.int64), np.zeros(TRIPLES, np.int64)
         for batch in batches:
             for text in batch["text"].to_pylist():
                 n += 1
-                seen.update(known.intersection(token_list(text)) | known.intersection(signs(text)))
-        yield pa.RecordBatch.from_arrays([pa.array([*seen, None], pa.string()), pa.array([*seen.values(), n], pa.int64())], ["word", "n"])
-
-    rows = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull()).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    total = sum(r["n"] for r in rows if r["word"] is None)
-    return {r["word"]: math.log((1 + total) / (0.5 + r["n"])) for r in rows if r["word"] is not None}, math.log((1 + total) / 0.5)
-
-
-def residue_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = 0.8) -> DataFrame:
+                words = token_list(text)
+                seen.update(vocabulary.intersection(words) | vocabulary.intersection(signs(text, wanted)))
+                everywhere += np.bincount(triples(text), minlength=TRIPLES)
+                for passage in openings.passages(words):
+                    retrieved += np.bincount(triples(passage), minlength=TRIPLES)
+        for kind, values in ((1, everywhere), (2, retrieved)):
+            at = np.flatnonzero(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind), pa.int32()), pa.array(at.astype(str).tolist(), pa.string()), pa.array(values[at], pa.int64())], ["kind", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([0] * (len(seen) + 1), pa.int32()), pa.array([*seen, None], pa.string()), pa.array([*seen.values(), n], pa.int64())], ["kind", "key", "n"])
+
+    rows = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull()).mapInArrow(count, "kind int, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()
+    total = sum(r["n"] for r in rows if r["key"] is None)
+    seen = {r["key"]: math.log((1 + total) / (0.5 + r["n"])) for r in rows if r["kind"] == 0 and r["key"] is not None}
+    counts = np.zeros((3, TRIPLES), np.int64)
+    for r in rows:
+        if r["kind"]:
+            counts[r["kind"], int(r["key"])] = r["n"]
+    return seen, math.log((1 + total) / 0.5), Profile(counts[1], counts[2], openings.own)
+
+
+def exemplar_rows(exemplars: DataFrame | Exemplars | None, most: int = 100_000) -> Exemplars:
+    """The labelled exemplars as rows (label, form, text); a table of them is read on the driver and must have at most ``most`` rows."""
+    if exemplars is None:
+        return EXEMPLARS
+    if isinstance(exemplars, DataFrame):
+        exemplars = [tuple(r) for r in exemplars.select("label", "form", "text").where("text is not null").limit(most + 1).collect()]
+    if len(exemplars) > most:
+        raise ValueError(f"more than {most} exemplars")
+    unknown = {form for _, form, _ in exemplars} - {"mark", "passage", "line", "style"}
+    if unknown:
+        raise ValueError(f"unknown forms of exemplars: {sorted(unknown)}")
+    return list(exemplars)
+
+
+def residue_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = 0.8, exemplars: DataFrame | Exemplars | None = None) -> DataFrame:
     """(id, label, start_offset, end_offset, score) of every passage that matches an exemplar.
 
-    Null, empty and blank texts have none. Texts are scanned whole. Offsets are code points. Repeated rows give repeated
-    passages; other columns are ignored; an empty table gives an empty result.
+    ``exemplars``: labelled rows (label, form, text), by default those of ``hunkweave.llm.exemplars``. Null, empty and blank
+    texts have no residue. Texts are scanned whole. Offsets are code points. Repeated rows give repeated passages; other
+    columns are ignored; an empty table gives an empty result.
     """
     import uuid
 
-    weights, default = word_weights(docs, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, weights, default))
+    rows = exemplar_rows(exemplars)
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows, *corpus_statistics(docs, rows, text_col)))
     kind = dict(docs.dtypes)[id_col]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, w, d = shared.value
+        name, *inputs = shared.value
         if name not in _built:
             _built.clear()
-            _built[name] = Index(w, d, containment)
+            _built[name] = Index(*inputs, containment)
         index = _built[name]
         for batch in batches:
             at, hits = [], []
@@ -279,11 +420,11 @@ def residue_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return slim.mapInArrow(scan, f"id {kind}, label string, start_offset long, end_offset long, score double").withColumnRenamed("id", id_col)
 
 
-def residue_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = 0.8) -> DataFrame:
+def residue_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = 0.8, exemplars: DataFrame | Exemplars | None = None) -> DataFrame:
     """(id) of the documents with residue anywhere, each once."""
-    return residue_passages(docs, id_col, text_col, containment).select(id_col).distinct()
+    return residue_passages(docs, id_col, text_col, containment, exemplars).select(id_col).distinct()
 
 
-def without_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = 0.8) -> DataFrame:
+def without_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = 0.8, exemplars: DataFrame | Exemplars | None = None) -> DataFrame:
     """The documents that have no residue; a null id cannot be excluded and is kept."""
-    return docs.join(residue_documents(docs, id_col, text_col, containment), id_col, "left_anti")
+    return docs.join(residue_documents(docs, id_col, text_col, containment, exemplars), id_col, "left_anti")

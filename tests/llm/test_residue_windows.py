@@ -1,16 +1,22 @@
 """Residue that an earlier chance word or run must not hide."""
 
+import numpy as np
 import pytest
 
-from hunkweave.llm import exemplars as E
 from hunkweave.llm import residue as R
 
 
+MADE_UP = "ipsumdol sitlor ipamcon dolsit conlor amet metdol lorem dolor asdf qwer zxcv jkl uiop hjkl"
+
+
 @pytest.fixture(scope="module")
 def index():
-    words = {w for texts in (E.MARKS, E.NOTICES, E.ERRORS, E.ERROR_LINES, E.FILLERS) for t in texts for w in R.exemplar_tokens(t)}
+    words = {w for _, _, t in R.EXEMPLARS for w in R.exemplar_tokens(t)}
     rare = dict.fromkeys(["insert", "add", "view"], 6.0)
-    return R.Index({**dict.fromkeys(words, 5.0), **rare}, 8.0, 0.8)
+    everywhere = np.full(R.TRIPLES, 50)
+    retrieved = np.bincount(R.triples(MADE_UP), minlength=R.TRIPLES)
+    profile = R.Profile(everywhere, retrieved, np.zeros(R.TRIPLES, np.int64))
+    return R.Index(R.EXEMPLARS, {**dict.fromkeys(words, 5.0), **rare}, 8.0, profile, 0.8)
 
 
 @pytest.mark.parametrize("text", ["Insert one line per slice [insert summary]", "Add tests, then [add owner here]"])
