@@ -31,6 +31,7 @@ Exemplars = list[tuple[str, str, str]]
 
 _NAME = r"[A-Za-z]+(?:[_.][A-Za-z]+)*"
 _CJK = r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff々〇]"
+SIGNS = frozenset(("<!--", "-->", "{{", "}}", "${", "#{", "<%", "<%=", "%>", "[[", "]]", "@@", "__", "%(", *"[]<>(){}【】〈〉*#$%"))
 _SIGN = r"<!--|-->|\{\{|\}\}|[$#]\{|<%=?|%>|\[\[|\]\]|@@|__|%\(|[\[\]<>(){}【】〈〉*#$%]"
 TOKEN = re.compile(rf"([^\W\d_\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+(?:['’][^\W\d_]+)*)|(\d+(?:[.,:]\d+)*)|({_CJK}+)|{_SIGN}")
 PLAIN = re.compile(r"[a-z]+(?:'[a-z]+)*")
@@ -91,10 +92,12 @@ def tokens(text: str) -> list[tuple[str, int, int]]:
 def token_list(text: str) -> list[str]:
     """Words of a text in order, without offsets; texts without Chinese or Japanese take a fast way that leaves numbers and signs to ``signs``."""
     if text.isascii():
-        return [SCRIPTS.get(w, w) for w in PLAIN.findall(text.lower())]
-    if not HAS_CJK.search(text):
-        return [SCRIPTS.get(w, w) for w in LETTERS.findall(text.lower().replace("’", "'"))]
-    return [t for t, _, _ in tokens(text)]
+        words = PLAIN.findall(text.lower())
+    elif not HAS_CJK.search(text):
+        words = LETTERS.findall(text.lower().replace("’", "'"))
+    else:
+        return [t for t, _, _ in tokens(text)]
+    return words if SCRIPTS.keys().isdisjoint(words) else [SCRIPTS.get(w, w) for w in words]
 
 
 def exemplar_tokens(text: str) -> list[str]:
@@ -103,7 +106,7 @@ def exemplar_tokens(text: str) -> list[str]:
 
 
 def is_sign(token: str) -> bool:
-    return not any(c.isalnum() for c in token)
+    return token in SIGNS
 
 
 def signs(text: str, wanted: list[str]) -> set[str]:
@@ -141,6 +144,24 @@ class Profile:
         filler, rest = retrieved + exemplar, np.maximum(everywhere - retrieved, 0)
         self.member = (filler > 0) & (filler / max(1, filler.sum()) >= rise * (rest + 1) / max(1, rest.sum()))
         self.known: dict[str, tuple[float, float]] = {}
+        self.met: set[str] = set()
+        self.whole_words: set[str] = set()
+
+    def any_contained(self, words: set[str], containment: float) -> bool:
+        """True where one of the words on its own is contained in filler."""
+        fresh = words - self.met
+        if fresh:
+            if len(self.met) > 500_000:
+                self.met.clear()
+                self.whole_words.clear()
+                fresh = words
+            self.met |= fresh
+            self.whole_words.update(w for w in fresh if self.share(w) >= containment)
+        return not self.whole_words.isdisjoint(words)
+
+    def share(self, word: str) -> float:
+        got, whole = self.score(word)
+        return got / whole
 
     def score(self, word: str) -> tuple[float, float]:
         """(contained, whole) weight of a word; what has no triples, as single or other letters, weighs as three rare ones and is not contained."""
@@ -166,15 +187,15 @@ class Openings:
         self.pairs = {p for t in texts if len(t.split()) > 4 for p in zip(t.split(), t.split()[1:])}
         self.own = sum((np.bincount(triples(t), minlength=TRIPLES) for t in texts), np.zeros(TRIPLES, np.int64))
         self.first = {a for a, _ in self.pairs}
-
-    def run(self, word: str) -> bool:
-        return len(word) >= 3 and any(word in row for row in self.rows)
+        self.runs = {row[i:j] for row in self.rows for i in range(len(row)) for j in range(i + 3, len(row) + 1)}
 
     def passages(self, words: list[str], reach: int = 40) -> list[str]:
         """The words after each opening, at most ``reach`` of them, joined."""
         out, last = [], -1
+        if self.pairs.isdisjoint(zip(words, words[1:])) and self.runs.isdisjoint(words):
+            return out
         for i, (a, b) in enumerate(zip(words, words[1:])):
-            if i >= last and ((a in self.first and (a, b) in self.pairs) or (self.run(a) and self.run(b))):
+            if i >= last and ((a in self.first and (a, b) in self.pairs) or (a in self.runs and b in self.runs)):
                 out.append(" ".join(words[i : i + 2 + reach]))
                 last = i + 2 + reach
         return out
@@ -206,8 +227,7 @@ class Index:
         self.weight = lambda w: weights.get(w, default)
         # Looks that leave out texts in which nothing can match: marks of signs by their form, all else by the tokens indexed.
         bare = {n for n, e in enumerate(self.entries) if e[1] == "mark" and all(is_sign(w) or len(w) == 1 for w in e[2])}
-        self.signed = [self.entries[n][5] for n in sorted(bare)]
-        self.signed_keys = sorted({e[2][0] for n, e in enumerate(self.entries) if n in bare})
+        self.signed = [(self.entries[n][2][0], self.entries[n][5]) for n in sorted(bare)]
         self.sign_keys = [k for k, p in self.postings.items() if is_sign(k) and any(n not in bare for n, _ in p)]
         self.words = {k for k, p in self.postings.items() if not is_sign(k) and k != "0" and any(n not in bare for n, _ in p)}
 
@@ -217,7 +237,7 @@ class Index:
         distinct = set(quick)
         if not self.words.isdisjoint(distinct) or any(k in text for k in self.sign_keys):
             return True
-        if any(k in text for k in self.signed_keys) and any(form.search(text) for form in self.signed):
+        if any(k in text and form.search(text) for k, form in self.signed):
             return True
         return self._filler_near(quick, distinct)
 
@@ -287,11 +307,19 @@ class Index:
         return [(label, a, b, score)] if score >= self.containment and re.fullmatch(r"[\s#>*-]*[\w ]+[.!:|\s]*", clear[a:b]) else []
 
     def _filler_near(self, plain: list[str], distinct: set[str], run: int = 12) -> bool:
-        if any(got >= self.containment * whole for got, whole in map(self.profile.score, distinct)):
+        if self.profile.any_contained(distinct, self.containment):
             return True  # a window cannot be contained as a whole without a word that is
-        if any(len(w) >= 12 and len(set(w)) == 1 for w in distinct):
+        if any(w.count(w[0]) == len(w) for w in distinct if len(w) >= 12):
             return True
-        return any(bytes(map(eq, plain, plain[p:])).find(b"\x01" * max(run, 3 * p)) >= 0 for p in range(1, 9))
+        half = run // 2  # of every run's places two at this distance are looked at
+        for i in range(0, len(plain) - half, half):
+            word = plain[i]
+            near = plain[i + 1 : i + 9]
+            if word in near:
+                for p, x in enumerate(near, 1):
+                    if x == word and i + half + p < len(plain) and plain[i + half] == plain[i + half + p] and bytes(map(eq, plain, plain[p:])).find(b"\x01" * max(run, 3 * p)) >= 0:
+                        return True
+        return False
 
     def _styled(self, scores: list[tuple[float, float]], window: int) -> list[tuple[int, int, float]]:
         """(first, last, score) of the longest stretches of windows whose letter triples are contained in filler; five words at the least."""
@@ -310,10 +338,11 @@ class Index:
     def _covered(self, words: list[tuple[str, int, int]], window: int = 8, run: int = 12) -> list[tuple[str, int, int, float]]:
         """Every longest stretch with the look of filler, and every run of up to eight words (or pairs of signs) over and over."""
         found = []
-        worded = [x for x in words if not is_sign(x[0])]
-        for first, last, score in self._styled([self.profile.score(w) for w, _, _ in worded], window):
-            found.append(("filler", worded[first][1], worded[last][2], score))
         plain = [w for w, _, _ in words]
+        if self.profile.any_contained(set(plain) - SIGNS, self.containment):
+            worded = [x for x in words if x[0] not in SIGNS]
+            for first, last, score in self._styled([self.profile.score(w) for w, _, _ in worded], window):
+                found.append(("filler", worded[first][1], worded[last][2], score))
         known = bytearray(len(plain))
         for period in range(1, 9):
             least = max(run, 3 * period)
@@ -348,16 +377,22 @@ def corpus_statistics(docs: DataFrame, exemplars: Exemplars, text_col: str = "te
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        n = 0
+        n = chars = 0
+        held: list[str] = []
         everywhere, retrieved = np.zeros(TRIPLES, np.int64), np.zeros(TRIPLES, np.int64)
         for batch in batches:
             for text in batch["text"].to_pylist():
                 n += 1
                 words = token_list(text)
                 seen.update(vocabulary.intersection(words) | vocabulary.intersection(signs(text, wanted)))
-                everywhere += np.bincount(triples(text), minlength=TRIPLES)
+                held.append(text)
+                chars += len(text)
                 for passage in openings.passages(words):
                     retrieved += np.bincount(triples(passage), minlength=TRIPLES)
+                if chars > 1_000_000:
+                    everywhere += np.bincount(triples(" ".join(held)), minlength=TRIPLES)
+                    held, chars = [], 0
+        everywhere += np.bincount(triples(" ".join(held)), minlength=TRIPLES)
         for kind, values in ((1, everywhere), (2, retrieved)):
             at = np.flatnonzero(values)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind), pa.int32()), pa.array(at.astype(str).tolist(), pa.string()), pa.array(values[at], pa.int64())], ["kind", "key", "n"])
