@@ -66,7 +66,7 @@ def exclusion_reason(header: Column) -> Column:
 
 def excluded(file_sections: DataFrame) -> DataFrame:
     """(diff_id, section_pos, path, reason, detail) of the sections that give no hunk."""
-    lines = F.split(F.trim("header"), "\n")
+    lines = F.split(F.regexp_replace("header", r"^\s+|\s+$", ""), "\n")
     reason = exclusion_reason(F.col("header"))
     kept = F.filter(lines, lambda l: ~l.startswith("diff --git") & ~l.startswith("index "))
     empty = F.col("path").isNull() | F.col("body").isNull()

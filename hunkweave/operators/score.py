@@ -23,14 +23,14 @@ def contingency(scored: DataFrame, scope: str = "scope") -> DataFrame:
 
 
 def greedy_match(pairs: DataFrame, scope: str = "scope") -> DataFrame:
-    """(scope, expected, actual, hunks): pairs taken in order of hunks, expected position and actual rank while both sides are free.
+    """(scope, expected, actual, hunks): pairs taken in order of hunks, expected position and actual rank (equal ones by name) while both sides are free.
 
     The matrix of one scope is its units by its units and is solved in one task.
     """
     kinds = dict(pairs.dtypes)
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["hunks", "exp_pos", "act_rank"], ascending=[False, True, True])
+        pdf = pdf.sort_values(["hunks", "exp_pos", "act_rank", "expected", "actual"], ascending=[False, True, True, True, True])
         left, right, keep = set(), set(), []
         for i, e, a in zip(pdf.index, pdf["expected"], pdf["actual"]):
             if e not in left and a not in right:

@@ -31,17 +31,6 @@ def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "overrides").dropDuplicates(["id"])
 
 
-def part_edges(spark: SparkSession, sf_dir: str, back: int = 0) -> DataFrame:
-    """A graph over part keys up to 400: each needs its half and its third; with ``back`` some halves need it in turn."""
-    p = table(spark, sf_dir, "part").select(F.lit(0).alias("scope"), F.col("p_partkey").alias("src")).where("src between 1 and 400")
-    half = p.select("scope", "src", (F.floor(F.col("src") / 2)).alias("dst"))
-    third = p.select("scope", "src", (F.floor(F.col("src") / 3)).alias("dst"))
-    out = half.unionByName(third)
-    if back:
-        out = out.unionByName(half.where(F.col("src") % back == 0).select("scope", F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return out.where("dst >= 1").distinct()
-
-
 def record_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scope, node) of every manifest's projections and every push's branches."""
     p = entries(spark, sf_dir).select(F.concat(F.lit("projections:"), "manifest_id").alias("scope"), F.col("projection_id").alias("node"))

@@ -50,10 +50,22 @@ def diff_hunks(spark, sf_dir):
     return diffs.hunks(diffs.sections(docs)).groupBy("diff_id").agg(F.count(F.lit(1)).alias("hunk_count"), F.sum("old_lines").alias("old_lines"), F.sum("new_start").alias("new_starts"))
 
 
-@query()
+_HEADERS = ("Binary files a/{p} and b/{p} differ", "similarity index 100%\nrename from {p}\nrename to {p}.old", "old mode 100644\nnew mode 100755", "new file mode 100644\nindex 0000000..e69de29", "odd one\nodd two\nodd three\nodd four")
+
+
+@query(r"""
+WITH k AS (SELECT DISTINCT hunk_id, file_path AS p, len(file_path) % 5 AS v FROM hunks)
+SELECT hunk_id AS diff_id, CASE WHEN v = 3 THEN NULL ELSE p END AS path, ['binary', 'rename-only', 'mode-only', 'empty-file', 'unrecognized'][v + 1] AS reason,
+  CASE v WHEN 0 THEN 'Binary files a/' || p || ' and b/' || p || ' differ' WHEN 1 THEN 'similarity index 100% / rename from ' || p || ' / rename to ' || p || '.old' WHEN 2 THEN 'old mode 100644 / new mode 100755' WHEN 3 THEN 'new file mode 100644'
+    ELSE 'diff --git a/' || p || ' b/' || p || ' / odd one / odd two' END AS detail FROM k""")
 def diff_excluded(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("doc_kind = 'patch'").select(F.col("doc_id").alias("diff_id"), "text")
-    return diffs.excluded(diffs.sections(docs))
+    """One section without hunks for each hunk's file, of the kind that the length of its path picks; an empty file names no path."""
+    h = B.hunks(spark, sf_dir).select("hunk_id", "file_path", F.length("file_path") % 5)
+    p = F.col("file_path")
+    parts = [F.concat(*[x for piece in text.split("{p}") for x in (F.lit(piece), p)][:-1]) for text in _HEADERS]
+    first = F.when(F.length(p) % 5 == 3, F.lit("diff --git\n")).otherwise(F.concat(F.lit("diff --git a/"), p, F.lit(" b/"), p, F.lit("\n")))
+    body = F.element_at(F.array(*parts), F.length(p) % 5 + 1)
+    return diffs.excluded(diffs.sections(h.select(F.col("hunk_id").alias("diff_id"), F.concat(F.when(F.length(p) % 5 == 3, F.lit("diff --git \n")).otherwise(first), body, F.lit("\n")).alias("text")))).drop("section_pos")
 
 
 @query(f"SELECT hunk_id, CAST({_LINES.format(t='raw')} AS INTEGER) AS changed_lines FROM {_H}")
@@ -224,71 +236,7 @@ def slice_edges(spark, sf_dir):
     return edges.slice_edges(edges.def_use(h), m, h).select(F.col("diff_id").alias("plan_id"), "src", "dst", "evidence_count")
 
 
-_DAG = "e AS (SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, unnest([p_partkey // 2, p_partkey // 3]) AS dst FROM part WHERE p_partkey BETWEEN 1 AND 400) WHERE dst >= 1)"
-
-
-@query(f"WITH RECURSIVE {_DAG}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst) SELECT src, dst FROM r")
-def closure(spark, sf_dir):
-    return graph.closure(B.part_edges(spark, sf_dir)).select("src", "dst")
-
-
-@query(f"WITH RECURSIVE {_DAG}, r AS (SELECT DISTINCT dst AS node, 0 AS d FROM e WHERE dst NOT IN (SELECT src FROM e) UNION SELECT e.src, r.d + 1 FROM r JOIN e ON e.dst = r.node) SELECT node, max(d) AS level FROM r GROUP BY 1")
-def levels(spark, sf_dir):
-    e = B.part_edges(spark, sf_dir)
-    nodes = e.select("scope", F.col("src").alias("node")).unionByName(e.select("scope", F.col("dst").alias("node"))).distinct()
-    return graph.levels(nodes, e).select("node", "level")
-
-
-@query(f"""
-WITH RECURSIVE {_DAG}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst)
-SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e m JOIN r ON r.src = m.dst WHERE m.src = e.src AND r.dst = e.dst)""")
-def maximal_prerequisites(spark, sf_dir):
-    e = B.part_edges(spark, sf_dir)
-    return graph.maximal(e, graph.closure(e)).select("src", "dst")
-
-
-@query("""
-WITH RECURSIVE f AS (SELECT p_partkey AS src, p_partkey // 2 AS h, p_partkey // 3 AS t FROM part WHERE p_partkey BETWEEN 1 AND 400),
-e AS (SELECT src, h AS dst FROM f WHERE h >= 1 UNION SELECT src, t FROM f WHERE t >= 1 UNION SELECT h, src FROM f WHERE src % 7 = 0 AND h >= 1),
-r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst)
-SELECT a.src AS node, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON b.src = a.dst AND b.dst = a.src WHERE a.src <> a.dst GROUP BY a.src""")
-def strong_components(spark, sf_dir):
-    return graph.strong_components(B.part_edges(spark, sf_dir, back=7)).select("node", "component")
-
-
-@query(f"WITH {_DAG} SELECT dst // 10 AS src, src // 10 AS dst FROM e WHERE src // 10 <> dst // 10 GROUP BY 1, 2")
-def quotient(spark, sf_dir):
-    e = B.part_edges(spark, sf_dir)
-    m = e.select("scope", F.col("src").alias("node")).unionByName(e.select("scope", F.col("dst").alias("node"))).distinct().withColumn("grp", F.floor(F.col("node") / 10))
-    return graph.quotient(e, m).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-
-
-@query(f"WITH {_DAG} SELECT n, count(*) AS nodes FROM (SELECT dst, count(*) AS n FROM e GROUP BY 1) GROUP BY 1")
-def fanout(spark, sf_dir):
-    a = graph.adjacency(B.part_edges(spark, sf_dir)).select(F.size("dependents").alias("n")).where("n > 0")
-    return a.groupBy("n").agg(F.count(F.lit(1)).alias("nodes"))
-
-
-@query(f"""
-WITH RECURSIVE {_DAG}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst),
-p AS (SELECT src AS node, list_sort(list(dst)) AS prereqs FROM r GROUP BY 1)
-SELECT p.node, array_to_string(p.prereqs, ',') AS prereqs, CASE WHEN list_append(coalesce(q.prereqs, []), p.prereqs[-1]) = p.prereqs THEN 'reuse' ELSE 'integration' END AS base_kind FROM p LEFT JOIN p q ON q.node = p.prereqs[-1]""")
-def base_kinds(spark, sf_dir):
-    e = B.part_edges(spark, sf_dir)
-    nodes = e.select("scope", F.col("src").alias("node")).unionByName(e.select("scope", F.col("dst").alias("node"))).distinct()
-    full = graph.ordered_prerequisites(graph.closure(e), nodes.withColumn("rank", F.col("node")))
-    every = nodes.join(full, ["scope", "node"], "left").withColumn("prereqs", F.coalesce("prereqs", F.array().cast("array<bigint>")))
-    b = graph.bases(every).where("base_kind <> 'root'")
-    return b.join(every, ["scope", "node"]).select("node", F.array_join(F.col("prereqs").cast("array<string>"), ",").alias("prereqs"), "base_kind")
-
-
-@query()
-def kahn_order(spark, sf_dir):
-    nodes = B.record_nodes(spark, sf_dir).withColumn("seq", F.col("node"))
-    return graph.kahn_order(nodes, B.record_edges(spark, sf_dir).withColumn("seq", F.col("src"))).select("scope", "node", "topo_num")
-
-
-# The same operators over the dependencies of all manifests and the bases of all pushes.
+# Graphs: the dependencies of all manifests and the bases of all pushes, and the slices of all plans.
 
 _REC = f"""
 pr AS (SELECT 'projections:' || manifest_id AS scope, projection_id AS node, depends_on FROM {_E}), sn AS (SELECT 'stack_nodes:' || push_id AS scope, branch AS node, base FROM {_S}),
@@ -305,19 +253,19 @@ lev AS (SELECT n.scope, n.node, max(d) AS level FROM n LEFT JOIN up ON up.scope
 
 
 @query(f"WITH RECURSIVE {_REC}, {_REACH} SELECT scope, src, dst FROM r")
-def record_closure(spark, sf_dir):
+def closure(spark, sf_dir):
     return graph.closure(B.record_edges(spark, sf_dir)).select("scope", "src", "dst")
 
 
 @query(f"WITH RECURSIVE {_REC}, {_REACH}, {_LEVELS} SELECT scope, node, level FROM lev")
-def record_levels(spark, sf_dir):
+def levels(spark, sf_dir):
     return graph.levels(B.record_nodes(spark, sf_dir), B.record_edges(spark, sf_dir)).select("scope", "node", "level")
 
 
 @query(f"""
 WITH RECURSIVE {_REC}, {_REACH}
 SELECT scope, src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e m JOIN r ON r.scope = m.scope AND r.src = m.dst WHERE m.scope = e.scope AND m.src = e.src AND m.dst <> e.dst AND r.dst = e.dst)""")
-def record_maximal_prerequisites(spark, sf_dir):
+def maximal_prerequisites(spark, sf_dir):
     e = B.record_edges(spark, sf_dir)
     return graph.maximal(e, graph.closure(e)).select("scope", "src", "dst")
 
@@ -325,19 +273,19 @@ def record_maximal_prerequisites(spark, sf_dir):
 @query(f"""
 WITH RECURSIVE {_REC}, {_REACH}
 SELECT a.scope, a.src AS node, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON b.scope = a.scope AND b.src = a.dst AND b.dst = a.src WHERE a.src <> a.dst GROUP BY a.scope, a.src""")
-def record_strong_components(spark, sf_dir):
+def strong_components(spark, sf_dir):
     return graph.strong_components(B.record_edges(spark, sf_dir)).select("scope", "node", "component")
 
 
 @query(f"WITH {_REC} SELECT scope, string_split(src, '-')[1] AS src, string_split(dst, '-')[1] AS dst FROM e WHERE string_split(src, '-')[1] <> string_split(dst, '-')[1] GROUP BY ALL")
-def record_quotient(spark, sf_dir):
+def quotient(spark, sf_dir):
     """Edges between the groups of names with one first word."""
     m = B.record_nodes(spark, sf_dir).withColumn("grp", F.element_at(F.split("node", "-"), 1))
     return graph.quotient(B.record_edges(spark, sf_dir), m).select("scope", "src", "dst")
 
 
 @query(f"WITH {_REC} SELECT n, count(*) AS nodes FROM (SELECT scope, dst, count(*) AS n FROM e GROUP BY 1, 2) GROUP BY 1")
-def record_fanout(spark, sf_dir):
+def fanout(spark, sf_dir):
     a = graph.adjacency(B.record_edges(spark, sf_dir)).select(F.size("dependents").alias("n")).where("n > 0")
     return a.groupBy("n").agg(F.count(F.lit(1)).alias("nodes"))
 
@@ -348,7 +296,7 @@ p AS (SELECT lev.scope, lev.node, any_value(lev.level) AS level, coalesce(list(r
   FROM lev LEFT JOIN r ON r.scope = lev.scope AND r.src = lev.node LEFT JOIN lev b ON b.scope = r.scope AND b.node = r.dst GROUP BY 1, 2)
 SELECT p.scope, p.node, array_to_string(p.prereqs, ',') AS prereqs, CASE WHEN p.level IS NULL THEN NULL WHEN len(p.prereqs) = 0 THEN 'root' WHEN list_append(q.prereqs, p.prereqs[-1]) = p.prereqs THEN 'reuse' ELSE 'integration' END AS base_kind
 FROM p LEFT JOIN p q ON q.scope = p.scope AND q.node = p.prereqs[-1]""")
-def record_base_kinds(spark, sf_dir):
+def base_kinds(spark, sf_dir):
     """Prerequisites in order of level and name; a node on or above a cycle has no base."""
     e = B.record_edges(spark, sf_dir)
     level = materialize(graph.levels(B.record_nodes(spark, sf_dir), e))
@@ -358,6 +306,51 @@ def record_base_kinds(spark, sf_dir):
     return b.select("scope", "node", F.array_join("prereqs", ",").alias("prereqs"), F.when(F.col("level").isNotNull(), F.col("base_kind")).alias("base_kind"))
 
 
+@query(f"""
+WITH RECURSIVE {_REC}, size AS (SELECT scope, count(*) AS c FROM n GROUP BY 1),
+k AS (SELECT scope, 0 AS i, list(node ORDER BY node) FILTER (WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.scope = n.scope AND e.src = n.node)) AS ord FROM n GROUP BY 1
+  UNION ALL SELECT q.scope, q.i + 1, list_concat(any_value(q.ord), coalesce(list(q.m ORDER BY q.m) FILTER (WHERE q.ready), []))
+  FROM (SELECT k.scope, k.i, k.ord, f.src AS m, bool_and(list_contains(k.ord[: k.i + 1], g.dst)) AS ready FROM k LEFT JOIN e f ON f.scope = k.scope AND f.dst = k.ord[k.i + 1] LEFT JOIN e g ON g.scope = f.scope AND g.src = f.src
+    WHERE k.i < len(k.ord) GROUP BY k.scope, k.i, k.ord, f.src) q GROUP BY q.scope, q.i),
+last AS (SELECT scope, arg_max(ord, i) AS ord FROM k GROUP BY 1)
+SELECT n.scope, n.node, CASE WHEN len(last.ord) = size.c THEN list_position(last.ord, n.node) - 1 END AS topo_num FROM n JOIN size ON size.scope = n.scope LEFT JOIN last ON last.scope = n.scope""")
+def kahn_order(spark, sf_dir):
+    nodes = B.record_nodes(spark, sf_dir).withColumn("seq", F.col("node"))
+    return graph.kahn_order(nodes, B.record_edges(spark, sf_dir).withColumn("seq", F.col("src"))).select("scope", "node", "topo_num")
+
+
+_PLAN = f"{_USES}, e AS (SELECT DISTINCT uses.plan_id AS scope, h.slice_label AS src, uses.dst FROM uses JOIN {_H} h ON h.hunk_id = uses.use_index WHERE h.slice_label <> uses.dst), n AS (SELECT DISTINCT plan_id AS scope, slice_label AS node FROM {_H})"
+
+
+def _plan_graph(spark, sf_dir):
+    h = B.plan_hunks(spark, sf_dir)
+    m = h.select("diff_id", "hunk_index", F.col("slice_label").alias("slice_id"))
+    e = edges.slice_edges(edges.def_use(h), m, h).select(F.col("diff_id").alias("scope"), "src", "dst")
+    return m.select(F.col("diff_id").alias("scope"), F.col("slice_id").alias("node")).distinct(), materialize(e)
+
+
+@query(f"WITH RECURSIVE {_PLAN}, {_REACH}, {_LEVELS} SELECT scope AS plan_id, node, level FROM lev")
+def plan_levels(spark, sf_dir):
+    return graph.levels(*_plan_graph(spark, sf_dir)).select(F.col("scope").alias("plan_id"), "node", "level")
+
+
+@query(f"""
+WITH RECURSIVE {_PLAN}, {_REACH}
+SELECT a.scope AS plan_id, a.src AS node, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON b.scope = a.scope AND b.src = a.dst AND b.dst = a.src WHERE a.src <> a.dst GROUP BY a.scope, a.src""")
+def plan_cycles(spark, sf_dir):
+    return graph.strong_components(_plan_graph(spark, sf_dir)[1]).select(F.col("scope").alias("plan_id"), "node", "component")
+
+
+@query(f"""
+WITH RECURSIVE {_PLAN}, {_REACH}, c AS (SELECT a.scope, a.src AS node, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON b.scope = a.scope AND b.src = a.dst AND b.dst = a.src WHERE a.src <> a.dst GROUP BY a.scope, a.src)
+SELECT x.scope AS plan_id, x.component, (SELECT string_agg(node, ' ' ORDER BY node) FROM c m WHERE m.scope = x.scope AND m.component = x.component) AS members, count(*) AS internal_edges
+FROM c x JOIN e ON e.scope = x.scope AND e.src = x.node JOIN c y ON y.scope = x.scope AND y.node = e.dst AND y.component = x.component GROUP BY 1, 2, x.scope""")
+def plan_cycle_reports(spark, sf_dir):
+    e = _plan_graph(spark, sf_dir)[1]
+    found = graph.cycle_report(e, materialize(graph.strong_components(e)))
+    return found.select(F.col("scope").alias("plan_id"), "component", F.array_join("members", " ").alias("members"), F.size("internal_edges").cast("long").alias("internal_edges"))
+
+
 @query(f"""
 WITH RECURSIVE n AS (SELECT push_id, node_id, branch, base FROM {_S}),
 p AS (SELECT c.push_id, c.node_id, q.node_id AS parent FROM n c JOIN n q ON q.push_id = c.push_id AND q.branch = c.base AND q.branch <> c.branch),
@@ -395,12 +388,6 @@ def innermost_interval(spark, sf_dir):
     return innermost(lines, spans, ["cust"], "at", "a", "b", "inner_order", ["inner_order"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"])
 
 
-@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND year(l_shipdate) = 1998 AND month(l_shipdate) = 1)")
-def unassigned(spark, sf_dir):
-    used = table(spark, sf_dir, "lineitem").where("l_shipdate >= '1998-01-01' and l_shipdate < '1998-02-01'").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, sf_dir, "part").select("p_partkey").join(used, "p_partkey", "left_anti")
-
-
 @query(f"""
 SELECT DISTINCT a.plan_id, a.slice_label, b.slice_label AS other FROM {_H} a JOIN {_H} b ON b.plan_id = a.plan_id AND b.file_path = a.file_path AND b.slice_label <> a.slice_label""")
 def shared_files(spark, sf_dir):
@@ -508,25 +495,47 @@ def contingency(spark, sf_dir):
     return score.contingency(_scored(spark, sf_dir)[0].where("role = 'scored'")).select("scope", "expected", "actual", "hunks")
 
 
-@query()
+_MATCH = f"""
+{_SC},
+pos AS (SELECT scope, expected, min(TRY_CAST(regexp_extract(expected, '(\\d+)$', 1) AS INT)) AS exp_pos FROM x GROUP BY 1, 2),
+pair AS (SELECT sc.scope, sc.expected, sc.actual, count(*) AS hunks, min(pos.exp_pos) AS exp_pos, min(ascii(sc.actual)) AS act_rank FROM sc JOIN pos ON pos.scope = sc.scope AND pos.expected = sc.expected GROUP BY 1, 2, 3),
+place AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY hunks DESC, exp_pos NULLS LAST, act_rank, expected, actual) AS p FROM pair),
+g AS (SELECT scope, expected, actual, hunks, p, [expected] AS es, [actual] AS ac FROM place WHERE p = 1
+  UNION ALL SELECT n.scope, n.expected, n.actual, n.hunks, n.p, list_append(n.es, n.expected), list_append(n.ac, n.actual) FROM (
+    SELECT g.es, g.ac, q.*, row_number() OVER (PARTITION BY g.scope ORDER BY q.p) AS r FROM g JOIN place q ON q.scope = g.scope AND q.p > g.p AND NOT list_contains(g.es, q.expected) AND NOT list_contains(g.ac, q.actual)) n WHERE r = 1),
+role AS (SELECT h.*, x.expected, CASE WHEN fb THEN 'excluded-fallback' ELSE 'scored' END AS role FROM h JOIN x ON x.scope = h.scope AND x.selector = h.selector)
+"""
+
+
+@query(f"WITH RECURSIVE {_MATCH} SELECT scope, expected, actual, hunks FROM g")
 def greedy_match(spark, sf_dir):
     return score.greedy_match(score.contingency(_scored(spark, sf_dir)[0].where("role = 'scored'")))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_MATCH}, s AS (SELECT role.scope, count(*) FILTER (WHERE role = 'scored') AS scored, count(*) FILTER (WHERE role = 'scored' AND role.actual = g.actual) AS agreed, CAST(0 AS BIGINT) AS unscored,
+  count(*) FILTER (WHERE role = 'excluded-fallback') AS excluded FROM role LEFT JOIN g ON g.scope = role.scope AND g.expected = role.expected GROUP BY 1)
+SELECT *, CASE WHEN scored > 0 THEN agreed / scored ELSE 0.0 END AS agreement, scored > 0 AND agreed / scored >= 2.0 / 3 AS pass FROM s""")
 def agreement(spark, sf_dir):
     return score.agreement(_scored(spark, sf_dir)[0], 2 / 3)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_MATCH}, u AS (SELECT DISTINCT scope, expected AS unit FROM x)
+SELECT u.scope, u.unit, g.actual AS matched, CAST(coalesce((SELECT sum(hunks) FROM pair p WHERE p.scope = u.scope AND p.expected = u.unit), 0) AS BIGINT) AS hunks, coalesce(g.hunks, 0) AS agreed,
+  coalesce((SELECT string_agg(actual, ' ' ORDER BY act_rank, actual) FROM pair p WHERE p.scope = u.scope AND p.expected = u.unit), '') AS spread
+FROM u LEFT JOIN g ON g.scope = u.scope AND g.expected = u.unit""")
 def unit_scores(spark, sf_dir):
     hunk_rows, declared = _scored(spark, sf_dir)
-    return score.unit_scores(hunk_rows, declared).select("scope", "unit", "matched", "hunks", "agreed", "spread")
+    return score.unit_scores(hunk_rows, declared).select("scope", "unit", "matched", "hunks", "agreed", F.array_join("spread", " ").alias("spread"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_MATCH}
+SELECT role.scope, role.selector, min(role.expected) AS expected, arg_min(role.actual, [ascii(role.actual), role.hunk_id]) AS actual, count(*) AS hunks
+FROM role LEFT JOIN g ON g.scope = role.scope AND g.expected = role.expected WHERE role = 'scored' AND g.actual IS DISTINCT FROM role.actual GROUP BY 1, 2""")
 def disagreements(spark, sf_dir):
-    return score.disagreements(_scored(spark, sf_dir)[0])
+    return score.disagreements(_scored(spark, sf_dir)[0]).drop("position")
 
 
 # State, caches and decisions.
@@ -553,20 +562,6 @@ def unit_status(spark, sf_dir):
     return e.select("event_id", reconcile.unit_status(F.col("event_type") == "error", F.col("p"), F.col("p").isNotNull(), F.round("value"), F.col("user_id") % 5 == 0).alias("status"))
 
 
-@query("""
-WITH s AS (SELECT branch, slice_signature, commit_sha, adopted, slice_branch FROM correspondence WHERE snapshot_no = 1 QUALIFY row_number() OVER (PARTITION BY branch, slice_signature ORDER BY updated_at DESC, id DESC) = 1),
-h AS (SELECT slice_branch, max(commit_sha) AS sha FROM correspondence WHERE snapshot_no = 5 AND slice_branch IS NOT NULL AND commit_sha IS NOT NULL GROUP BY 1)
-SELECT s.branch, s.slice_signature, CASE WHEN s.commit_sha IS NULL THEN NULL WHEN h.sha IS NULL THEN 'missing' WHEN h.sha <> s.commit_sha THEN 'moved' END AS drift,
-  CASE WHEN s.commit_sha IS NULL THEN 'unchanged' WHEN h.sha IS NULL THEN CASE WHEN adopted THEN 'blocked' ELSE 'updated' END WHEN h.sha <> s.commit_sha THEN 'blocked' ELSE 'unchanged' END AS status
-FROM s LEFT JOIN h ON h.slice_branch = s.slice_branch""")
-def drift(spark, sf_dir):
-    c = table(spark, sf_dir, "correspondence")
-    first = latest(c.where("snapshot_no = 1").select("branch", "slice_signature", "updated_at", "id", "commit_sha", "adopted", "slice_branch"), ["branch", "slice_signature"], "updated_at", "id")
-    units = first.select("branch", "slice_signature", F.col("slice_branch").alias("branch_name"), F.lit("unchanged").alias("status"), F.col("commit_sha").alias("stored_sha"), "adopted")
-    heads = c.where("snapshot_no = 5 and slice_branch is not null and commit_sha is not null").groupBy(F.col("slice_branch").alias("branch_name")).agg(F.max("commit_sha").alias("remote_sha"))
-    return reconcile.drift(units, heads).select("branch", "slice_signature", "drift", "status")
-
-
 @query("""
 WITH k AS (SELECT snapshot_no, lead(snapshot_no) OVER (ORDER BY snapshot_no) AS next_no FROM (SELECT DISTINCT snapshot_no FROM correspondence WHERE snapshot_no IS NOT NULL)),
 s AS (SELECT c.snapshot_no, k.next_no, branch, slice_signature, commit_sha, adopted, slice_branch FROM correspondence c JOIN k ON k.snapshot_no = c.snapshot_no AND k.next_no IS NOT NULL
@@ -575,7 +570,7 @@ h AS (SELECT snapshot_no, slice_branch, max(commit_sha) AS sha FROM corresponden
 SELECT s.snapshot_no, s.next_no, s.branch, s.slice_signature, CASE WHEN s.commit_sha IS NULL THEN NULL WHEN h.sha IS NULL THEN 'missing' WHEN h.sha <> s.commit_sha THEN 'moved' END AS drift,
   CASE WHEN s.commit_sha IS NULL THEN 'unchanged' WHEN h.sha IS NULL THEN CASE WHEN adopted THEN 'blocked' ELSE 'updated' END WHEN h.sha <> s.commit_sha THEN 'blocked' ELSE 'unchanged' END AS status
 FROM s LEFT JOIN h ON h.slice_branch = s.slice_branch AND h.snapshot_no = s.next_no""")
-def drift_steps(spark, sf_dir):
+def drift(spark, sf_dir):
     """Every delivered snapshot against the next one."""
     c = table(spark, sf_dir, "correspondence")
     numbers = c.select("snapshot_no").where("snapshot_no is not null").distinct()
@@ -641,25 +636,12 @@ def adoption_candidates(spark, sf_dir):
     return reconcile.adoption_candidates(targets, d.where("doc_kind = 'review_comment'").select(F.col("doc_id").alias("pr_number"), "tree"))
 
 
-@query(f"""
-WITH c AS (SELECT push_id, list(pr_number ORDER BY node_id) AS prs FROM {_S} WHERE adopted = false GROUP BY 1), o AS (SELECT push_id AS stack_number, list(pr_number ORDER BY node_id) AS prs FROM {_S} WHERE push_id % 2 = 0 GROUP BY 1),
-h AS (SELECT c.push_id, count(DISTINCT o.stack_number) AS n, min(o.stack_number) AS s FROM (SELECT push_id, unnest(prs) AS pr FROM c) c JOIN (SELECT stack_number, unnest(prs) AS pr FROM o) o ON o.pr = c.pr GROUP BY 1)
-SELECT c.push_id AS chain_id, CASE WHEN h.n IS NULL THEN 'created' WHEN h.n > 1 THEN 'diverged' WHEN len(c.prs) <= len(o.prs) AND o.prs[:len(c.prs)] = c.prs THEN 'unchanged' WHEN len(o.prs) <= len(c.prs) AND c.prs[:len(o.prs)] = o.prs THEN 'extended' ELSE 'diverged' END AS link_status
-FROM c LEFT JOIN h ON h.push_id = c.push_id LEFT JOIN o ON o.stack_number = h.s""")
-def stack_links(spark, sf_dir):
-    n = table(spark, sf_dir, "stack_nodes").dropDuplicates(["node_id"])
-    pairs = F.array_sort(F.collect_list(F.struct("node_id", "pr_number")))
-    wanted = n.where("not adopted").groupBy(F.col("push_id").alias("chain_id")).agg(F.transform(pairs, lambda p: p["pr_number"]).alias("prs"))
-    held = n.where("push_id % 2 = 0").groupBy(F.col("push_id").alias("stack_number")).agg(F.transform(pairs, lambda p: F.struct(p["pr_number"].alias("number"), F.lit("open").alias("state"), F.lit(False).alias("merged"))).alias("prs"))
-    return stacks.plan_links(wanted, held).select("chain_id", "link_status")
-
-
 @query(f"""
 WITH c AS (SELECT push_id, list(pr_number ORDER BY node_id) AS prs FROM {_S} WHERE adopted = false AND push_id IS NOT NULL GROUP BY 1), o AS (SELECT push_id AS stack_number, list(pr_number ORDER BY node_id) AS prs FROM {_S} WHERE push_id IS NOT NULL GROUP BY 1),
 h AS (SELECT c.push_id, count(DISTINCT o.stack_number) AS n, min(o.stack_number) AS s FROM (SELECT push_id, unnest(prs) AS pr FROM c) c JOIN (SELECT stack_number, unnest(prs) AS pr FROM o) o ON o.pr = c.pr AND o.stack_number < c.push_id GROUP BY 1)
 SELECT c.push_id AS chain_id, CASE WHEN h.n IS NULL THEN 'created' WHEN h.n > 1 THEN 'diverged' WHEN len(c.prs) <= len(o.prs) AND o.prs[:len(c.prs)] = c.prs THEN 'unchanged' WHEN len(o.prs) <= len(c.prs) AND c.prs[:len(o.prs)] = o.prs THEN 'extended' ELSE 'diverged' END AS link_status
 FROM c LEFT JOIN h ON h.push_id = c.push_id LEFT JOIN o ON o.stack_number = h.s""")
-def stack_links_earlier(spark, sf_dir):
+def stack_links(spark, sf_dir):
     """Every push's chain against the stacks of all earlier pushes."""
     n = table(spark, sf_dir, "stack_nodes").dropDuplicates(["node_id"]).where("push_id is not null")
     pairs = F.array_sort(F.collect_list(F.struct("node_id", "pr_number")))
@@ -689,20 +671,12 @@ def _rebuilt(d):
     lines = F.split("content", "\n", -1)
     full = F.concat(F.lit("@@ -0,0 +1,"), F.size(lines).cast("string"), F.lit(" @@\n+"), F.array_join(lines, "\n+"), F.lit("\n\\ No newline at end of file\n"))
     steps = d.select("scope", "path", F.lit(0).alias("step"), F.lit(0).alias("hunk_index"), full.alias("raw"))
-    return apply.rebuild_check(d.where("false"), steps, d).select("scope", "same")
+    return apply.rebuild_check(d.where("false"), steps, d).select("scope", "rebuilt", "same")
 
 
-@query(r"""
-WITH l AS (SELECT doc_id AS scope, list_filter(string_split(text, chr(10)), lambda x: true) AS a FROM documents WHERE doc_kind = 'commit_message' AND text IS NOT NULL AND NOT contains(text, chr(13)))
-SELECT scope, true AS same FROM l WHERE len(a) >= 1""")
+@query("""
+SELECT DISTINCT doc_id AS scope, sha1(encode('tree 35' || chr(0) || '100644 message' || chr(0)) || unhex(sha1(encode('blob ' || octet_length(encode(text)) || chr(0)) || encode(text)))) AS rebuilt, true AS same FROM documents WHERE text IS NOT NULL""")
 def rebuild_text(spark, sf_dir):
-    """Texts taken apart into one hunk per text and applied again: the rebuilt tree is the text's own tree."""
-    d = table(spark, sf_dir, "documents").where("doc_kind = 'commit_message' and text is not null and not contains(text, '\r')").select(F.col("doc_id").alias("scope"), F.lit("message").alias("path"), F.col("text").alias("content"), F.lit("100644").alias("mode"))
-    return _rebuilt(d)
-
-
-@query("SELECT DISTINCT doc_id AS scope, true AS same FROM documents WHERE text IS NOT NULL")
-def rebuild_documents(spark, sf_dir):
-    """The same for every text of every kind, whatever its line ends."""
+    """Every text taken apart into one hunk and applied again: the rebuilt tree's id against that of the text itself."""
     d = table(spark, sf_dir, "documents").where("text is not null").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("scope"), F.lit("message").alias("path"), F.col("text").alias("content"), F.lit("100644").alias("mode"))
     return _rebuilt(materialize(d))

@@ -124,11 +124,53 @@ WHERE (r.source_table, r.node_id) NOT IN (SELECT (source_table, node_id) FROM un
 GROUP BY 1, 2
 """
 
+_P2_PATHS = f"""
+{_P2_REACH},
+sound AS (SELECT source_table, node_id FROM nodes EXCEPT SELECT * FROM unsound),
+ways AS (
+  SELECT source_table, node_id, node_id AS up, 0 AS d FROM sound
+  UNION SELECT w.source_table, w.node_id, l.parent_id, w.d + 1 FROM ways w JOIN links l ON l.source_table = w.source_table AND l.node_id = w.up),
+dist AS (
+  SELECT source_table, node_id, up AS root_id, max(d) AS d FROM ways w
+  WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.source_table = w.source_table AND l.node_id = w.up) GROUP BY 1, 2, 3),
+pred AS (
+  SELECT c.source_table, c.node_id, c.root_id, min(l.parent_id) AS p FROM dist c JOIN links l ON l.source_table = c.source_table AND l.node_id = c.node_id
+  JOIN dist u ON u.source_table = c.source_table AND u.node_id = l.parent_id AND u.root_id = c.root_id AND u.d = c.d - 1 GROUP BY 1, 2, 3),
+walk AS (
+  SELECT source_table, node_id, root_id, d, node_id AS cur, [node_id] AS path FROM dist
+  UNION ALL SELECT w.source_table, w.node_id, w.root_id, w.d, p.p, list_prepend(p.p, w.path) FROM walk w JOIN pred p ON p.source_table = w.source_table AND p.node_id = w.cur AND p.root_id = w.root_id)
+"""
+
+P2_PATHS = f"""
+WITH RECURSIVE {_P2_PATHS}
+SELECT source_table, node_id, root_id, CAST(d AS BIGINT) AS node_depth, path FROM walk WHERE cur = root_id
+UNION ALL SELECT source_table, node_id, -1, CASE WHEN (source_table, node_id) IN (SELECT (source_table, node_id) FROM cyclic) THEN -1 ELSE -2 END, NULL FROM unsound
+"""
+
+_P2_CHAINS = f"""
+{_P2_REACH},
+sound AS (SELECT source_table AS t, node_id AS v FROM nodes EXCEPT SELECT * FROM unsound),
+keep AS (SELECT l.source_table AS t, l.node_id AS v, min(l.parent_id) AS p FROM links l JOIN sound ON t = l.source_table AND v = l.node_id GROUP BY 1, 2),
+above AS (SELECT t, v, p FROM keep UNION ALL SELECT a.t, a.v, k.p FROM above a JOIN keep k ON k.t = a.t AND k.v = a.p),
+sizes AS (SELECT s.t, s.v, 1 + count(a.v) AS n FROM sound s LEFT JOIN above a ON a.t = s.t AND a.p = s.v GROUP BY 1, 2),
+heavy AS (SELECT k.t, k.p, k.v FROM keep k JOIN sizes z ON z.t = k.t AND z.v = k.v QUALIFY row_number() OVER (PARTITION BY k.t, k.p ORDER BY z.n DESC, k.v) = 1),
+ch AS (
+  SELECT s.t, s.v, s.v AS chain_id, CAST(0 AS BIGINT) AS pos FROM sound s WHERE NOT EXISTS (SELECT 1 FROM heavy h WHERE h.t = s.t AND h.v = s.v)
+  UNION ALL SELECT c.t, h.v, c.chain_id, c.pos + 1 FROM ch c JOIN heavy h ON h.t = c.t AND h.p = c.v)
+"""
+
+P2_CHAINS = f"WITH RECURSIVE {_P2_CHAINS} SELECT t AS source_table, v AS node_id, chain_id, pos AS chain_pos FROM ch"
+
+P2_DESCENDANTS = f"""
+WITH RECURSIVE {_P2_CHAINS}
+SELECT r.source_table, r.up AS node_id, c.chain_id, min(c.pos) AS from_pos, max(c.pos) AS to_pos FROM reach r JOIN ch c ON c.t = r.source_table AND c.v = r.node_id GROUP BY 1, 2, 3
+"""
+
 QUERIES = {
     "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p2_chains": p2_chains, "p2_descendant_counts": p2_descendant_counts,
     "p1_found": p1_found, "p1_counts": p1_counts, "p4_found": p4_found,
 }
 SQL = {
-    "p2_found": P2_FOUND, "p2_descendant_counts": P2_DESCENDANT_COUNTS,
+    "p2_found": P2_FOUND, "p2_paths": P2_PATHS, "p2_chains": P2_CHAINS, "p2_descendants": P2_DESCENDANTS, "p2_descendant_counts": P2_DESCENDANT_COUNTS,
     "p1_found": P1_FOUND, "p1_counts": P1_COUNTS, "p4_found": P4_FOUND,
 }
