@@ -6,11 +6,12 @@ in one task; its size is the number of slices, not of changed lines. Plans run i
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hunkweave.functions.paths import TEST_FILE
@@ -130,11 +131,15 @@ def _solve(slices: pd.DataFrame, edges: list[tuple[int, int]], target: int | Non
         capped = _by_directory(g, files, size, soft, target)
         met = len(g.heads()) <= target
         unmet = None if met else "size-cap" if capped else "structure"
-    final = _kahn(g.heads(), g.quotient())
+    links = g.quotient()
+    final = _kahn(g.heads(), links)
     number = {h: i for i, h in enumerate(final)}
+    below: dict[int, list[int]] = {h: [] for h in final}
+    for a, b in links:
+        below[a].append(number[b])
     return [
         {
-            "unit_num": number[h], "slice_ids": g.members[h], "prerequisites": sorted(number[b] for a, b in g.quotient() if a == h), "rules": g.rules.get(h, []),
+            "unit_num": number[h], "slice_ids": g.members[h], "prerequisites": sorted(below[h]), "rules": g.rules.get(h, []),
             "hunk_count": sum(size[m] for m in g.members[h]), "pinned": h in g.pinned, "fallback_only": all(reasons[m] is not None for m in g.members[h]), "target_met": met, "unmet_reason": unmet,
         }
         for h in final
@@ -145,7 +150,6 @@ def _by_directory(g: _Merger, files: dict, size: dict, soft: dict, target: int)
     """Merge the smallest neighbours of the deepest shared directory until the target is met; True where the size cap stopped a merge."""
     cap = max(1, math.ceil(sum(size.values()) / target) * 2)
     capped, refused = False, set()
-    deepest = max((f.count("/") for fs in files.values() for f in fs), default=0)
     known: dict[tuple[int, int], tuple[int, list[str]]] = {}
 
     def weight(h: int) -> int:
@@ -164,32 +168,58 @@ def _by_directory(g: _Merger, files: dict, size: dict, soft: dict, target: int)
             known[key] = (sum(size[m] for m in g.members[h]), shared)
         return known[key]
 
-    def step() -> bool:
+    def prefixes(h: int) -> list[tuple[int, str]]:
+        """The directories that a group counts for, as (-depth, name), so that the deepest come first and then by name."""
+        if h in g.pinned or not soft[h]:
+            return []
+        common = shape(h)[1]
+        return [(-depth, "/".join(common[:depth])) for depth in range(1, len(common) + 1)]
+
+    rows: dict[tuple[int, str], set[int]] = {}
+    of = {h: prefixes(h) for h in g.heads()}
+    for h, places in of.items():
+        for place in places:
+            rows.setdefault(place, set()).add(h)
+    # A directory none of whose groups has changed since it was last tried has nothing to merge, so only the others are tried again.
+    waiting = list(rows)
+    heapq.heapify(waiting)
+    queued = set(waiting)
+    left = len(g.heads())
+
+    def step(place: tuple[int, str]) -> tuple[int, int] | None:
         nonlocal capped
-        for depth in range(deepest, 0, -1):
-            shared: dict[str, list[int]] = {}
-            for h in g.heads():
-                if h in g.pinned or not soft[h]:
+        row = sorted(rows[place], key=lambda h: (weight(h), g.rank[h]))
+        for i, a in enumerate(row):
+            for b in row[i + 1 :]:
+                if (a, b) in refused:
                     continue
-                common = shape(h)[1]
-                if len(common) >= depth:
-                    shared.setdefault("/".join(common[:depth]), []).append(h)
-            for prefix in sorted(shared):
-                row = sorted(shared[prefix], key=lambda h: (weight(h), g.rank[h]))
-                for i, a in enumerate(row):
-                    for b in row[i + 1 :]:
-                        if (a, b) in refused:
-                            continue
-                        if weight(a) + weight(b) > cap:
-                            capped = True
-                            break  # the rest of the row is no lighter
-                        if g.merge(a, b, "directory-affinity"):
-                            return True
-                        refused.add((a, b))
-        return False
-
-    while len(g.heads()) > target and step():
-        pass
+                if weight(a) + weight(b) > cap:
+                    capped = True
+                    break  # the rest of the row is no lighter
+                if g.merge(a, b, "directory-affinity"):
+                    return a, b
+                refused.add((a, b))
+        return None
+
+    while left > target and waiting:
+        place = waiting[0]
+        pair = step(place)
+        if pair is None:
+            queued.discard(heapq.heappop(waiting))
+            continue
+        left -= 1
+        touched = set()
+        for h in pair:
+            for p in of.pop(h):
+                rows[p].discard(h)
+                touched.add(p)
+        keep = g.group[pair[0]]
+        of[keep] = prefixes(keep)
+        for p in of[keep]:
+            rows.setdefault(p, set()).add(keep)
+        for p in touched.union(of[keep]) - queued:
+            heapq.heappush(waiting, p)
+            queued.add(p)
     return capped
 
 
@@ -202,13 +232,17 @@ def coarsen(units: DataFrame, edges: DataFrame, target: int | None = None, scope
     if target is not None and target < 1:
         raise ValueError("the target must be at least 1")
     kind = dict(units.dtypes)[scope]
-    links = edges.groupBy(scope).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "src", "dst"))), lambda e: F.array(e["src"].cast("long"), e["dst"].cast("long"))).alias("links"))
-    rows = units.select(scope, F.col("slice_id").cast("long").alias("slice_id"), "seq", "files", "reasons", "hunk_count", "fallback_only", "pinned").join(links, scope, "left")
+    nothing = {n: F.lit(None).cast(t) for n, t in units.select("files", "reasons", "hunk_count", "fallback_only", "pinned").dtypes}
+    at = Window.partitionBy(scope)
+    slices = units.select(scope, F.col("slice_id").cast("long").alias("slice_id"), F.lit(None).cast("long").alias("dst"), F.row_number().over(at.orderBy("seq", "slice_id")).alias("at"), *nothing)
+    links = edges.select(scope, F.col("src").cast("long").alias("slice_id"), F.col("dst").cast("long").alias("dst"), F.row_number().over(at.orderBy("seq", "src", "dst")).alias("at"), *[c.alias(n) for n, c in nothing.items()])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        raw = pdf["links"].iloc[0]
-        out = pd.DataFrame(_solve(pdf, [tuple(int(x) for x in e) for e in raw] if raw is not None else [], target))
+        pdf = pdf.sort_values("at")
+        own = pdf["dst"].isna()
+        pairs = list(zip(pdf.loc[~own, "slice_id"].astype(int).tolist(), pdf.loc[~own, "dst"].astype(int).tolist()))
+        out = pd.DataFrame(_solve(pdf[own].rename(columns={"at": "seq"}), pairs, target))
         out.insert(0, scope, pdf[scope].iloc[0])
         return out
 
-    return rows.groupBy(scope).applyInPandas(run, f"{scope} {kind}, {OUT}")
+    return slices.unionByName(links).groupBy(scope).applyInPandas(run, f"{scope} {kind}, {OUT}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hunkweave.functions.paths import group_key, is_code_file
 from hunkweave.operators.diffs import changed_lines
+from hunkweave.operators.edges import def_use, slice_edges
 from hunkweave.operators.manifest import Declared
 from hunkweave.runtime import table
 
@@ -62,6 +63,9 @@ def declared(spark: SparkSession, sf_dir: str) -> Declared:
     )
     plans = e.select(F.col("manifest_id").alias("scope"), "plan_id").distinct()
     slices = plans.join(units, "plan_id").select("scope", F.col("slice_label").alias("slice_id"), F.regexp_extract("slice_label", r"(\d+)$", 1).cast("long").alias("topo_num"), "selectors", "files", "hunk_count", "changed_lines", "code_files")
-    empty = spark.createDataFrame([], "scope long, src string, dst string")
+    keyed = plan_hunks(spark, sf_dir)
+    member = keyed.select("diff_id", "hunk_index", F.col("slice_label").alias("slice_id"))
+    needs = slice_edges(def_use(keyed), member, keyed).select(F.col("diff_id").alias("plan_id"), "src", "dst")
+    links = plans.join(needs, "plan_id").select("scope", "src", "dst").distinct()
     budgets = plans.select("scope", F.lit(4).alias("max_files"), F.lit(6).alias("max_hunks"), F.lit(60).alias("max_lines")).distinct()
-    return Declared(rows, slices, empty, spark.createDataFrame([], "scope long, selector string, reason string"), spark.createDataFrame([("unit",), ("default",)], "profile string"), budgets)
+    return Declared(rows, slices, links, spark.createDataFrame([], "scope long, selector string, reason string"), spark.createDataFrame([("unit",), ("default",)], "profile string"), budgets)

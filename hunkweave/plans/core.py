@@ -389,10 +389,13 @@ def innermost_interval(spark, sf_dir):
 
 
 @query(f"""
-SELECT DISTINCT a.plan_id, a.slice_label, b.slice_label AS other FROM {_H} a JOIN {_H} b ON b.plan_id = a.plan_id AND b.file_path = a.file_path AND b.slice_label <> a.slice_label""")
+SELECT plan_id, slice_label, file_path, owners FROM (SELECT *, count(*) OVER (PARTITION BY plan_id, file_path) AS owners FROM (SELECT DISTINCT plan_id, slice_label, file_path FROM {_H})) WHERE owners > 1""")
 def shared_files(spark, sf_dir):
+    """Slices that share a file, one row for each slice and file with the number of slices that own it, instead of all their pairs."""
     h = B.hunks(spark, sf_dir).select("plan_id", "file_path", "slice_label").distinct()
-    return h.join(h.withColumnRenamed("slice_label", "other"), ["plan_id", "file_path"]).where("slice_label <> other").select("plan_id", "slice_label", "other").distinct()
+    many = h.groupBy("plan_id", "file_path").agg(F.count(F.lit(1)).alias("owners")).where("owners > 1")
+    return h.join(many, ["plan_id", "file_path"]).select("plan_id", "slice_label", "file_path", "owners")
+
 
 
 # Declared groupings.
@@ -565,7 +568,7 @@ def unit_status(spark, sf_dir):
 @query("""
 WITH k AS (SELECT snapshot_no, lead(snapshot_no) OVER (ORDER BY snapshot_no) AS next_no FROM (SELECT DISTINCT snapshot_no FROM correspondence WHERE snapshot_no IS NOT NULL)),
 s AS (SELECT c.snapshot_no, k.next_no, branch, slice_signature, commit_sha, adopted, slice_branch FROM correspondence c JOIN k ON k.snapshot_no = c.snapshot_no AND k.next_no IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY c.snapshot_no, branch, slice_signature ORDER BY updated_at DESC NULLS LAST, id DESC NULLS LAST) = 1),
+  QUALIFY row_number() OVER (PARTITION BY c.snapshot_no, branch, slice_signature ORDER BY updated_at DESC NULLS LAST, id DESC NULLS LAST, commit_sha DESC NULLS LAST, adopted DESC NULLS LAST, slice_branch DESC NULLS LAST) = 1),
 h AS (SELECT snapshot_no, slice_branch, max(commit_sha) AS sha FROM correspondence WHERE slice_branch IS NOT NULL AND commit_sha IS NOT NULL GROUP BY 1, 2)
 SELECT s.snapshot_no, s.next_no, s.branch, s.slice_signature, CASE WHEN s.commit_sha IS NULL THEN NULL WHEN h.sha IS NULL THEN 'missing' WHEN h.sha <> s.commit_sha THEN 'moved' END AS drift,
   CASE WHEN s.commit_sha IS NULL THEN 'unchanged' WHEN h.sha IS NULL THEN CASE WHEN adopted THEN 'blocked' ELSE 'updated' END WHEN h.sha <> s.commit_sha THEN 'blocked' ELSE 'unchanged' END AS status
@@ -636,6 +639,15 @@ def adoption_candidates(spark, sf_dir):
     return reconcile.adoption_candidates(targets, d.where("doc_kind = 'review_comment'").select(F.col("doc_id").alias("pr_number"), "tree"))
 
 
+def chains_and_stacks(spark, sf_dir):
+    """The chain of each push without adopted branches, each push as a stack, and the nodes of both."""
+    n = table(spark, sf_dir, "stack_nodes").dropDuplicates(["node_id"]).where("push_id is not null")
+    pairs = F.array_sort(F.collect_list(F.struct("node_id", "pr_number")))
+    wanted = n.where("not adopted").groupBy(F.col("push_id").alias("chain_id")).agg(F.transform(pairs, lambda p: p["pr_number"]).alias("prs"))
+    held = n.groupBy(F.col("push_id").alias("stack_number")).agg(F.transform(pairs, lambda p: F.struct(p["pr_number"].alias("number"), F.lit("open").alias("state"), F.lit(False).alias("merged"))).alias("prs"))
+    return wanted, held, n
+
+
 @query(f"""
 WITH c AS (SELECT push_id, list(pr_number ORDER BY node_id) AS prs FROM {_S} WHERE adopted = false AND push_id IS NOT NULL GROUP BY 1), o AS (SELECT push_id AS stack_number, list(pr_number ORDER BY node_id) AS prs FROM {_S} WHERE push_id IS NOT NULL GROUP BY 1),
 h AS (SELECT c.push_id, count(DISTINCT o.stack_number) AS n, min(o.stack_number) AS s FROM (SELECT push_id, unnest(prs) AS pr FROM c) c JOIN (SELECT stack_number, unnest(prs) AS pr FROM o) o ON o.pr = c.pr AND o.stack_number < c.push_id GROUP BY 1)
@@ -643,28 +655,56 @@ SELECT c.push_id AS chain_id, CASE WHEN h.n IS NULL THEN 'created' WHEN h.n > 1
 FROM c LEFT JOIN h ON h.push_id = c.push_id LEFT JOIN o ON o.stack_number = h.s""")
 def stack_links(spark, sf_dir):
     """Every push's chain against the stacks of all earlier pushes."""
-    n = table(spark, sf_dir, "stack_nodes").dropDuplicates(["node_id"]).where("push_id is not null")
-    pairs = F.array_sort(F.collect_list(F.struct("node_id", "pr_number")))
-    wanted = n.where("not adopted").groupBy(F.col("push_id").alias("chain_id")).agg(F.transform(pairs, lambda p: p["pr_number"]).alias("prs"))
-    held = n.groupBy(F.col("push_id").alias("stack_number")).agg(F.transform(pairs, lambda p: F.struct(p["pr_number"].alias("number"), F.lit("open").alias("state"), F.lit(False).alias("merged"))).alias("prs"))
+    wanted, held, _ = chains_and_stacks(spark, sf_dir)
     return stacks.plan_links(wanted, held, earlier=True).select("chain_id", "link_status")
 
 
+
 @query("SELECT command, count(*) AS run_count FROM (SELECT DISTINCT ON (id) * FROM timing_runs) GROUP BY 1")
 def command_counts(spark, sf_dir):
     return table(spark, sf_dir, "timing_runs").dropDuplicates(["id"]).groupBy("command").agg(F.count(F.lit(1)).alias("run_count"))
 
 
-@query()
-def review_units(spark, sf_dir):
-    """Coarsened units of every plan whose slice graph has no cycle."""
+def _plan_overrides(spark, sf_dir):
+    """Overrides of a branch under every plan of the branch."""
+    plans = B.hunks(spark, sf_dir).select("branch", F.col("plan_id").alias("diff_id")).distinct()
+    return B.overrides(spark, sf_dir).select("branch", "kind", "selector_a", "selector_b").distinct().join(plans, "branch").drop("branch")
+
+
+def _review(spark, sf_dir, overrides=None):
     from hunkweave.plans.review import relate
 
     h = B.plan_hunks(spark, sf_dir)
-    plan = relate(h, h.where("false"), h.where("false"))
+    plan = relate(h, h.where("false"), h.where("false"), overrides).settle("membership", "units", "edges", "order")
     sound = plan.order.groupBy("diff_id").agg(F.bool_and(F.col("topo_num").isNotNull()).alias("ok")).where("ok").select("diff_id")
     plan.units, plan.edges = plan.units.join(sound, "diff_id", "left_semi"), plan.edges.join(sound, "diff_id", "left_semi")
-    return plan.coarse(12)
+    return plan
+
+
+@query()
+def review_units(spark, sf_dir):
+    """Coarsened units of every plan whose slice graph has no cycle, with the overrides of its branch: forced merges and splits, slices of split selectors pinned."""
+    return _review(spark, sf_dir, _plan_overrides(spark, sf_dir)).coarse(12)
+
+
+@query(f"""
+WITH RECURSIVE {_USES}, x AS (SELECT DISTINCT h.plan_id AS scope, h.selector AS src, g.selector AS dst FROM uses JOIN {_H} h ON h.hunk_id = uses.use_index JOIN {_H} g ON g.hunk_id = uses.def_index WHERE h.selector <> g.selector),
+r AS (SELECT scope, src, dst FROM x UNION SELECT r.scope, r.src, x.dst FROM r JOIN x ON x.scope = r.scope AND x.src = r.dst), bad AS (SELECT DISTINCT scope FROM r WHERE src = dst)
+SELECT plan_id, count(DISTINCT selector) AS slices, count(*) AS hunks, true AS each_once, true AS acyclic, true AS cap_held FROM {_H} WHERE plan_id NOT IN (SELECT scope FROM bad) GROUP BY 1""")
+def review_unit_checks(spark, sf_dir):
+    """What must hold of the units of every plan: each slice and hunk in one of them, no cycle between them, none over the size cap by directories alone."""
+    plan = _review(spark, sf_dir)
+    units = materialize(plan.coarse(12))
+    cap = units.groupBy("diff_id").agg((F.greatest(F.lit(1), F.ceil(F.sum("hunk_count") / 12) * 2)).alias("cap"))
+    only = F.forall("rules", lambda r: r.startswith("directory-affinity:"))
+    within = units.join(cap, "diff_id").groupBy("diff_id").agg(F.bool_and((F.col("hunk_count") <= F.col("cap")) | ~only | (F.size("slice_ids") == 1)).alias("cap_held"))
+    each = units.select("diff_id", F.explode("slice_ids").alias("s")).groupBy("diff_id").agg(F.count_distinct("s").alias("slices"), F.count(F.lit(1)).alias("_n"))
+    links = units.select(F.col("diff_id").alias("scope"), F.col("unit_num").alias("src"), F.explode("prerequisites").alias("dst"))
+    cyclic = graph.strong_components(links).select(F.col("scope").alias("diff_id"), F.lit(True).alias("_c")).distinct()
+    hunks = units.groupBy("diff_id").agg(F.sum("hunk_count").alias("hunks"))
+    joined = hunks.join(each, "diff_id").join(within, "diff_id").join(cyclic, "diff_id", "left")
+    return joined.select(F.col("diff_id").alias("plan_id"), "slices", "hunks", (F.col("_n") == F.col("slices")).alias("each_once"), F.col("_c").isNull().alias("acyclic"), "cap_held")
+
 
 
 def _rebuilt(d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hunkweave.plans import core, records
+from hunkweave.plans import core, decisions, records
 
-QUERIES = {**records.QUERIES, **core.QUERIES}
-SQL = {**records.SQL, **core.SQL}
+QUERIES = {**records.QUERIES, **core.QUERIES, **decisions.QUERIES}
+SQL = {**records.SQL, **core.SQL, **decisions.SQL}

@@ -28,9 +28,9 @@ class Plan:
     order: DataFrame
     overrides: DataFrame | None = None
 
-    def settle(self) -> Plan:
-        """The same plan with its relations written once, for callers that ask it many things."""
-        for name in ("hunks", "membership", "units", "edges", "order"):
+    def settle(self, *names: str) -> Plan:
+        """The same plan with its relations, or those named, written once, for callers that ask it many things."""
+        for name in names or ("hunks", "membership", "units", "edges", "order"):
             setattr(self, name, materialize(getattr(self, name)))
         return self
 
@@ -89,7 +89,7 @@ def relate(hunk_rows: DataFrame, sections: DataFrame, excluded: DataFrame, overr
     member = partition.slices(hunk_rows, overrides)
     units = partition.slice_units(hunk_rows, member)
     uses = edges.def_use(hunk_rows)
-    links = edges.slice_edges(uses, member, hunk_rows)
+    links = materialize(edges.slice_edges(uses, member, hunk_rows))
     order = graph.kahn_order(units.select("diff_id", F.col("slice_id").alias("node"), F.col("first_index").alias("seq")), links, "diff_id")
     return Plan(sections, hunk_rows, excluded, member, units, uses, links, order, overrides)
 
