@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hunkweave.functions.hashes import blob_hash
@@ -118,10 +118,16 @@ def tree_hash(blobs: dict[str, tuple[str, str]]) -> str:
     return hashlib.sha1(f"tree {len(data)}".encode() + b"\0" + data).hexdigest()
 
 
+def _blob(files: DataFrame) -> Column:
+    """Object id of each file: the one given in ``blob``, where there is one, else that of the content."""
+    made = blob_hash(F.col("content"))
+    return F.coalesce("blob", made) if "blob" in files.columns else made
+
+
 def tree_hashes(files: DataFrame, scope: str = "scope") -> DataFrame:
-    """(scope, tree): the tree id of every snapshot. ``files``: (scope, path, content, mode). Contents are hashed on the way and only ids gathered."""
+    """(scope, tree): the tree id of every snapshot. ``files``: (scope, path, content, mode[, blob]). Contents are hashed on the way and only ids gathered."""
     kind = dict(files.dtypes)[scope]
-    ids = files.select(scope, "path", "mode", blob_hash(F.col("content")).alias("blob"))
+    ids = files.select(scope, "path", "mode", _blob(files).alias("blob"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({scope: [pdf[scope].iloc[0]], "tree": [tree_hash(dict(zip(pdf["path"], zip(pdf["mode"], pdf["blob"]))))]})
@@ -134,9 +140,10 @@ def rebuild_check(base_files: DataFrame, steps: DataFrame, goal_files: DataFrame
     last = apply_chain(base_files.select(scope, "path", "content"), steps, scope)
     final = last.groupBy(scope, "path").agg(F.max_by("content", "step").alias("content"), F.max("error").alias("error"))
     failed = final.where(F.col("error").isNotNull()).select(scope).distinct().withColumn("_failed", F.lit(True))
-    kept = base_files.join(final.select(scope, "path"), [scope, "path"], "left_anti").select(scope, "path", "content", "mode")
+    kept = base_files.join(final.select(scope, "path"), [scope, "path"], "left_anti")
+    kept = kept.select(scope, "path", F.lit(None).cast("string").alias("content"), "mode", _blob(kept).alias("blob"))
     modes = base_files.select(scope, "path", "mode")
-    made = final.join(modes, [scope, "path"], "left").select(scope, "path", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("mode", F.lit("100644")).alias("mode"))
+    made = final.join(modes, [scope, "path"], "left").select(scope, "path", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("mode", F.lit("100644")).alias("mode"), F.lit(None).cast("string").alias("blob"))
     # A file that a patch leaves empty is gone unless the goal keeps it empty.
     gone = made.where("content = ''").join(goal_files.select(scope, "path"), [scope, "path"], "left_anti")
     made = made.join(gone.select(scope, "path"), [scope, "path"], "left_anti")
@@ -146,12 +153,14 @@ def rebuild_check(base_files: DataFrame, steps: DataFrame, goal_files: DataFrame
     return joined.select(scope, "rebuilt", "goal", (F.coalesce(F.col("rebuilt") == F.col("goal"), F.lit(False)) & F.col("_failed").isNull()).alias("same"))
 
 
-def flat_first(base: dict[str, str], order: list[str], hunks: dict[str, list[tuple[str, str]]], edges: list[tuple[str, str]]) -> list[dict]:
-    """Each unit of one plan built on its prerequisites alone; rows with base kind, prerequisites, tree content hash and error.
+def flat_first(base: dict[str, tuple[str, str]], order: list[str], hunks: dict[str, list[tuple[str, str]]], edges: list[tuple[str, str]], rest: dict[str, tuple[str, str]] | None = None) -> list[dict]:
+    """Each unit of one plan built on its prerequisites alone; rows with base kind, prerequisites, tree id, tree id on the base alone and error.
 
     A unit that does not apply is tried again upon all earlier units that share a file with it; a unit whose prerequisite
-    failed fails with it. ``hunks``: unit to (path, raw) in diff order. One plan is one task; plans run in parallel.
+    failed fails with it. ``base``: (content, mode) of the files that hunks touch, ``rest``: (mode, blob id) of all others,
+    ``hunks``: unit to (path, raw) in diff order. One plan is one task; plans run in parallel.
     """
+    rest = rest or {}
     rank = {u: i for i, u in enumerate(order)}
     direct: dict[str, list[str]] = {u: [] for u in order}
     for a, b in edges:
@@ -165,7 +174,7 @@ def flat_first(base: dict[str, str], order: list[str], hunks: dict[str, list[tup
         return sorted({x for s in seeds for x in (s, *below.get(s, ()))}, key=rank.__getitem__)
 
     def build(units: list[str]) -> dict[str, str]:
-        tree = dict(base)
+        tree = {p: content for p, (content, _) in base.items()}
         for u in units:
             by_path: dict[str, list[str]] = {}
             for path, raw in hunks.get(u, ()):
@@ -174,6 +183,16 @@ def flat_first(base: dict[str, str], order: list[str], hunks: dict[str, list[tup
                 tree[path] = apply_hunks(tree.get(path, ""), raws)
         return tree
 
+    def alone(unit: str) -> str | None:
+        try:
+            return tree_id(build([unit]))
+        except ValueError:
+            return None
+
+    def tree_id(tree: dict[str, str]) -> str:
+        made = {p: (base[p][1] if p in base else "100644", hashlib.sha1(f"blob {len(c.encode())}".encode() + b"\0" + c.encode()).hexdigest()) for p, c in tree.items() if c}
+        return tree_hash({**rest, **made})
+
     for unit in order:
         needs, widened, error, tree = gather(direct[unit]), False, None, None
         blocked = next((p for p in needs if p in failed), None)
@@ -199,22 +218,31 @@ def flat_first(base: dict[str, str], order: list[str], hunks: dict[str, list[tup
         reuse = top is not None and [*below[top], top] == needs
         rows.append({
             "unit": unit, "base_kind": None if error else "root" if not needs else "reuse" if reuse else "integration", "base_unit": top if reuse and not error else None, "prerequisites": needs, "widened": widened, "error": error,
-            "tree": None if tree is None else tree_hash({p: ("100644", hashlib.sha1(f"blob {len(c.encode())}".encode() + b"\0" + c.encode()).hexdigest()) for p, c in tree.items() if c}),
+            "tree": None if tree is None else tree_id(tree), "own_tree": alone(unit) if needs else None,
         })
     return rows
 
 
 def flat_first_units(base_files: DataFrame, units: DataFrame, hunk_rows: DataFrame, edges: DataFrame, scope: str = "scope") -> DataFrame:
-    """``flat_first`` for many plans. base_files (scope, path, content), units (scope, unit, rank), hunk_rows (scope, unit, hunk_index, path, raw), edges (scope, src, dst)."""
+    """``flat_first`` for many plans. base_files (scope, path, content[, mode, blob]), units (scope, unit, rank), hunk_rows (scope, unit, hunk_index, path, raw), edges (scope, src, dst).
+
+    Of the base only the files that hunks touch are sent whole; all others go by their object ids.
+    """
     kind = dict(units.dtypes)[scope]
     text = F.lit(None).cast("string")
     long = F.lit(None).cast("long")
+    files = base_files.select(scope, "path", "content", _blob(base_files).alias("blob"), (F.col("mode") if "mode" in base_files.columns else F.lit("100644")).alias("mode"))
+    touched = hunk_rows.select(scope, "path", F.lit(True).alias("_t")).distinct()
+    files = files.join(touched, [scope, "path"], "left")
+    whole = F.col("_t") & F.col("content").isNotNull()
     rows = (
-        base_files.select(scope, F.lit("f").alias("t"), F.col("path").alias("a"), F.col("content").alias("b"), text.alias("c"), long.alias("n"))
+        files.select(scope, F.when(whole, "f").otherwise("r").alias("t"), F.col("path").alias("a"), F.when(whole, F.col("content")).otherwise(F.col("blob")).alias("b"), F.col("mode").alias("c"), long.alias("n"))
         .unionByName(units.select(scope, F.lit("u").alias("t"), F.col("unit").alias("a"), text.alias("b"), text.alias("c"), F.col("rank").cast("long").alias("n")))
         .unionByName(hunk_rows.select(scope, F.lit("h").alias("t"), F.col("unit").alias("a"), F.col("path").alias("b"), F.col("raw").alias("c"), F.col("hunk_index").cast("long").alias("n")))
         .unionByName(edges.select(scope, F.lit("e").alias("t"), F.col("src").alias("a"), F.col("dst").alias("b"), text.alias("c"), long.alias("n")))
     )
+    schema = f"{scope} {kind}, unit string, base_kind string, base_unit string, prerequisites array<string>, widened boolean, error string, tree string, own_tree string"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         part = {t: p for t, p in pdf.sort_values("n", kind="stable").groupby("t")}
@@ -222,9 +250,8 @@ def flat_first_units(base_files: DataFrame, units: DataFrame, hunk_rows: DataFra
         hunks: dict[str, list[tuple[str, str]]] = {}
         for u, p, r in zip(*(part.get("h", none)[c] for c in "abc")):
             hunks.setdefault(u, []).append((p, r))
-        f, e = part.get("f", none), part.get("e", none)
-        out = pd.DataFrame(flat_first(dict(zip(f["a"], f["b"])), part.get("u", none)["a"].tolist(), hunks, list(zip(e["a"], e["b"]))))
-        out.insert(0, scope, pdf[scope].iloc[0])
-        return out
+        f, e, r = part.get("f", none), part.get("e", none), part.get("r", none)
+        out = flat_first(dict(zip(f["a"], zip(f["b"], f["c"]))), part.get("u", none)["a"].tolist(), hunks, list(zip(e["a"], e["b"])), dict(zip(r["a"], zip(r["c"], r["b"]))))
+        return pd.DataFrame([{scope: pdf[scope].iloc[0], **row} for row in out], columns=names)
 
-    return rows.groupBy(scope).applyInPandas(run, f"{scope} {kind}, unit string, base_kind string, base_unit string, prerequisites array<string>, widened boolean, error string, tree string")
+    return rows.groupBy(scope).applyInPandas(run, schema)

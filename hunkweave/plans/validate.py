@@ -29,12 +29,15 @@ def unit_hunks(plan: Plan, declared: Declared) -> DataFrame:
 
 def git_findings(spark: SparkSession, repo: str, plan: Plan, declared: Declared, base_ref: str, goal_ref: str) -> DataFrame:
     """Findings of building every unit on its declared prerequisites, and of rebuilding the whole in order."""
-    scope = declared.entries.select("scope").first()["scope"]
+    first = declared.entries.select("scope").first()
+    if first is None:  # a manifest without entries builds nothing
+        return finding(declared.entries.where("false"), "error", "apply-failure")
+    scope = first["scope"]
     base, goal = git.tree_files(spark, repo, base_ref, scope), git.tree_files(spark, repo, goal_ref, scope)
     hunks = unit_hunks(plan, declared)
     ranks = declared.verification_units().select("scope", "unit", F.col("rank").cast("int").alias("rank"))
     own = hunks.where("unit <> '(deferred)'")
-    built = apply.flat_first_units(base.select("scope", "path", "content"), ranks.where("unit <> '(deferred)'"), own, declared.declared.select("scope", "src", "dst"))
+    built = apply.flat_first_units(base, ranks.where("unit <> '(deferred)'"), own, declared.declared.select("scope", "src", "dst"))
     failed = finding(built.where("error is not null"), "error", "apply-failure", F.col("unit"), F.col("error"))
     widened = finding(built.where("widened"), "warning", "apply-failure", F.col("unit"), F.array_join("prerequisites", ", "))
     steps = hunks.join(ranks.withColumnRenamed("rank", "step"), ["scope", "unit"]).select("scope", "path", "step", "hunk_index", "raw")
@@ -66,6 +69,16 @@ def score_plan(plan: Plan, expected: DataFrame, threshold: float, scope: str, in
     }
 
 
+def score_declared(plan: Plan, declared: Declared, expected: DataFrame, threshold: float, scope: str, include_fallback: bool = False) -> dict[str, DataFrame]:
+    """Scores of a declared grouping's units, in dependency order, against expected units."""
+    order = declared.order().select(F.col("projection").alias("actual"), F.col("rank").alias("act_rank"))
+    member = declared.owner.select("slice_id", F.col("owner").alias("actual")).join(order, "actual")
+    rows = plan.hunks.join(plan.membership.select("hunk_index", "slice_id"), "hunk_index").join(member, "slice_id").withColumn("scope", F.lit(scope))
+    hunk_units = rows.select("scope", "hunk_index", group_key().alias("selector"), F.col("qualified_symbol").isNull().alias("is_fallback"), "actual", "act_rank")
+    hunks = score.score_hunks(hunk_units, expected, include_fallback)
+    return {"agreement": score.agreement(hunks, threshold), "units": score.unit_scores(hunks, expected), "disagreements": score.disagreements(hunks)}
+
+
 def skeleton(plan: Plan, branch: str, base: str, target: int | None = None) -> DataFrame:
     """(manifest): one JSON document that declares the plan's review units, for a person to edit."""
     units = plan.coarse(target).withColumnRenamed("diff_id", "scope")

@@ -74,34 +74,62 @@ def diff_text(spark: SparkSession, repo: str, old: str, new: str, diff_id: str =
 
 
 def name_status(spark: SparkSession, repo: str, old: str, new: str) -> DataFrame:
-    """(status, path) of every changed file; a rename is its removal and its new path."""
-    parts = spark.createDataFrame([(git(repo, "diff", "--name-status", "--no-renames", "-z", old, new),)], "text string").select(F.posexplode(F.split("text", "\0")).alias("at", "value"))
-    pairs = parts.groupBy(F.floor(F.col("at") / 2).alias("pair")).agg(F.max(F.when(F.col("at") % 2 == 0, F.col("value"))).alias("status"), F.max(F.when(F.col("at") % 2 == 1, F.col("value"))).alias("path"))
-    return pairs.where("path is not null").select("status", "path")
-
-
-def files_at(spark: SparkSession, repo: str, paths: list[str], ref: str, fallback: str | None = None, diff_id: str = "diff") -> DataFrame:
-    """(diff_id, path, content): each file at the ref, else at the fallback, else null."""
-    def read(path: str) -> str | None:
-        for r in (ref, fallback):
-            if r:
-                try:
-                    return git(repo, "show", f"{r}:{path}")
-                except RuntimeError:
-                    pass
+    """(status, path, old_path) of every changed file; a renamed or copied one has its new path and the one that it comes from."""
+    fields = iter(git(repo, "diff", "--name-status", "-M", "-z", old, new).split("\0"))
+    rows = []
+    for status in fields:
+        if status:
+            first = next(fields)
+            moved = status[0] in "RC"
+            rows.append((status, next(fields) if moved else first, first if moved else None))
+    return spark.createDataFrame(rows, "status string, path string, old_path string")
+
+
+def objects(repo: str, names: list[str]) -> list[bytes | None]:
+    """Contents of objects by name, as ``ref:path``, read by one process; None for those that do not exist."""
+    plain = [n for n in names if "\n" not in n]
+    done = subprocess.run(["git", "-C", repo, "cat-file", "--batch"], input="".join(f"{n}\n" for n in plain).encode(errors="surrogateescape"), capture_output=True)
+    out, at, found = done.stdout, 0, {}
+    for n in plain:
+        end = out.index(b"\n", at)
+        head = out[at:end]
+        at = end + 1
+        if not head.endswith(b" missing"):
+            size = int(head.rsplit(b" ", 1)[1])
+            found[n] = out[at : at + size]
+            at += size + 1
+    return [found.get(n) for n in names]
+
+
+def object_ids(repo: str, names: list[str]) -> list[str | None]:
+    """Ids of objects by name, as ``commit^{tree}``, by one process; None for those that do not exist."""
+    done = subprocess.run(["git", "-C", repo, "cat-file", "--batch-check=%(objectname)"], input="".join(f"{n}\n" for n in names).encode(), capture_output=True)
+    return [None if line.endswith(" missing") else line for line in done.stdout.decode().splitlines()]
+
+
+def _text(data: bytes | None) -> str | None:
+    """Text of a file, None for one that is not UTF-8."""
+    try:
+        return None if data is None else data.decode()
+    except UnicodeDecodeError:
         return None
 
-    return spark.createDataFrame([(diff_id, p, read(p)) for p in paths], "diff_id string, path string, content string")
-
 
-def tree_files(spark: SparkSession, repo: str, ref: str, scope: str = "scope") -> DataFrame:
-    """(scope, path, content, mode) of every file of a tree."""
-    rows = []
-    for line in git(repo, "ls-tree", "-r", "-z", ref).split("\0"):
-        if line:
-            meta, path = line.split("\t", 1)
-            rows.append((scope, path, git(repo, "cat-file", "blob", meta.split()[2]), meta.split()[0]))
-    return spark.createDataFrame(rows, "scope string, path string, content string, mode string")
+def files_at(spark: SparkSession, repo: str, paths: list[str], ref: str, fallback: str | None = None, diff_id: str = "diff") -> DataFrame:
+    """(diff_id, path, content): each file at the ref, else at the fallback, else null; null too for a file that is not text."""
+    found = dict(zip(paths, objects(repo, [f"{ref}:{p}" for p in paths])))
+    lost = [p for p, data in found.items() if data is None] if fallback else []
+    found.update(zip(lost, objects(repo, [f"{fallback}:{p}" for p in lost])))
+    return spark.createDataFrame([(diff_id, p, _text(found[p])) for p in paths], "diff_id string, path string, content string")
+
+
+def tree_files(spark: SparkSession, repo: str, ref: str, scope: str = "scope", paths: set[str] | None = None) -> DataFrame:
+    """(scope, path, content, mode, blob) of every file of a tree; of those named alone where ``paths`` are, the rest without content."""
+    listed = [line.split("\t", 1) for line in git(repo, "ls-tree", "-r", "-z", ref).split("\0") if line]
+    rows = [(path, *meta.split()[::2]) for meta, path in listed]
+    wanted = [r for r in rows if paths is None or r[0] in paths]
+    content = dict(zip([r[0] for r in wanted], objects(repo, [r[2] for r in wanted])))
+    return spark.createDataFrame([(scope, p, _text(content.get(p)), mode, blob) for p, mode, blob in rows], "scope string, path string, content string, mode string, blob string")
 
 
 def commit_log(spark: SparkSession, repo: str, span: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,7 @@ class Store:
     def _log(self, name: str) -> DataFrame:
         t = TABLES[name]
         schema = self.spark.createDataFrame([], t.schema).schema.add("_seq", "long").add("_deleted", "boolean")
+        schema = schema.add("_at", "integer") if t.mode == "append" else schema
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         except Exception as e:
@@ -68,6 +69,8 @@ class Store:
         """Append rows under a sequence number; a later number wins over an earlier one."""
         t = TABLES[name]
         full = self.spark.createDataFrame([], t.schema).unionByName(rows, allowMissingColumns=True)
+        if t.mode == "append":  # equal rows of one write are told apart, so that they survive the reading of a repeated write
+            full = full.withColumn("_at", F.row_number().over(Window.partitionBy(*full.columns).orderBy(F.lit(0))))
         out = full.withColumn("_seq", F.lit(seq).cast("long")).withColumn("_deleted", F.lit(deleted)).write.mode("append")
         (out.partitionBy("branch") if "branch" in full.columns else out).parquet(f"{self.root}/{name}")
 
@@ -81,5 +84,23 @@ class Store:
         if branch is not None:
             log = log.where(F.col("branch") == branch)
         if t.mode == "append":
-            return log.drop("_seq", "_deleted")
+            return log.distinct().drop("_seq", "_deleted", "_at")
         return (latest if t.mode == "upsert" else earliest)(log, list(t.key), "_seq").where("not _deleted").drop("_seq", "_deleted")
+
+    def compact(self, name: str) -> None:
+        """Rewrite a table's log as its present rows alone, under their own sequence numbers; writers must be idle meanwhile.
+
+        The new log is written beside the old one and takes its place by a rename.
+        """
+        t = TABLES[name]
+        log = self._log(name)
+        kept = log.distinct() if t.mode == "append" else (latest if t.mode == "upsert" else earliest)(log, list(t.key), "_seq").where("not _deleted")
+        sc = self.spark.sparkContext
+        old, new = (sc._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}{suffix}") for suffix in ("", ".new"))
+        files = old.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not files.exists(old):
+            return
+        out = kept.write.mode("overwrite")
+        (out.partitionBy("branch") if "branch" in kept.columns else out).parquet(f"{self.root}/{name}.new")
+        files.delete(old, True)
+        files.rename(new, old)

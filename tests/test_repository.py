@@ -180,3 +180,57 @@ def test_stream_of_changes_reaches_the_store(spark, tmp_path):
     q = follow(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, "correspondence", str(tmp_path / "cp"), ["branch", "slice_signature"], "at")
     q.awaitTermination(120)
     assert [r.content_hash for r in store.read("correspondence").collect()] == ["new"]
+
+
+def test_a_repeated_write_of_runs_is_read_once_and_logs_compact(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    runs = spark.createDataFrame([("b", "plan", 1, 1, 5), ("b", "plan", 1, 1, 5), ("c", "plan", 2, 1, 7)], "branch string, command string, hunk_count int, slice_count int, duration_ms long")
+    for _ in range(2):
+        store.write("timing_runs", runs, 4)
+    store.write("timing_runs", runs, 5)
+    assert store.read("timing_runs").count() == 6 and store.read("timing_runs", "c").count() == 2
+    store.compact("timing_runs")
+    assert store.read("timing_runs").count() == 6
+    row = "branch string, slice_signature string, content_hash string"
+    store.write("correspondence", spark.createDataFrame([("b", "s", "1"), ("b", "t", "1")], row), 1)
+    store.write("correspondence", spark.createDataFrame([("b", "s", "2")], row), 2)
+    store.delete("correspondence", spark.createDataFrame([("b", "t", None)], row), 3)
+    store.compact("correspondence")
+    assert [(r.slice_signature, r.content_hash) for r in store.read("correspondence", "b").collect()] == [("s", "2")]
+    store.write("correspondence", spark.createDataFrame([("b", "s", "0")], row), 1)
+    assert store.read("correspondence").first().content_hash == "2"
+
+
+def test_late_and_repeated_runs_of_a_stream_all_count_once(spark, tmp_path):
+    from datetime import datetime
+
+    from hunkweave.streaming.changes import day_totals, first_deliveries
+
+    schema = "id long, command string, duration_ms long, started_at timestamp"
+    day = lambda d: datetime(2025, 1, d)
+    batches = [[(1, "plan", 5, day(20)), (2, "plan", 7, day(20))], [(2, "plan", 7, day(20)), (3, "plan", 9, day(1)), (3, "plan", 9, day(1))], [(4, "plan", 1, day(20))]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = first_deliveries(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "days"), str(tmp_path / "cp"))
+        q.awaitTermination(120)
+    got = {(r.day.day, r.command): (r.run_count, r.total_ms, r.longest_ms) for r in day_totals(spark, str(tmp_path / "days")).collect()}
+    assert got == {(20, "plan"): (3, 13, 7), (1, "plan"): (1, 9, 9)}
+
+
+def test_renames_come_with_both_paths(spark, tmp_path):
+    root = str(tmp_path)
+    g = lambda *a: subprocess.run(["git", "-C", root, *a], check=True, capture_output=True)
+    g("init", "-q", "-b", "main")
+    g("config", "user.email", "a@example.org")
+    g("config", "user.name", "a")
+    (tmp_path / "a b.txt").write_text("line\n" * 20)
+    (tmp_path / "raw.bin").write_bytes(b"\xff\x00\xfe")
+    g("add", "-A")
+    g("commit", "-qm", "1")
+    g("mv", "a b.txt", "c.txt")
+    g("commit", "-qm", "2")
+    assert [tuple(r) for r in git.name_status(spark, root, "main~1", "main").collect()] == [("R100", "c.txt", "a b.txt")]
+    files = git.tree_files(spark, root, "main")
+    assert {r.path: r.content is None for r in files.collect()} == {"c.txt": False, "raw.bin": True}
+    assert apply.tree_hashes(files).first().tree == git.rev_parse(root, "main^{tree}")
+    assert [r.content for r in git.files_at(spark, root, ["a b.txt", "none"], "main", "main~1").collect()] == ["line\n" * 20, None]
