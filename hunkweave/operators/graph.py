@@ -111,13 +111,23 @@ def _kahn(nodes: list, edges: list[tuple]) -> list | None:
     return out if len(out) == len(nodes) else None
 
 
-def kahn_order(nodes: DataFrame, edges: DataFrame, scope: str = "scope") -> DataFrame:
+def kahn_order(nodes: DataFrame, edges: DataFrame, scope: str = "scope", max_group_rows: int = 500_000) -> DataFrame:
     """(scope, node, topo_num): first in, first out order of dependencies before dependents; null for all nodes of a cyclic scope.
 
-    ``nodes``: (scope, node, seq), ``edges``: (scope, src, dst, seq) with any orderable seq. One task orders one scope; its
-    size is that of the contracted graph.
+    ``nodes``: (scope, node, seq), ``edges``: (scope, src, dst, seq) with any orderable seq; ties fall to the names. A scope of up to
+    ``max_group_rows`` nodes and edges is ordered in one task. A larger one is ordered level by level over all executors,
+    with the same result: its nodes come by level, within a level by the place of the last node they waited for, then by the edge to it.
     """
     kinds = dict(nodes.dtypes)
+    sizes = nodes.select(scope).unionByName(edges.select(scope)).groupBy(scope).count().where(F.col("count") > max_group_rows).select(scope)
+    if fits(sizes, 0):
+        return _ordered_in_tasks(nodes, edges, scope, kinds)
+    sizes = materialize(sizes)
+    small = _ordered_in_tasks(nodes.join(sizes, scope, "left_anti"), edges.join(sizes, scope, "left_anti"), scope, kinds)
+    return small.unionByName(_ordered_by_level(materialize(nodes.join(sizes, scope, "left_semi")), materialize(edges.join(sizes, scope, "left_semi")), scope))
+
+
+def _ordered_in_tasks(nodes: DataFrame, edges: DataFrame, scope: str, kinds: dict[str, str]) -> DataFrame:
     seq = Window.partitionBy(scope)
     n = nodes.select(scope, "node", F.row_number().over(seq.orderBy("seq", "node")).alias("at"), F.lit(None).cast(kinds["node"]).alias("dst"))
     e = edges.select(scope, F.col("src").alias("node"), F.row_number().over(seq.orderBy("seq", "src", "dst")).alias("at"), "dst")
@@ -135,6 +145,42 @@ def kahn_order(nodes: DataFrame, edges: DataFrame, scope: str = "scope") -> Data
     return n.unionByName(e).groupBy(scope).applyInPandas(order, f"{scope} {kinds[scope]}, node {kinds['node']}, topo_num long")
 
 
+def _ranked(rows: DataFrame, scope: str, order: list[str], name: str) -> DataFrame:
+    """Rows with their place from 0 within the scope, sorted over all executors: places within ranges, shifted by the ranges before."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(rows.repartitionByRange(parts, scope, *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(scope).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = ranged.groupBy(scope, "_range").agg(F.count(F.lit(1)).alias("_n")).select(scope, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(scope, "_range").orderBy(*order)) - 1
+    out = materialize(ranged.withColumn("_place", place).join(F.broadcast(shift), [scope, "_range"]).withColumn(name, F.col("_place") + F.col("_before")).drop("_range", "_place", "_before"))
+    release(ranged)
+    return out
+
+
+def _ordered_by_level(nodes: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
+    known = nodes.select(scope, "node")
+    need = edges.join(known.withColumnRenamed("node", "src"), [scope, "src"], "left_semi").join(known.withColumnRenamed("node", "dst"), [scope, "dst"], "left_semi")
+    need = materialize(need.groupBy(scope, "src", "dst").agg(F.max("seq").alias("seq")))  # of several edges the last one lets go
+    level = materialize(levels(known, need, scope))
+    cyclic = materialize(level.where("level is null").select(scope).distinct())
+    sound = materialize(level.join(cyclic, scope, "left_anti"))
+    last = sound.agg(F.max("level")).first()[0]
+    placed = Growing(nodes.sparkSession)
+    roots = sound.where("level = 0").join(nodes, [scope, "node"]).groupBy(scope, "node").agg(F.min("seq").alias("seq"))
+    now = placed.add(_ranked(roots, scope, ["seq", "node"], "topo_num").select(scope, "node", "topo_num"))
+    for depth in range(1, (last or 0) + 1):
+        start = placed.read().groupBy(scope).agg((F.max("topo_num") + 1).alias("_start"))
+        here = sound.where(F.col("level") == depth).select(scope, F.col("node").alias("src"))
+        at = need.join(here, [scope, "src"], "left_semi").join(placed.read().withColumnRenamed("node", "dst"), [scope, "dst"])
+        waited = at.groupBy(scope, F.col("src").alias("node")).agg(F.max(F.struct(F.col("topo_num").alias("_pos"), "dst")).alias("_w"))
+        edge = need.select(scope, F.col("src").alias("node"), "dst", "seq")
+        keyed = waited.select(scope, "node", "_w._pos", F.col("_w.dst").alias("dst")).join(edge, [scope, "node", "dst"]).select(scope, "node", "_pos", "seq")
+        ranked = _ranked(keyed, scope, ["_pos", "seq", "node"], "_r").join(start, scope)
+        now = placed.add(ranked.select(scope, "node", (F.col("_r") + F.col("_start")).alias("topo_num")))
+    bad = level.join(cyclic, scope, "left_semi").select(scope, "node", F.lit(None).cast("long").alias("topo_num"))
+    return placed.read().unionByName(bad)
+
+
 def strong_components(edges: DataFrame, scope: str = "scope", max_group_rows: int = 200_000) -> DataFrame:
     """(scope, node, component) of the nodes in cycles of two or more; the component is its least node. No closure is built."""
     nodes = edges.select(scope, F.col("src").alias("node"))

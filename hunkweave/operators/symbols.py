@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hunkweave.runtime import heavy_hashes, key_hash
+
 _LEX = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|(?<=[=(,:!&|?{};\n])\s*/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*", re.S)
 _NAME = r"[A-Za-z_$][\w$]*"
 _DECLARATION = re.compile(rf"\b(?:(?P<export>export)\s+(?:default\s+)?)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:(?:function\b\s*\*?|class|interface|type|enum(?!\w))\s+|(?P<kind>const|let|var)\s+)(?P<name>{_NAME})")
@@ -120,17 +122,34 @@ def symbols(files: DataFrame) -> DataFrame:
     return files.select("diff_id", "path", "content").mapInPandas(scan, schema)
 
 
-def innermost(points: DataFrame, spans: DataFrame, on: list[str], point: str, start: str, end: str, tie: str, keep: list[str], by: list[str]) -> DataFrame:
-    """For each point the shortest span that contains it; equal spans fall to the least ``tie``.
+def innermost(points: DataFrame, spans: DataFrame, on: list[str], point: str, start: str, end: str, tie: str, keep: list[str], by: list[str], heavy_rows: int = 10_000) -> DataFrame:
+    """For each point the shortest span that contains it; equal spans fall to the least ``tie``. Points outside all spans give no row.
 
-    An equi join on ``on`` with an interval condition, then one aggregation. Points outside all spans give no row.
+    An equi join on ``on`` with an interval condition, then one aggregation. Keys with more than ``heavy_rows`` spans would
+    pair every point with all of them; there a span is filed under the power of two of its length and the stretches of
+    that length it lies in, at most two, and a point meets only the spans filed under its own stretches.
     """
-    p, s = points.alias("p"), spans.alias("s")
-    inside = F.col(f"p.{point}").between(F.col(f"s.{start}"), F.col(f"s.{end}"))
-    for c in on:
-        inside = (F.col(f"p.{c}") == F.col(f"s.{c}")) & inside
-    picked = F.min_by(F.struct(*[F.col(f"s.{k}") for k in keep]), F.struct(F.col(f"s.{end}") - F.col(f"s.{start}"), F.col(f"s.{tie}")))
-    return p.join(s, inside).groupBy(*[F.col(f"p.{b}") for b in by]).agg(picked.alias("_hit")).select(*by, *[F.col(f"_hit.{k}").alias(k) for k in keep])
+    heavy = heavy_hashes(spans, on, heavy_rows)
+    hot = key_hash(on).isin(heavy)
+
+    def joined(p: DataFrame, s: DataFrame, more: list[str]) -> DataFrame:
+        p, s = p.alias("p"), s.alias("s")
+        inside = F.col(f"p.{point}").between(F.col(f"s.{start}"), F.col(f"s.{end}"))
+        for c in [*on, *more]:
+            inside = (F.col(f"p.{c}") == F.col(f"s.{c}")) & inside
+        return p.join(s, inside).select(*[F.col(f"p.{b}") for b in by], F.struct((F.col(f"s.{end}") - F.col(f"s.{start}")).alias("span"), F.col(f"s.{tie}").alias("tie")).alias("_o"), F.struct(*[F.col(f"s.{k}") for k in keep]).alias("_k"))
+
+    if not heavy:
+        hits = joined(points, spans, [])
+    else:
+        length = F.ceil(F.log2(F.greatest(F.col(end) - F.col(start), F.lit(0)) + 1)).cast("int")
+        filed = spans.where(hot & (F.col(end) >= F.col(start))).withColumn("_level", length)
+        used = [r["_level"] for r in filed.select("_level").distinct().collect()]  # at most 64
+        width = F.expr("shiftleft(1L, _level)")
+        filed = filed.withColumn("_stretch", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+        asked = points.where(hot).withColumn("_level", F.explode(F.array(*[F.lit(x) for x in used]))).withColumn("_stretch", F.floor(F.col(point) / width))
+        hits = joined(points.where(~hot), spans.where(~hot), []).unionByName(joined(asked, filed, ["_level", "_stretch"]))
+    return hits.groupBy(*by).agg(F.min_by("_k", "_o").alias("_hit")).select(*by, *[F.col(f"_hit.{k}").alias(k) for k in keep])
 
 
 def attach_symbols(hunk_rows: DataFrame, symbol_rows: DataFrame, parse_state: DataFrame) -> DataFrame:

@@ -45,6 +45,38 @@ def test_kahn_is_first_in_first_out_and_null_on_cycles(spark):
     assert all(r.topo_num is None for r in rows if r.scope == 2)
 
 
+def test_order_by_level_equals_the_order_in_one_task(spark):
+    rnd = random.Random(8)
+    nodes, links = [], []
+    for scope in range(6):
+        n = 25
+        nodes += [(scope, f"n{v}", rnd.randrange(6)) for v in range(n)]
+        for i in range(45):
+            a, b = rnd.randrange(n), rnd.randrange(n)
+            if a != b:
+                links.append((scope, f"n{max(a, b)}", f"n{min(a, b)}", rnd.randrange(8)) if scope else (scope, f"n{a}", f"n{b}", i))
+    links.append((1, "n3", "unknown", 0))
+    n, e = spark.createDataFrame(nodes, "scope int, node string, seq int"), spark.createDataFrame(links, "scope int, src string, dst string, seq int")
+    one, two = ({(r.scope, r.node): r.topo_num for r in graph.kahn_order(n, e, max_group_rows=m).collect()} for m in (10**6, 30))
+    assert one == two and None in one.values() and len(one) == 150
+
+
+def test_innermost_spans_of_hot_keys(spark):
+    from hunkweave.operators.symbols import innermost
+
+    rnd = random.Random(3)
+    spans = [(rnd.choice(["hot", "hot", "k"]), s, s + rnd.choice([0, 1, 7, 8, 9, 100, 1000]), i) for i in range(300) for s in [rnd.randrange(-500, 500)]]
+    points = [(i, rnd.choice(["hot", "k", "none"]), rnd.randrange(-600, 1600)) for i in range(200)]
+    s, p = spark.createDataFrame(spans, "k string, a long, b long, n int"), spark.createDataFrame(points, "id int, k string, x long")
+    want = {}
+    for i, k, x in points:
+        fit = [(b - a, n) for key, a, b, n in spans if key == k and a <= x <= b]
+        if fit:
+            want[i] = min(fit)[1]
+    for heavy in (10**6, 150):
+        assert {r.id: r.n for r in innermost(p, s, ["k"], "x", "a", "b", "n", ["n"], ["id"], heavy_rows=heavy).collect()} == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=25))
 def test_merging_keeps_the_quotient_acyclic(pairs):
