@@ -471,9 +471,13 @@ def verification_findings(spark, sf_dir):
     return B.declared(spark, sf_dir).verification().select("scope", "projection", "code")
 
 
-@query(f"WITH {_ENT} SELECT scope, projection FROM ent GROUP BY 1, 2 HAVING count(*) > 1")
+@query(f"SELECT plan_id AS scope, projection_id AS projection FROM {_E} GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_ids(spark, sf_dir):
-    return B.declared(spark, sf_dir).duplicate_ids().select("scope", "projection")
+    """Ids that come more than once in the manifests of one plan taken together; within one manifest they are unique here."""
+    d = B.declared(spark, sf_dir)
+    d.entries = B.entries(spark, sf_dir).select(F.col("plan_id").alias("scope"), F.col("projection_id").alias("projection"))
+    return d.duplicate_ids().select("scope", "projection")
+
 
 
 # Scores.

@@ -59,13 +59,13 @@ def verification_units(spark, sf_dir):
     return found.select("scope", "unit", F.coalesce(F.array_join("slice_ids", " "), F.lit("")).alias("slices"))
 
 
-_FINDINGS = ("duplicate_ids", "unknown_selectors", "duplicate_assignments", "unknown_dependencies", "unassigned_slices", "manifest_cycles", "unreachable_glue", "oversize")
+_FINDINGS = ("unknown_selectors", "duplicate_assignments", "unknown_dependencies", "unassigned_slices", "manifest_cycles", "unreachable_glue", "oversize")
 
 
 @query(
     "SELECT scope, count(*) FILTER (WHERE e) AS errors, count(*) FILTER (WHERE NOT e) AS warnings, bool_or(e) AS failed FROM ("
     + " UNION ALL ".join(f"SELECT scope, true AS e FROM ({core.SQL[n]})" for n in _FINDINGS)
-    + f" UNION ALL SELECT scope, false FROM ({core.SQL['missing_intents']}) UNION ALL SELECT scope, code <> 'no-verification' FROM ({core.SQL['verification_findings']})) GROUP BY scope"
+    + f" UNION ALL SELECT scope, true FROM (WITH {_ENT} SELECT scope, projection FROM ent GROUP BY 1, 2 HAVING count(*) > 1) UNION ALL SELECT scope, false FROM ({core.SQL['missing_intents']}) UNION ALL SELECT scope, code <> 'no-verification' FROM ({core.SQL['verification_findings']})) GROUP BY scope"
 )
 def manifest_verdicts(spark, sf_dir):
     """Errors and warnings of every manifest, without those about ordinals and removed dependencies, which have queries of their own."""

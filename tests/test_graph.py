@@ -131,3 +131,10 @@ def test_stack_links_by_open_members(spark):
     wanted = spark.createDataFrame([(1, [10]), (2, [21, 22]), (3, [30, 31]), (4, [10, 21]), (5, [99])], "chain_id int, prs array<int>")
     got = {r.chain_id: (r.link_status, r.stack_number, list(r.added)) for r in stacks.plan_links(wanted, stacks_df).collect()}
     assert got == {1: ("unchanged", 1, []), 2: ("extended", 2, [22]), 3: ("diverged", 3, []), 4: ("diverged", None, []), 5: ("created", None, [99])}
+
+
+def test_a_chain_of_twenty_thousand_ranks(spark):
+    n = spark.range(20_000).selectExpr("0 AS scope", "id AS node")
+    e = n.where("node > 0").selectExpr("scope", "node AS src", "node - 1 AS dst")
+    for limit in (10**6, 10):
+        assert graph.levels(n, e, max_group_rows=limit).where("level = node").count() == 20_000

@@ -25,7 +25,7 @@ def test_every_manifest_and_push_is_ordered(spark, data, duck):
                 seen.add(d)
                 todo += needs[scope, d]
         pairs |= {(scope, node, d) for d in seen}
-    assert {tuple(r) for r in registry.QUERIES["record_closure"](spark, data).collect()} == pairs
+    assert {tuple(r) for r in registry.QUERIES["closure"](spark, data).collect()} == pairs
     cyclic = {s for s, n, d in pairs if n == d}
     assert {s for (s, _), at in place.items() if at is None} == cyclic
 
@@ -40,7 +40,7 @@ def test_only_a_line_feed_ends_a_line():
 
 def test_drift_takes_every_pair_of_snapshots(spark, data, duck):
     want = duck.execute("SELECT DISTINCT snapshot_no, branch, slice_signature FROM correspondence WHERE snapshot_no < (SELECT max(snapshot_no) FROM correspondence)").fetchall()
-    got = [(r["snapshot_no"], r["branch"], r["slice_signature"]) for r in registry.QUERIES["drift_steps"](spark, data).collect()]
+    got = [(r["snapshot_no"], r["branch"], r["slice_signature"]) for r in registry.QUERIES["drift"](spark, data).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
