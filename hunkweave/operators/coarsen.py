@@ -10,14 +10,14 @@ import heapq
 import math
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hunkweave.functions.paths import TEST_FILE
 from hunkweave.operators.graph import _kahn
+from hunkweave.operators.grouped import solve_groups
 
-OUT = "unit_num long, slice_ids array<long>, prerequisites array<long>, rules array<string>, hunk_count long, pinned boolean, fallback_only boolean, target_met boolean, unmet_reason string"
+OUT = [("unit_num", "long"), ("slice_ids", "array<long>"), ("prerequisites", "array<long>"), ("rules", "array<string>"), ("hunk_count", "long"), ("pinned", "boolean"), ("fallback_only", "boolean"), ("target_met", "boolean"), ("unmet_reason", "string")]
 
 
 class _Merger:
@@ -79,16 +79,12 @@ class _Merger:
         return True
 
 
-def _solve(slices: pd.DataFrame, edges: list[tuple[int, int]], target: int | None) -> list[dict]:
-    info = slices.set_index("slice_id")
-    ids = info.sort_values("seq").index.tolist()
+def _solve(ids: list[int], files: dict[int, list[str]], reasons: dict[int, set[str] | None], size: dict[int, int], pinned: set[int], edges: list[tuple[int, int]], target: int | None) -> list[dict]:
+    """Units of one plan: slices in order with files, hunk counts and, where all their hunks are fallback, the reasons for it."""
     order = _kahn(ids, edges)
     if order is None:
         raise ValueError("a plan with a dependency cycle cannot be coarsened")
-    files = {n: list(info.at[n, "files"]) for n in ids}
-    reasons = {n: set(info.at[n, "reasons"]) if info.at[n, "fallback_only"] else None for n in ids}
-    size = {n: int(info.at[n, "hunk_count"]) for n in ids}
-    g = _Merger(order, edges, {n for n in ids if info.at[n, "pinned"]})
+    g = _Merger(order, edges, pinned)
     test = re.compile(TEST_FILE).search
     only_tests = {n: all(test(f) for f in files[n]) for n in ids}
     soft = {n: reasons[n] is None or reasons[n] <= {"no-enclosing-symbol"} for n in ids}
@@ -231,18 +227,23 @@ def coarsen(units: DataFrame, edges: DataFrame, target: int | None = None, scope
     """
     if target is not None and target < 1:
         raise ValueError("the target must be at least 1")
-    kind = dict(units.dtypes)[scope]
     nothing = {n: F.lit(None).cast(t) for n, t in units.select("files", "reasons", "hunk_count", "fallback_only", "pinned").dtypes}
     at = Window.partitionBy(scope)
     slices = units.select(scope, F.col("slice_id").cast("long").alias("slice_id"), F.lit(None).cast("long").alias("dst"), F.row_number().over(at.orderBy("seq", "slice_id")).alias("at"), *nothing)
     links = edges.select(scope, F.col("src").cast("long").alias("slice_id"), F.col("dst").cast("long").alias("dst"), F.row_number().over(at.orderBy("seq", "src", "dst")).alias("at"), *[c.alias(n) for n, c in nothing.items()])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        own = pdf["dst"].isna()
-        pairs = list(zip(pdf.loc[~own, "slice_id"].astype(int).tolist(), pdf.loc[~own, "dst"].astype(int).tolist()))
-        out = pd.DataFrame(_solve(pdf[own].rename(columns={"at": "seq"}), pairs, target))
-        out.insert(0, scope, pdf[scope].iloc[0])
-        return out
+    def run(key: object, group: dict[str, list]) -> list[tuple]:
+        own = [i for i, d in enumerate(group["dst"]) if d is None]
+        ids = [group["slice_id"][i] for i in own]
 
-    return slices.unionByName(links).groupBy(scope).applyInPandas(run, f"{scope} {kind}, {OUT}")
+        def column(name: str) -> dict:
+            return dict(zip(ids, (group[name][i] for i in own)))
+
+        loose, reasons = column("fallback_only"), column("reasons")
+        found = _solve(
+            ids, column("files"), {n: set(reasons[n]) if loose[n] else None for n in ids}, column("hunk_count"), {n for n, p in column("pinned").items() if p},
+            [(a, d) for a, d in zip(group["slice_id"], group["dst"]) if d is not None], target,
+        )
+        return [(key, *(unit[name] for name, _ in OUT)) for unit in found]
+
+    return solve_groups(slices.unionByName(links), scope, ["at"], run, [(scope, scope), *OUT])

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hunkweave.operators.grouped import solve_groups
 from hunkweave.operators.hierarchy import hierarchy
 from hunkweave.runtime import Growing, fits, materialize, release
 
@@ -132,17 +132,13 @@ def _ordered_in_tasks(nodes: DataFrame, edges: DataFrame, scope: str, kinds: dic
     n = nodes.select(scope, "node", F.row_number().over(seq.orderBy("seq", "node")).alias("at"), F.lit(None).cast(kinds["node"]).alias("dst"))
     e = edges.select(scope, F.col("src").alias("node"), F.row_number().over(seq.orderBy("seq", "src", "dst")).alias("at"), "dst")
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        own = pdf["dst"].isna()
-        names = pdf.loc[own, "node"].tolist()
+    def order(key: object, group: dict[str, list]) -> list[tuple]:
+        names = [x for x, d in zip(group["node"], group["dst"]) if d is None]
         known = set(names)
-        found = _kahn(names, [(s, type(s)(d)) for s, d in zip(pdf.loc[~own, "node"], pdf.loc[~own, "dst"]) if s in known and type(s)(d) in known])
-        out = pd.DataFrame({scope: pdf[scope].iloc[0], "node": found or names})
-        out["topo_num"] = pd.array(range(len(out)) if found is not None else [None] * len(out), "Int64")
-        return out
+        found = _kahn(names, [(x, d) for x, d in zip(group["node"], group["dst"]) if d is not None and x in known and d in known])
+        return [(key, x, i) for i, x in enumerate(found)] if found is not None else [(key, x, None) for x in names]
 
-    return n.unionByName(e).groupBy(scope).applyInPandas(order, f"{scope} {kinds[scope]}, node {kinds['node']}, topo_num long")
+    return solve_groups(n.unionByName(e), scope, ["at"], order, [(scope, scope), ("node", "node"), ("topo_num", "long")])
 
 
 def _ranked(rows: DataFrame, scope: str, order: list[str], name: str) -> DataFrame:

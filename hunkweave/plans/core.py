@@ -679,7 +679,7 @@ def _review(spark, sf_dir, overrides=None):
     from hunkweave.plans.review import relate
 
     h = B.plan_hunks(spark, sf_dir)
-    plan = relate(h, h.where("false"), h.where("false"), overrides).settle("membership", "units", "edges", "order")
+    plan = relate(h, h.where("false"), h.where("false"), overrides).settle("order")
     sound = plan.order.groupBy("diff_id").agg(F.bool_and(F.col("topo_num").isNotNull()).alias("ok")).where("ok").select("diff_id")
     plan.units, plan.edges = plan.units.join(sound, "diff_id", "left_semi"), plan.edges.join(sound, "diff_id", "left_semi")
     return plan

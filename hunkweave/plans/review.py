@@ -86,8 +86,8 @@ def plan_diffs(texts: DataFrame, files: DataFrame, overrides: DataFrame | None =
 
 def relate(hunk_rows: DataFrame, sections: DataFrame, excluded: DataFrame, overrides: DataFrame | None = None) -> Plan:
     """Plan hunks that have their symbols already."""
-    member = partition.slices(hunk_rows, overrides)
-    units = partition.slice_units(hunk_rows, member)
+    member = materialize(partition.slices(hunk_rows, overrides))
+    units = materialize(partition.slice_units(hunk_rows, member))
     uses = edges.def_use(hunk_rows)
     links = materialize(edges.slice_edges(uses, member, hunk_rows))
     order = graph.kahn_order(units.select("diff_id", F.col("slice_id").alias("node"), F.col("first_index").alias("seq")), links, "diff_id")

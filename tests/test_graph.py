@@ -2,6 +2,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from hunkweave.operators import graph, stacks
 from hunkweave.operators.coarsen import _Merger, _solve
@@ -95,20 +96,33 @@ def unit(i, files, reasons=None, fallback=False, pinned=False, hunks=1):
 
 
 def test_merge_rules():
-    import pandas as pd
-
-    units = pd.DataFrame([
+    units = [
         unit(0, ["src/a/format.ts"]), unit(1, ["src/a/format.test.ts"]), unit(2, ["src/a/format.ts"], ["no-enclosing-symbol"], True), unit(3, ["src/b/report.ts"]),
         unit(4, ["package.json"], ["dependency-manifest"], True), unit(5, ["src/b/columns.ts"]),
-    ])
-    rows = _solve(units, [(3, 0), (1, 0)], None)
+    ]
+    ids = [u["slice_id"] for u in units]
+    parts = (ids, {u["slice_id"]: u["files"] for u in units}, {u["slice_id"]: set(u["reasons"]) if u["fallback_only"] else None for u in units}, {u["slice_id"]: u["hunk_count"] for u in units})
+    links = [(3, 0), (1, 0)]
+    rows = _solve(*parts, set(), links, None)
     rules = sorted(x.split(":")[0] for r in rows for x in r["rules"])
     assert rules == ["same-file", "sole-consumer", "test-affinity"]
     assert sorted(sum((r["slice_ids"] for r in rows), [])) == list(range(6))
-    two = _solve(units, [(3, 0), (1, 0)], 2)
+    two = _solve(*parts, set(), links, 2)
     assert len(two) == 2 and {r["target_met"] for r in two} == {True} or {r["unmet_reason"] for r in two} <= {"size-cap", "structure"}
-    pinned = units.assign(pinned=[True] * 6)
-    assert len(_solve(pinned, [(3, 0), (1, 0)], 1)) == 6
+    assert len(_solve(*parts, set(ids), links, 1)) == 6
+
+
+def test_groups_are_solved_whole_across_batches(spark):
+    from hunkweave.operators.grouped import solve_groups
+
+    rows = spark.range(5000).selectExpr("CASE WHEN id < 3000 THEN 'big' WHEN id < 3010 THEN NULL ELSE concat('g', id % 700) END AS k", "id AS x")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(r.k, r.n, r.first) for r in solve_groups(rows, "k", ["x"], lambda key, g: [(key, len(g["x"]), g["x"][0])], [("k", "k"), ("n", "long"), ("first", "x")]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {tuple(r) for r in rows.groupBy("k").agg({"x": "count"}).join(rows.groupBy("k").agg({"x": "min"}).withColumnRenamed("k", "j"), F.expr("k <=> j")).drop("j").collect()}
+    assert solve_groups(rows.where("false"), "k", ["x"], lambda key, g: [], [("k", "k")]).collect() == []
 
 
 def test_components_against_union_find(spark):
