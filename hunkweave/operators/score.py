@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hunkweave.operators.grouped import solve_groups
+from hunkweave.runtime import Growing, fits, materialize, release
+
 
 def first_declared(expected: DataFrame, scope: str = "scope") -> DataFrame:
     """(scope, selector, unit, unit_pos): of several units that declare a selector the first holds."""
@@ -22,24 +24,42 @@ def contingency(scored: DataFrame, scope: str = "scope") -> DataFrame:
     return scored.groupBy(scope, "expected", "actual").agg(F.count(F.lit(1)).alias("hunks"), F.min("exp_pos").alias("exp_pos"), F.min("act_rank").alias("act_rank"))
 
 
-def greedy_match(pairs: DataFrame, scope: str = "scope") -> DataFrame:
+def greedy_match(pairs: DataFrame, scope: str = "scope", max_group_rows: int = 500_000) -> DataFrame:
     """(scope, expected, actual, hunks): pairs taken in order of hunks, expected position and actual rank (equal ones by name) while both sides are free.
 
-    The matrix of one scope is its units by its units and is solved in one task.
+    A scope of up to ``max_group_rows`` pairs is matched in one task. In a larger one every pair that comes first for both of its sides
+    is taken at once, and the pairs of taken sides fall away, until none is left; as the order has no ties that is the same.
     """
-    kinds = dict(pairs.dtypes)
+    rows = pairs.select(scope, "expected", "actual", "hunks", (-F.col("hunks")).alias("_h"), F.struct(F.col("exp_pos").isNull().alias("n"), "exp_pos").alias("_e"), F.struct(F.col("act_rank").isNull().alias("n"), "act_rank").alias("_a"))
+    order = ["_h", "_e", "_a", "expected", "actual"]
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["hunks", "exp_pos", "act_rank", "expected", "actual"], ascending=[False, True, True, True, True])
-        left, right, keep = set(), set(), []
-        for i, e, a in zip(pdf.index, pdf["expected"], pdf["actual"]):
+    def match(key: object, group: dict[str, list]) -> list[tuple]:
+        left, right, out = set(), set(), []
+        for e, a, n in zip(group["expected"], group["actual"], group["hunks"]):
             if e not in left and a not in right:
                 left.add(e)
                 right.add(a)
-                keep.append(i)
-        return pdf.loc[keep, [scope, "expected", "actual", "hunks"]]
-
-    return pairs.groupBy(scope).applyInPandas(match, f"{scope} {kinds[scope]}, expected {kinds['expected']}, actual {kinds['actual']}, hunks long")
+                out.append((key, e, a, n))
+        return out
+
+    schema = [(scope, scope), ("expected", "expected"), ("actual", "actual"), ("hunks", "hunks")]
+    large = rows.groupBy(scope).count().where(F.col("count") > max_group_rows).select(scope)
+    if fits(large, 0):
+        return solve_groups(rows, scope, order, match, schema)
+    large = materialize(large)
+    small = solve_groups(rows.join(large, scope, "left_anti"), scope, order, match, schema)
+    left = materialize(rows.join(large, scope, "left_semi"))
+    taken = Growing(pairs.sparkSession)
+    while not fits(left, 0):
+        first = F.struct(*order)
+        of_expected = left.groupBy(scope, "expected").agg(F.min(first).alias("_x"))
+        of_actual = left.groupBy(scope, "actual").agg(F.min(first).alias("_y"))
+        best = left.join(of_expected, [scope, "expected"]).join(of_actual, [scope, "actual"]).where((F.col("_x") == first) & (F.col("_y") == first))
+        now = taken.add(best.select(scope, "expected", "actual", "hunks"))
+        rest = materialize(left.join(now.select(scope, "expected"), [scope, "expected"], "left_anti").join(now.select(scope, "actual"), [scope, "actual"], "left_anti"))
+        release(left)
+        left = rest
+    return small.unionByName(taken.read())
 
 
 def score_hunks(hunk_units: DataFrame, expected: DataFrame, include_fallback: bool = False, scope: str = "scope") -> DataFrame:

@@ -5,18 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hunkweave.operators.grouped import solve_groups
 from hunkweave.runtime import fits, materialize, release
 
 
-def chains(nodes: DataFrame, scope: str = "push_id") -> DataFrame:
+FORKED, SEVERAL, NOTHING, SIBLINGS, LOOSE = "forked", "several are based on it", "nothing is based on it", "siblings share its base", "not reachable from a root"
+
+
+def chains(nodes: DataFrame, scope: str = "push_id", max_group_rows: int = 200_000) -> DataFrame:
     """Every node placed: (scope, node_id, branch, chain_root, chain_pos, placement, reason).
 
     A chain starts at a root (base unknown or itself) and follows only children. It ends where a node has none or several
     children; ``forked`` marks the last member of a chain that ends at a fork. Roots alone and nodes off every chain are
-    ``solitary`` with the reason. Positions come from pointer jumping over only-child links, so a chain of any length takes a
-    logarithmic number of rounds. ``nodes``: (scope, node_id, branch, base), branch unique within the scope.
+    ``solitary`` with the reason. ``nodes``: (scope, node_id, branch, base), branch unique within the scope. Scopes of up to
+    ``max_group_rows`` nodes are placed in one task each, larger ones by pointer jumping over all executors, with the same rows.
     """
     n = nodes.select(scope, "node_id", "branch", "base")
+    large = n.groupBy(scope).count().where(F.col("count") > max_group_rows).select(scope)
+    schema = [(scope, scope), ("node_id", "node_id"), ("branch", "branch"), ("chain_root", "node_id"), ("chain_pos", "long"), ("placement", "string"), ("reason", "string")]
+    if fits(large, 0):
+        return solve_groups(n, scope, ["node_id"], _placed, schema).withColumn("chain_pos", F.col("chain_pos").cast("int"))
+    large = materialize(large)
+    small = solve_groups(n.join(large, scope, "left_anti"), scope, ["node_id"], _placed, schema).withColumn("chain_pos", F.col("chain_pos").cast("int"))
+    return small.unionByName(_jumping_chains(materialize(n.join(large, scope, "left_semi")), scope))
+
+
+def _placed(key: object, group: dict[str, list]) -> list[tuple]:
+    """The rows of one scope."""
+    ids, names, bases = group["node_id"], group["branch"], group["base"]
+    at = {b: i for i, b in enumerate(names) if b is not None}
+    up = [at.get(b) if b is not None and b != name else None for b, name in zip(bases, names)]
+    kids: list[list[int]] = [[] for _ in ids]
+    for i, p in enumerate(up):
+        if p is not None:
+            kids[p].append(i)
+    out: list[tuple | None] = [None] * len(ids)
+    for root, p in enumerate(up):
+        if p is not None:
+            continue
+        line = [root]
+        while len(kids[line[-1]]) == 1:
+            line.append(kids[line[-1]][0])
+        if len(line) == 1:
+            out[root] = (None, None, "solitary", SEVERAL if kids[root] else NOTHING)
+            continue
+        for pos, i in enumerate(line):
+            out[i] = (ids[root], pos, "chain", FORKED if len(kids[i]) > 1 else None)
+    top = [None] * len(ids)
+    for i, p in enumerate(up):  # off every chain: below a fork, or on or below a cycle
+        if out[i] is None:
+            # What heads a line of only children below a fork, and all that follow it, lead up to siblings or to nothing.
+            siblings = p is not None and len(kids[p]) > 1
+            top[i] = SIBLINGS if siblings else LOOSE
+    return [(key, ids[i], names[i], *(out[i] or (None, None, "solitary", top[i]))) for i in range(len(ids))]
+
+
+def _jumping_chains(nodes: DataFrame, scope: str) -> DataFrame:
+    """The same for scopes of any size; positions come from pointer jumping over only-child links, in a logarithmic number of rounds."""
+    n = nodes.select(scope, "node_id", "branch", "base")
     parents = n.select(scope, F.col("branch").alias("base"), F.col("node_id").alias("parent_id"))
     own = n.join(parents, [scope, "base"], "left").withColumn("parent_id", F.when(F.col("base") != F.col("branch"), F.col("parent_id")))
     kids = own.where(F.col("parent_id").isNotNull()).groupBy(scope, F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("children"))

@@ -152,3 +152,26 @@ def test_a_chain_of_twenty_thousand_ranks(spark):
     e = n.where("node > 0").selectExpr("scope", "node AS src", "node - 1 AS dst")
     for limit in (10**6, 10):
         assert graph.levels(n, e, max_group_rows=limit).where("level = node").count() == 20_000
+
+
+def test_stack_chains_in_tasks_and_by_jumps_agree(spark):
+    rnd = random.Random(6)
+    rows = []
+    for push in range(12):
+        n = rnd.randrange(1, 25)
+        for v in range(n):
+            base = rnd.choice([None, "main", f"b{v}"]) if rnd.random() < 0.2 else f"b{rnd.randrange(max(1, v))}" if rnd.random() < 0.5 else f"b{v - 1}" if rnd.random() < 0.9 else f"b{rnd.randrange(n)}"
+            rows.append((push, push * 100 + v, f"b{v}", base))
+    df = spark.createDataFrame(rows, "push_id int, node_id long, branch string, base string")
+    one, two = (sorted((tuple(r) for r in stacks.chains(df, max_group_rows=m).collect()), key=repr) for m in (10**6, 0))
+    assert one == two and {"chain", "solitary"} == {r[5] for r in one} and len({r[6] for r in one}) > 4
+
+
+def test_greedy_match_by_rounds_is_the_same(spark):
+    from hunkweave.operators.score import greedy_match
+
+    rnd = random.Random(9)
+    pairs = list({(s, f"e{rnd.randrange(9)}", f"a{rnd.randrange(9)}"): None for s in range(4) for _ in range(50)})
+    df = spark.createDataFrame([(*p, rnd.randrange(1, 4), rnd.choice([None, 1, 2]), rnd.choice([1, 1, 2])) for p in pairs], "scope int, expected string, actual string, hunks long, exp_pos int, act_rank int")
+    one, two = ({tuple(r) for r in greedy_match(df, max_group_rows=m).collect()} for m in (10**6, 0))
+    assert one == two and len(one) > 20
