@@ -57,6 +57,28 @@ ERROR_LINES = [
 
 FILLERS = ["lorem ipsum", "lorem ipsum dolor sit amet", "this is filler so that the page has a body", "it says nothing and will be replaced", "this text is only a placeholder and will be replaced"]
 
+#: Wording in general use, copied from no text of the corpus, though such texts were known when it was written. Many entries of the lists above were labelled in them.
+GENERAL_NOTICES = [
+    "javascript is required to view this *", "javascript is required for *", "you must enable javascript to use *", "enable javascript in your browser settings",
+    "please switch on javascript in your browser", "your browser does not support javascript", "javascript is turned off in your browser", "* needs javascript to work",
+    "cannot be shown without javascript", "turn javascript on and reload the page", "javascript ist deaktiviert bitte aktivieren sie es",
+    "bitte aktivieren sie skripte in ihrem browser", "ohne javascript kann diese seite nicht angezeigt werden", "javascript est désactivé dans votre navigateur",
+    "vous devez activer javascript pour utiliser *", "ce site nécessite javascript", "debe activar javascript para usar *", "javascript está desactivado en su navegador",
+    "este sitio requiere javascript", "javascript を有効にして再読み込みしてください", "お使いのブラウザでは javascript が無効です", "请在浏览器中启用 javascript", "您的浏览器不支持 javascript",
+]
+GENERAL_ERRORS = [
+    "the page could not be found", "the page you requested does not exist", "this page has moved", "something went wrong on our end", "an unexpected error occurred",
+    "* is down for maintenance", "the server did not answer", "the server gave no response", "could not be loaded please try again", "you may not view *",
+    "you are not allowed to view this page", "too many requests please wait and try again", "you have been signed out please sign in",
+    "your session is over sign in again", "please contact support and quote *", "ein interner fehler ist aufgetreten", "die seite wurde nicht gefunden",
+    "der zugriff wurde verweigert", "der server ist nicht erreichbar bitte versuchen sie es später", "une erreur est survenue", "la page est introuvable", "accès refusé",
+    "le service est indisponible réessayez plus tard", "se ha producido un error", "la página no existe", "acceso denegado",
+    "el servicio no está disponible vuelva a intentarlo", "ページが見つかりません", "メンテナンス中です", "アクセスできません ログインしてください", "页面不存在", "系统正在维护", "访问被拒绝",
+]
+GENERAL_FILLERS = [
+    "this is placeholder text", "this is filler text", "filler text to be replaced", "sample text goes here",
+]
+
 #: Openings of filler whose words are made up: placeholder Latin, and keys struck along a row of the keyboard.
 STYLES = [
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat "
@@ -65,6 +87,6 @@ STYLES = [
 ]
 
 EXEMPLARS = [
-    *[("mark", "mark", t) for t in (*SIGNED, *MARKS)], *[("notice", "passage", t) for t in NOTICES], *[("error", "passage", t) for t in ERRORS],
-    *[("error", "line", t) for t in ERROR_LINES], *[("filler", "passage", t) for t in FILLERS], *[("filler", "style", t) for t in STYLES],
+    *[("mark", "mark", t) for t in (*SIGNED, *MARKS)], *[("notice", "passage", t) for t in (*NOTICES, *GENERAL_NOTICES)], *[("error", "passage", t) for t in (*ERRORS, *GENERAL_ERRORS)],
+    *[("error", "line", t) for t in ERROR_LINES], *[("filler", "passage", t) for t in (*FILLERS, *GENERAL_FILLERS)], *[("filler", "style", t) for t in STYLES],
 ]
