@@ -67,7 +67,7 @@ GENERAL_NOTICES = [
     "este sitio requiere javascript", "javascript を有効にして再読み込みしてください", "お使いのブラウザでは javascript が無効です", "请在浏览器中启用 javascript", "您的浏览器不支持 javascript",
 ]
 GENERAL_ERRORS = [
-    "the page could not be found", "the page you requested does not exist", "this page has moved", "something went wrong on our end", "an unexpected error occurred",
+    "the page could not be found", "the page you requested does not exist", "the page has moved to a new address", "something went wrong on our end", "an unexpected error occurred",
     "* is down for maintenance", "the server did not answer", "the server gave no response", "could not be loaded please try again", "you may not view *",
     "you are not allowed to view this page", "too many requests please wait and try again", "you have been signed out please sign in",
     "your session is over sign in again", "please contact support and quote *", "ein interner fehler ist aufgetreten", "die seite wurde nicht gefunden",
