@@ -66,6 +66,13 @@ def snapshot_changes(
     sums = ["_a", "_b", "_c", "_d", "_n"]
     leaves = materialize(hashed.groupBy("_leaf", "_snap").agg(*[F.sum(c).alias(n) for n, c in parts.items()], F.count(F.lit(1)).alias("_n")))
 
+    # Few digests are compared in one job; of many each level is written, so that the next one reads only what differs.
+    few = fits(leaves, broadcast_rows)
+    kept = (lambda df: df) if few else materialize
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few or fits(df, broadcast_rows) else df
+
     digest = F.struct(*sums)
 
     def differing(shift: int, within: DataFrame | None, step: int) -> DataFrame:
@@ -77,25 +84,24 @@ def snapshot_changes(
         each = level.withColumn("_side", F.explode(sides)).where("_side.pair is not null and not (_side.later and _prev is null)").select("_node", F.col("_side.pair").alias("_pair"), F.col("_side.later").alias("_later"), *sums)
         if within is not None:
             up = within.select(F.col("_node").alias("_up"), "_pair")
-            up = F.broadcast(up) if fits(up, broadcast_rows) else up
-            each = each.withColumn("_up", F.shiftright("_node", step)).join(up, ["_up", "_pair"], "left_semi")
+            each = each.withColumn("_up", F.shiftright("_node", step)).join(small(up), ["_up", "_pair"], "left_semi")
         return (
             each.groupBy("_node", "_pair").agg(F.max(F.when(F.col("_later"), digest)).alias("_new"), F.max(F.when(~F.col("_later"), digest)).alias("_old"))
             .where(~F.col("_new").eqNullSafe(F.col("_old"))).select("_node", "_pair")
         )
 
-    nodes, bits = materialize(differing(depth, None, 0)), 0
+    nodes, bits = kept(differing(depth, None, 0)), 0
     while bits < depth:
         step = min(bits_per_level, depth - bits)
         bits += step
-        below = materialize(differing(depth - bits, nodes, step))
+        below = kept(differing(depth - bits, nodes, step))
         release(nodes)
         nodes = below
-    release(leaves)
+    if not few:
+        release(leaves)
 
     open_pairs = nodes.groupBy(F.col("_node").alias("_leaf")).agg(F.collect_set("_pair").alias("_open"))
-    open_pairs = F.broadcast(open_pairs) if fits(nodes, broadcast_rows) else open_pairs
-    suspects = held.join(open_pairs, "_leaf").join(pairs, "_snap").withColumns({"_here": F.array_contains("_open", F.col("_snap")), "_later": F.coalesce(F.array_contains("_open", F.col("_next")), F.lit(False))}).where("_here or _later")
+    suspects = held.join(small(open_pairs), "_leaf").join(pairs, "_snap").withColumns({"_here": F.array_contains("_open", F.col("_snap")), "_later": F.coalesce(F.array_contains("_open", F.col("_next")), F.lit(False))}).where("_here or _later")
     w = Window.partitionBy("_leaf", *key).orderBy("_snap")
     before, after = F.lag(F.struct("_snap", "_state")).over(w), F.lead("_snap").over(w)
     placed = suspects.select("_snap", "_prev", "_next", *key, "_state", "_here", "_later", before.alias("_before"), after.alias("_after"))
