@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 OWN = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
 
@@ -56,4 +57,6 @@ def solve_groups(rows: DataFrame, scope: str, order: list[str], solve: Callable[
         if held:
             yield from solved(held)
 
-    return rows.repartition(scope).sortWithinPartitions(scope, *order).mapInArrow(run, ddl)
+    # By a hash of the scope, not by the scope itself: Spark leaves that exchange out where the rows are spread by the scope already, but then
+    # joins the small partitions of each side of a union apart from the other's, and a group comes in pieces.
+    return rows.repartition(F.xxhash64(scope)).sortWithinPartitions(scope, *order).mapInArrow(run, ddl)

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hunkweave.operators import graph, stacks
-from hunkweave.operators.coarsen import _Merger, _solve
+from hunkweave.operators.coarsen import _Merger, _solve, coarsen
 from hunkweave.operators.graph import _kahn
 
 
@@ -125,6 +125,24 @@ def test_groups_are_solved_whole_across_batches(spark):
     assert solve_groups(rows.where("false"), "k", ["x"], lambda key, g: [], [("k", "k")]).collect() == []
 
 
+def test_groups_stay_whole_where_nodes_and_edges_are_coalesced_apart(spark):
+    n = spark.createDataFrame([(s, v, -v) for s in range(20) for v in range(5)], "scope long, node long, seq long")
+    e = spark.createDataFrame([(s, a, b, 0) for s in range(20) for a in range(5) for b in range(a)] * 30, "scope long, src long, dst long, seq long")
+    units = n.selectExpr("scope", "node AS slice_id", "seq", "array(concat('f', node)) AS files", "array('') AS reasons", "1L AS hunk_count", "false AS fallback_only", "true AS pinned")
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        order = {(r.scope, r.node): r.topo_num for r in graph.kahn_order(n, e).collect()}
+        rows = coarsen(units, e.distinct(), scope="scope").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert order == {(s, v): v for s in range(20) for v in range(5)}
+    assert sorted((r.scope, r.unit_num, r.slice_ids, r.prerequisites) for r in rows) == [(s, v, [v], list(range(v))) for s in range(20) for v in range(5)]
+
+
 def test_components_against_union_find(spark):
     rnd = random.Random(2)
     pairs = [(rnd.randrange(80), rnd.randrange(80)) for _ in range(60)]
