@@ -670,15 +670,19 @@ def command_counts(spark, sf_dir):
 
 
 def _plan_overrides(spark, sf_dir):
-    """Overrides of a branch under every plan of the branch."""
-    plans = B.hunks(spark, sf_dir).select("branch", F.col("plan_id").alias("diff_id")).distinct()
-    return B.overrides(spark, sf_dir).select("branch", "kind", "selector_a", "selector_b").distinct().join(plans, "branch").drop("branch")
+    """Overrides of a branch under every plan of the branch that has the selectors they name; under the others they change nothing."""
+    h = materialize(B.hunks(spark, sf_dir).select("branch", F.col("plan_id").alias("diff_id"), paths.group_key().alias("selector")).distinct())
+    known = h.select("diff_id", "selector").distinct()
+    named = h.select("branch", "diff_id").distinct().join(known, "diff_id").withColumnRenamed("selector", "selector_a")
+    held = B.overrides(spark, sf_dir).select("branch", "kind", "selector_a", "selector_b").distinct().join(named, ["branch", "selector_a"]).select("diff_id", "kind", "selector_a", "selector_b")
+    merges = held.where("kind = 'force_merge'").join(known.withColumnRenamed("selector", "selector_b"), ["diff_id", "selector_b"], "left_semi")
+    return materialize(held.where("kind = 'force_split'").unionByName(merges))
 
 
 def _review(spark, sf_dir, overrides=None):
     from hunkweave.plans.review import relate
 
-    h = B.plan_hunks(spark, sf_dir)
+    h = materialize(B.plan_hunks(spark, sf_dir).select("diff_id", "hunk_index", "file_path", "changed_text", "qualified_symbol", "exported", "fallback_selector", "fallback_reason"))
     plan = relate(h, h.where("false"), h.where("false"), overrides).settle("order")
     sound = plan.order.groupBy("diff_id").agg(F.bool_and(F.col("topo_num").isNotNull()).alias("ok")).where("ok").select("diff_id")
     plan.units, plan.edges = plan.units.join(sound, "diff_id", "left_semi"), plan.edges.join(sound, "diff_id", "left_semi")

@@ -138,3 +138,18 @@ def test_change_ids_cascade(spark):
     df = spark.createDataFrame([("s", 0, "a", good), ("s", 1, "b", "no trailer\n\n"), ("s", 2, "c", good)], "scope string, pos int, sha string, message string")
     rows = {r.pos: r for r in reconcile.change_ids(df).collect()}
     assert [rows[i].rewrite for i in range(3)] == [False, True, True] and "\n\nChange-Id: I" in rows[1].new_message and rows[2].new_message == good
+
+
+def test_overrides_of_a_branch_reach_the_plans_that_have_their_selectors(spark, tmp_path):
+    from hunkweave.plans import core
+
+    hunks = [(1, 7, "b", "x.ts", "f"), (2, 7, "b", "x.ts", "f"), (3, 7, "b", "y.ts", "g"), (4, 8, "b", "x.ts", "f"), (5, 8, "b", "z.ts", "h"), (6, 9, "other", "x.ts", "f"), (6, 9, "other", "x.ts", "f")]
+    h = spark.createDataFrame(hunks, "hunk_id long, plan_id long, branch string, file_path string, qualified_symbol string")
+    none = {n: F.lit(None).cast(t) for n, t in (("old_start", "int"), ("old_lines", "int"), ("new_start", "int"), ("new_lines", "int"), ("raw", "string"), ("changed_text", "string"), ("fallback_selector", "string"), ("fallback_reason", "string"), ("slice_label", "string"))}
+    h.withColumns({**none, "exported": F.lit(False)}).write.parquet(str(tmp_path / "hunks.parquet"))
+    o = [(1, "b", "force_split", "x.ts::f", None), (2, "b", "force_merge", "z.ts::h", "y.ts::g"), (3, "b", "force_merge", "y.ts::g", "x.ts::f"), (4, "b", "force_split", "no::where", None), (5, "b", "force_merge", "x.ts::f", "z.ts::h")]
+    spark.createDataFrame(o, "id long, branch string, kind string, selector_a string, selector_b string").write.parquet(str(tmp_path / "overrides.parquet"))
+    got = {tuple(r) for r in core._plan_overrides(spark, str(tmp_path)).select("diff_id", "kind", "selector_a", "selector_b").collect()}
+    assert got == {(7, "force_split", "x.ts::f", None), (8, "force_split", "x.ts::f", None), (7, "force_merge", "y.ts::g", "x.ts::f"), (8, "force_merge", "x.ts::f", "z.ts::h")}
+    units = {(r.diff_id, tuple(sorted(r.slice_ids)), r.hunk_count, r.pinned) for r in core.review_units(spark, str(tmp_path)).collect()}
+    assert units == {(7, (1,), 2, True), (7, (2,), 1, True), (8, (4,), 2, True), (9, (6,), 1, False)}
