@@ -27,11 +27,12 @@ def def_use(hunk_rows: DataFrame, scope: str = "diff_id") -> DataFrame:
     own = hunk_rows.where(F.col("qualified_symbol").isNotNull()).select(scope, F.col("hunk_index").alias("def_index"), F.col("file_path").alias("def_file"), "exported", definition_name("qualified_symbol").alias("name"))
     words = hunk_rows.select(scope, F.col("hunk_index").alias("use_index"), F.col("file_path").alias("use_file"), F.explode(F.array_distinct(F.regexp_extract_all("changed_text", F.lit(WORD), F.lit(0)))).alias("word"))
     allowed = (F.col("use_index") != F.col("def_index")) & ((F.col("use_file") == F.col("def_file")) | F.col("exported"))
-    plain = own.where(F.col("name").rlike(rf"^{WORD}$")).withColumnRenamed("name", "word")
-    easy = words.join(plain, [scope, "word"]).where(allowed).select(scope, "use_index", "def_index", F.col("word").alias("name"))
-    odd = own.where(~F.col("name").rlike(rf"^{WORD}$")).withColumn("word", F.regexp_extract("name", WORD, 0))
+    odd = ~F.col("name").rlike(rf"^{WORD}$")
+    # One join serves both kinds, so that the words are spread once.
+    found = words.join(own.withColumn("odd", odd).withColumn("word", F.when(odd, F.regexp_extract("name", WORD, 0)).otherwise(F.col("name"))), [scope, "word"]).where(allowed)
+    easy = found.where("not odd").select(scope, "use_index", "def_index", "name")
     text = hunk_rows.select(scope, F.col("hunk_index").alias("use_index"), "changed_text")
-    hard = words.join(odd, [scope, "word"]).where(allowed).join(text, [scope, "use_index"]).where(mentions(F.col("changed_text"), F.col("name"))).select(scope, "use_index", "def_index", "name")
+    hard = found.where("odd").join(text, [scope, "use_index"]).where(mentions(F.col("changed_text"), F.col("name"))).select(scope, "use_index", "def_index", "name")
     return easy.unionByName(hard)
 
 
